@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, quality, url_filter
+from . import bpe, decontaminate, html_text, pii, quality, url_filter
 from .common import table
 
 
@@ -26,8 +26,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_pii": op5_pii,
+        "op4_decontaminate": op4_decontaminate,
         "op2_url_filter": op2_url_filter,
         "op3_html_text": op3_html_text,
         "op9_bpe": op9_bpe,
