@@ -56,6 +56,26 @@ def rank_id(name: str) -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
 
 
+def held(name: str, expression: Column) -> Column:
+    """``expression``, whose lambdas look into column ``name``, with the column kept as computed.
+
+    The optimizer merges projections when a column is used once; inside a lambda that one use would
+    compute the column again for each element. A second use keeps it.
+    """
+    return F.when(F.col(name).isNotNull(), expression)
+
+
+def settled(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``column`` behind a generator.
+
+    Filters on it then stay above the projections that compute it. Pushed below, they would hold its
+    whole expression again, and inside lambdas for each element.
+    """
+    return df.select(
+        *[F.col(f"`{c}`") for c in df.columns if c != column], F.explode_outer(F.array(column)).alias(column)
+    )
+
+
 def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column laid end to end, and the n+1 offsets of its rows."""
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):

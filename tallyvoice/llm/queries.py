@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, pii, quality, url_filter
+from . import bpe, chat, decontaminate, html_text, line_dedup, pii, quality, url_filter
 from .common import table
 
 
@@ -34,8 +34,18 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op7_chat": op7_chat,
+        "op6_line_dedup": op6_line_dedup,
         "op5_pii": op5_pii,
         "op4_decontaminate": op4_decontaminate,
         "op2_url_filter": op2_url_filter,
@@ -46,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.SQL}
+    return {"op2_url_filter": url_filter.SQL, "op7_chat": chat.SQL}
