@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, html_text, line_dedup, pii, quality, url_filter
+from . import bpe, chat, decontaminate, html_text, line_dedup, minhash, pii, quality, url_filter
 from .common import table
 
 
@@ -42,8 +42,13 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(table(spark, sf_dir, "conversations"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op8_minhash": op8_minhash,
         "op7_chat": op7_chat,
         "op6_line_dedup": op6_line_dedup,
         "op5_pii": op5_pii,
