@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, html_text, line_dedup, minhash, pii, quality, url_filter
+from . import bpe, chat, decontaminate, html_text, line_dedup, minhash, pii, quality, suffix_array, url_filter
 from .common import table
 
 
@@ -46,8 +46,13 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.report(table(spark, sf_dir, "documents"))
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_array": op1_suffix_array,
         "op8_minhash": op8_minhash,
         "op7_chat": op7_chat,
         "op6_line_dedup": op6_line_dedup,
