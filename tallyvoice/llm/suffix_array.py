@@ -142,6 +142,8 @@ def repeats(data: list[bytes], documents: np.ndarray, starts: np.ndarray, length
     later = np.zeros(len(raw), bool)
     later[order] = place[order] > earliest[group]
     at = np.flatnonzero(later & valid)
+    if not len(at):
+        return []
     runs, cuts = np.unique(run[at], return_index=True)
     return list(zip(runs.tolist(), np.split(offset[at], cuts[1:]), strict=True))
 
@@ -152,24 +154,45 @@ def spans_of(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return offsets[np.concatenate([[0], cut + 1])], offsets[np.append(cut, len(offsets) - 1)]
 
 
-def anchored_runs(raw: np.ndarray, ends: np.ndarray, length: int, gram: int):
-    """Runs of windows of one anchor: document, first and last window, anchor; and gram sums for hashing."""
-    n = len(raw)
-    sums = sums_of(BYTE_VALUES[raw])
-    _, down = powers(n + 1)
-    with np.errstate(over="ignore"):
-        grams = mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
-    within = length - gram + 1
-    least, span = grams, 1
+#: Windows whose anchors are found at once; places fit into the low bits of the hashes.
+PLACE_BITS = 24
+SEGMENT = (1 << PLACE_BITS) - 4096
+
+
+def anchors(grams: np.ndarray, within: int) -> np.ndarray:
+    """For each window of ``within`` grams, the place of the smallest one, the leftmost of equals."""
+    low = U((1 << PLACE_BITS) - 1)
+    least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
+    span = 1
     while span * 2 <= within:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     if span < within:
         least = np.minimum(least[: len(least) - (within - span)], least[within - span :])
+    return (least & low).astype(np.int64)
+
+
+def anchored_runs(raw: np.ndarray, ends: np.ndarray, length: int, gram: int):
+    """Runs of windows of one anchor, and gram sums for hashing.
+
+    Per run: document, first and last window, anchor, and whether the anchor recurs within the run,
+    without which no window recurs within it.
+    """
+    sums = sums_of(BYTE_VALUES[raw])
+    _, down = powers(len(raw) + 1)
+    with np.errstate(over="ignore"):
+        grams = mix((sums[gram:] - sums[:-gram]) * down[: len(raw) - gram + 1])
+    within = length - gram + 1
     count = np.maximum(np.diff(ends) - length + 1, 0)
     at = expand(ends[:-1], count)
     document = np.repeat(np.arange(len(count)), count)
-    anchor = least[at]
+    place = np.concatenate(
+        [
+            start + anchors(grams[start : start + SEGMENT + within - 1], within)
+            for start in range(0, len(raw) - length + 1, SEGMENT)
+        ]
+    )[at]
+    anchor = grams[place]
     new = np.ones(len(at), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (document[1:] != document[:-1])
     heads = np.flatnonzero(new)
@@ -178,7 +201,8 @@ def anchored_runs(raw: np.ndarray, ends: np.ndarray, length: int, gram: int):
         pieces = -(-sizes // RUN_WINDOWS)
         heads = np.repeat(heads, pieces) + RUN_WINDOWS * expand(np.zeros(len(pieces), np.int64), pieces)
         sizes = np.diff(np.append(heads, len(at)))
-    return document[heads], at[heads], at[heads] + sizes - 1, anchor[heads], sums_of(grams)
+    recurs = place[heads] != place[heads + sizes - 1]
+    return document[heads], at[heads], at[heads] + sizes - 1, anchor[heads], recurs, sums_of(grams)
 
 
 def _mapper(length: int, gram: int, slice_bytes: int):
@@ -190,7 +214,7 @@ def _mapper(length: int, gram: int, slice_bytes: int):
             return None
         rank = batch.column(0).to_numpy(zero_copy_only=False)
         key = batch.column(1).to_numpy(zero_copy_only=False)
-        document, lo, hi, anchor, gram_sums = anchored_runs(raw, ends, length, gram)
+        document, lo, hi, anchor, recurs, gram_sums = anchored_runs(raw, ends, length, gram)
         by = np.lexsort((key, rank))
         same = (rank[by][1:] == rank[by][:-1]) & (key[by][1:] == key[by][:-1])
         place = np.empty(len(by), np.int64)  # of a document in corpus order; repeated rows share one
@@ -212,9 +236,7 @@ def _mapper(length: int, gram: int, slice_bytes: int):
             gone_lo.append(lo[order[whole]])
             gone_hi.append(hi[order[whole]])
         kinds = np.bincount(np.cumsum(new_a) - 1, weights=new_c)
-        # an anchor that serves more windows than can hold it once recurs within its run
-        periodic = hi[order] - lo[order] > length - gram
-        several = order[new_c & (periodic | (kinds[np.cumsum(new_a) - 1] > 1))]
+        several = order[new_c & (recurs[order] | (kinds[np.cumsum(new_a) - 1] > 1))]
         if len(several):
             # different runs of one anchor: suffix arrays, in blocks of whole anchors
             sizes = np.cumsum(hi[several] - lo[several] + length)
