@@ -20,7 +20,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import settled, text_or_empty
 
 # The contract's white space and symbol characters.
 SPACE = " \t\n\x0b\x0c\r"
@@ -198,3 +198,9 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             )
         ],
     )
+
+
+def keep(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents, unchanged and with all their columns, that the rules keep."""
+    judged = settled(annotate(docs, text_col).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "quality"), "quality")
+    return judged.where("quality.kept").select("row.*")
