@@ -40,11 +40,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, rank_id, slices, text_or_empty, utf8_buffer
+from .common import NULL_ID, materialise, rank_id, slices, text_or_empty, utf8_buffer
 from .hashing import BYTE_VALUES, expand, mix, powers, ranges, sums_of, union_length
 
 LENGTH = 100
-GRAM = 32
+GRAM = 24
 #: Bytes of text in a map-side slice, and of runs in a shard's suffix array.
 SLICE_BYTES = 3 << 20
 BLOCK_BYTES = 2 << 20
@@ -403,14 +403,18 @@ def dedup(
     slice_bytes: int = SLICE_BYTES, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Per row: the id, n_bytes, n_removed, ``removed`` (start and end bytes in turn) and the ``kept`` bytes."""
-    rows = docs.select(F.col(id_col).alias("id"), rank_id(id_col).alias("rank"), text_or_empty(text_col).alias("text"))
-    rows = rows.withColumn("key", F.xxhash64("text"))
-    texts = rows.select("rank", "key", "text")
+    texts = docs.select(rank_id(id_col).alias("rank"), text_or_empty(text_col).alias("text"))
+    texts = texts.select("rank", F.hash("text").cast("long").alias("key"), "text")
     mapped = materialise(
         texts.mapInArrow(_mapper(length, gram, slice_bytes), "rank long, key long, lo long, hi long, a long, c long"), "runs"
     )
-    inside = mapped.where("a is not null")
-    by_content = Window.partitionBy("a", "c").orderBy("rank", "key", "lo")
+    # two longs less to shuffle: 52 bits of the content hash with the run's length (below 4096), and
+    # the place in the text with the 32-bit key; order by (rank, place) is order by (rank, key, lo)
+    size = F.col("hi") - F.col("lo")
+    inside = mapped.where("a is not null").select(
+        "a", F.shiftleft("c", 12).bitwiseOR(size).alias("content"), "rank", F.shiftleft("key", 32).bitwiseOR(F.col("lo")).alias("place")
+    )
+    by_content = Window.partitionBy("a", "content").orderBy("rank", "place")
     by_anchor = Window.partitionBy("a")
     met = inside.withColumn("nth", F.dense_rank().over(by_content)).withColumns(
         {
@@ -418,7 +422,12 @@ def dedup(
             "kinds": F.count(F.when(F.col("nth") == 1, 1)).over(by_anchor),
         }
     )
-    met = materialise(met.where("n > 1").select("a", "rank", "key", "lo", "hi", "nth", "kinds"), "met")
+    lo = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
+    met = met.where("n > 1").select(
+        "a", "rank", F.shiftright("place", 32).alias("key"), lo.alias("lo"),
+        (lo + F.col("content").bitwiseAND(F.lit(RUN_WINDOWS - 1))).alias("hi"), "nth", "kinds",
+    )
+    met = materialise(met, "met")
     whole = met.where("nth > 1").select("rank", "key", "lo", "hi")
     runs = met.where("nth = 1 and kinds > 1").groupBy("rank", "key").agg(F.collect_set(F.struct("a", "lo", "hi")).alias("runs"))
     fetched = texts.join(runs, ["rank", "key"]).select("rank", "key", "text", "runs").mapInArrow(
@@ -430,11 +439,11 @@ def dedup(
     removals = mapped.where("a is null").select("rank", "key", "lo", "hi").union(whole).union(settled)
     spans = removals.groupBy("rank", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     nothing = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
-    kind = rows.schema["id"].dataType.simpleString()
-    out = rows.join(spans, ["rank", "key"], "left").select("id", "text", F.coalesce("spans", nothing).alias("spans")).mapInArrow(
-        _finisher(length), f"id {kind}, n_bytes long, n_removed long, removed array<long>, kept binary"
+    out = texts.join(spans, ["rank", "key"], "left").select("rank", "text", F.coalesce("spans", nothing).alias("spans")).mapInArrow(
+        _finisher(length), "id long, n_bytes long, n_removed long, removed array<long>, kept binary"
     )
-    return out.withColumnRenamed("id", id_col)
+    kind = docs.schema[id_col].dataType
+    return out.select(F.nullif(F.col("id"), F.lit(NULL_ID)).cast(kind).alias(id_col), "n_bytes", "n_removed", "removed", "kept")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
