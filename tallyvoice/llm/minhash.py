@@ -9,12 +9,13 @@ coordinate look twice as far. Two signatures agree in a coordinate with the prob
 weighted Jaccard similarity.
 
 Documents with equal weighted sets are one class before any join (its smallest id stands for it).
-Classes meet in bands of ``rows`` coordinates. Each band's members are paired with the band's
-smallest member, pairs are verified exactly on their shingle multisets, and accepted pairs are
-merged to components. Members of a band that are still in different components meet again
-pairwise; where those are more than ``pair_limit``, the band is split by further coordinates in
-``SPLITS`` ways (several times, so that similar members stay together in one of them) until groups
-are small. A group of near copies therefore costs a pair per member, not per pair of members.
+Classes meet in bands of ``rows`` coordinates. Each member of a band is paired with the band's
+foremost member, the one that shares bands with the most others; pairs are verified exactly on their
+shingle multisets and accepted pairs merged to components. Members of a band that are still in
+different components then meet the band's ``LEADERS`` foremost members in the same way. So a band
+costs pairs in proportion to its members, however large it is. A link between two texts is missed
+only if in none of the ``BANDS`` bands that hold both one of them is among the foremost and no other
+links join their components; bands of up to ``LEADERS`` unmerged members are compared in full.
 
 Components come from label propagation in joins with ``checkpoint`` between rounds; nothing but loop
 counters reaches the driver.
@@ -32,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialise, rank_id, slices, text_or_empty, utf8_buffer
 from .hashing import Words, mix
@@ -40,10 +42,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 28
 ROWS = 5
-#: Bands of more unmerged members than this are split before their members are paired.
-PAIR_LIMIT = 32
-SPLIT_ROWS = 4
-SPLITS = 16
+#: Members of a band that are still in different components meet this many of its foremost members.
+LEADERS = 16
 SLICE_BYTES = 1 << 20
 
 U = np.uint64
@@ -133,8 +133,7 @@ def _fold(columns: np.ndarray) -> np.ndarray:
 
 
 def _signer(shingle: int, weighted: bool, bands: int, rows: int):
-    """(rank, key, text) to (rank, key, set digest, weight, band hashes, spare coordinates)."""
-    spare = SPLITS * SPLIT_ROWS
+    """(rank, key, text) to (rank, key, set digest, weight, band hashes)."""
     coordinates = bands * rows
     darts = coordinates * (np.log(coordinates) + 2)
 
@@ -149,13 +148,6 @@ def _signer(shingle: int, weighted: bool, bands: int, rows: int):
                     np.add.at(total, text, mix(unit ^ U(0x1234567 + k)))
                 sign = signatures(text, unit, n, coordinates, darts)
                 band = np.stack([_fold(sign[:, k * rows : (k + 1) * rows]) ^ U(k) for k in range(bands)], 1)
-                split = np.stack(
-                    [
-                        _fold(sign[:, [(7 * (k * SPLIT_ROWS + j) + 3) % coordinates for j in range(SPLIT_ROWS)]])
-                        for k in range(SPLITS)
-                    ],
-                    1,
-                )
                 lists = lambda x: pa.ListArray.from_arrays(
                     pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel().view(np.int64))
                 )
@@ -163,12 +155,11 @@ def _signer(shingle: int, weighted: bool, bands: int, rows: int):
                     [
                         batch.column(0), batch.column(1),
                         pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(weight, pa.int64()),
-                        lists(band), lists(split),
+                        lists(band),
                     ],
-                    names=["rank", "key", "d1", "d2", "weight", "bands", "splits"],
+                    names=["rank", "key", "d1", "d2", "weight", "bands"],
                 )
 
-    assert spare <= coordinates
     return run
 
 
@@ -237,7 +228,7 @@ def classes(
     weighted: bool = True,
     bands: int = BANDS,
     rows: int = ROWS,
-    pair_limit: int = PAIR_LIMIT,
+    leaders_per_band: int = LEADERS,
 ) -> DataFrame:
     """rank and key of each document, its ``set_class`` and its ``cluster`` (both the smallest rank), n_links."""
     base = docs.select(rank_id(id_col).alias("rank"), text_or_empty(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
@@ -245,7 +236,7 @@ def classes(
     signed = materialise(
         base.mapInArrow(
             _signer(shingle, weighted, bands, rows),
-            "rank long, key long, d1 long, d2 long, weight long, bands array<long>, splits array<long>",
+            "rank long, key long, d1 long, d2 long, weight long, bands array<long>",
         ),
         "signatures",
     )
@@ -263,19 +254,18 @@ def classes(
     name = lambda r, k: F.xxhash64(r, k)
     reps = some.join(
         members.select(F.col("hr").alias("rank"), F.col("hk").alias("key")).distinct(), ["rank", "key"], "left_semi"
-    ).dropDuplicates(["rank", "key"]).select(name("rank", "key").alias("id"), "bands", "splits")
+    ).dropDuplicates(["rank", "key"]).select(name("rank", "key").alias("id"), "bands")
     reps = materialise(reps, "classes")
     texts = base.dropDuplicates(["rank", "key"])
     banded = reps.select("id", F.posexplode("bands").alias("band", "h"))
-    smallest = banded.groupBy("h", "band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = materialise(
-        banded.join(smallest.select("h", "band", "a", F.spark_partition_id().alias("_p")).drop("_p"), ["h", "band"]).select("id", "h", "band", "a"), "bands"
-    )
-    sets = None
+    sizes = banded.groupBy("h", "band", F.hash("h").alias("_part")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = materialise(banded.join(sizes.select("h", "band", "n"), ["h", "band"]), "bands")
+    degree = met.groupBy("id").agg(F.sum("n").alias("deg"))
+    groups = materialise(met.select("id", "h", "band").join(degree, "id"), "groups")
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
-        nonlocal sets
-        pairs = materialise(pairs.distinct(), f"{label}-pairs")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = materialise(pairs, f"{label}-pairs")
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         named = texts.withColumn("id", name("rank", "key")).join(wanted, "id", "left_semi").select("id", "key", "text")
         sets = named.mapInArrow(_sets(shingle, weighted), "rank long, key long, set binary").select(F.col("rank").alias("id"), "set")
@@ -286,24 +276,25 @@ def classes(
             joined.select("a", "b", "set_a", "set_b").mapInArrow(_verify(similarity), "a long, b long, similar boolean"), label
         )
 
-    star = verified(groups.where("id <> a").select("a", F.col("id").alias("b")), "stars")
+    # each member of a band meets the member that shares bands with the most others: in a group of
+    # near copies that is the text they were made from, to which all of them are similar
+    leader = groups.groupBy("h", "band", F.hash("h").alias("_part")).agg(F.max(F.struct("deg", "id")).alias("top"))
+    star = verified(
+        groups.join(leader.select("h", "band", F.col("top.id").alias("a")), ["h", "band"]).where("id <> a").select("a", F.col("id").alias("b")),
+        "stars",
+    )
     linked = star.where("similar").select("a", "b")
     found = components(linked, "stars")
-    # members of a band that are still apart
-    apart = groups.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).select("id", "h", "band", "c")
-    open_bands = apart.groupBy("h", "band").agg(
-        F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")
-    ).where("lo <> hi")
-    open_rows = apart.join(open_bands.select("h", "band", "n"), ["h", "band"])
-    small = open_rows.where(F.col("n") <= pair_limit).select("id", "c", "h", "band")
-    large = open_rows.where(F.col("n") > pair_limit).select("id", "c", "h", "band")
-    split = large.join(reps.select("id", "splits"), "id").select("id", "c", F.posexplode("splits").alias("s", "g"), "h", "band")
-    split = split.select("id", "c", F.xxhash64("h", "g", "s").alias("h"), "band")
-    meet = small.union(split)
-    one, two = meet.toDF("a", "ca", "h", "band"), meet.toDF("b", "cb", "h", "band")
-    pairs = one.join(two, ["h", "band"]).where("a < b and ca <> cb").select("a", "b").distinct()
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verified(pairs.join(tried, ["a", "b"], "left_anti"), "meets").where("similar").select("a", "b")
+    # members of a band that are still apart meet its foremost members
+    apart = groups.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).select("id", "h", "band", "deg", "c")
+    still = apart.groupBy("h", "band", F.hash("h").alias("_part")).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    apart = materialise(apart.join(still.select("h", "band"), ["h", "band"]), "apart")
+    foremost = Window.partitionBy("h", "band").orderBy(F.desc("deg"), "id")
+    leaders = apart.withColumn("nth", F.row_number().over(foremost)).where(F.col("nth") <= leaders_per_band)
+    leaders = leaders.select("h", "band", F.col("id").alias("a"), F.col("c").alias("ca"))
+    pairs = apart.join(leaders, ["h", "band"]).where("id <> a and c <> ca").select("a", F.col("id").alias("b"))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = verified(pairs.join(star.select("a", "b"), ["a", "b"], "left_anti"), "meets").where("similar").select("a", "b")
     links = materialise(linked.union(more), "links")
     merged = components(links, "all")
     degrees = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
