@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import detection
+from . import detection, relations, sessions
 
-ENTRIES = {**detection.ENTRIES}
+ENTRIES = {**detection.ENTRIES, **relations.ENTRIES, **sessions.ENTRIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
