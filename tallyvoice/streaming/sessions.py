@@ -44,10 +44,16 @@ def verdicts(chunks: DataFrame) -> DataFrame:
 
 
 def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One call's new chunks, in order, onto its state (k, last level, recent window scores)."""
+    """``folded`` for live streams: a call that stays silent is dropped without a verdict."""
     if state.hasTimedOut:
         state.remove()
         return
+    yield from folded(key, batches, state)
+    state.setTimeoutDuration(IDLE_MS)
+
+
+def folded(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One call's new chunks, in order, onto its state (k, last level, recent window scores)."""
     k, last, recent = state.get if state.exists else (0, 0.0, [])
     recent = list(recent)
     rows = pd.concat(list(batches)).sort_values(["ts", "seq"], kind="stable")
@@ -61,16 +67,15 @@ def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iter
             out.append((key[0], k, sum(recent) / len(recent), k >= FINAL_AT))
         last = float(level)
     state.update((k, last, recent))
-    state.setTimeoutDuration(IDLE_MS)
     if out:
         yield pd.DataFrame(out, columns=["call_id", "k", "p", "final"])
 
 
-def stream_verdicts(chunks: DataFrame) -> DataFrame:
-    """The verdicts of a streaming DataFrame of chunks."""
+def stream_verdicts(chunks: DataFrame, live: bool = True) -> DataFrame:
+    """The verdicts of a streaming DataFrame of chunks; a replay (not live) has no idle timeout and so ends."""
     found = chunks.groupBy("call_id").applyInPandasWithState(
-        fold, "call_id long, k long, p double, final boolean", "k long, last double, recent array<double>",
-        "append", GroupStateTimeout.ProcessingTimeTimeout,
+        fold if live else folded, "call_id long, k long, p double, final boolean", "k long, last double, recent array<double>",
+        "append", GroupStateTimeout.ProcessingTimeTimeout if live else GroupStateTimeout.NoTimeout,
     )
     return with_level(found)
 
@@ -84,11 +89,10 @@ def run_stream(spark: SparkSession, path: str) -> DataFrame:
     )
     at = f"{shared_folder(spark)}/verdicts-{uuid.uuid4().hex}"
     query = (
-        stream_verdicts(chunks).writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint")
-        .start(f"{at}/out")
+        stream_verdicts(chunks, live=False).writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint")
+        .trigger(availableNow=True).start(f"{at}/out")
     )
-    query.processAllAvailable()
-    query.stop()
+    query.awaitTermination()
     return spark.read.parquet(f"{at}/out")
 
 
