@@ -9,9 +9,9 @@ coordinate look twice as far. Two signatures agree in a coordinate with the prob
 weighted Jaccard similarity.
 
 Documents with equal weighted sets are one class before any join (its smallest id stands for it).
-Classes meet in bands of ``rows`` coordinates. Each member of a band is paired with the band's
-foremost member, the one that shares bands with the most others; pairs are verified exactly on their
-shingle multisets and accepted pairs merged to components. Members of a band that are still in
+Classes meet in bands of ``rows`` coordinates. Each is paired with the foremost member of its bands,
+the one that shares bands with the most others; pairs are screened by weight and signature, verified
+exactly on their shingle multisets, and accepted pairs merged to components. Members of a band that are still in
 different components then meet the band's ``LEADERS`` foremost members in the same way. So a band
 costs pairs in proportion to its members, however large it is. A link between two texts is missed
 only if in none of the ``BANDS`` bands that hold both one of them is among the foremost and no other
@@ -133,7 +133,7 @@ def _fold(columns: np.ndarray) -> np.ndarray:
 
 
 def _signer(shingle: int, weighted: bool, bands: int, rows: int):
-    """(rank, key, text) to (rank, key, set digest, weight, band hashes)."""
+    """(rank, key, text) to (rank, key, set digest, weight, band hashes, a byte of each coordinate)."""
     coordinates = bands * rows
     darts = coordinates * (np.log(coordinates) + 2)
 
@@ -155,9 +155,9 @@ def _signer(shingle: int, weighted: bool, bands: int, rows: int):
                     [
                         batch.column(0), batch.column(1),
                         pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(weight, pa.int64()),
-                        lists(band),
+                        lists(band), pa.array([x.tobytes() for x in ((sign >> U(40)) & U(0xFF)).astype(np.uint8)], pa.binary()),
                     ],
-                    names=["rank", "key", "d1", "d2", "weight", "bands"],
+                    names=["rank", "key", "d1", "d2", "weight", "bands", "sketch"],
                 )
 
     return run
@@ -180,6 +180,26 @@ def _sets(shingle: int, weighted: bool):
     return run
 
 
+def _screen(similarity: float):
+    """Pairs whose weights and signatures leave the similarity possible.
+
+    Of k coordinates a pair at the threshold agrees in fewer than the bound, 4.5 standard deviations
+    below its mean, with a probability of about 1e-5.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("s1", "s2"))
+            w1, w2 = (batch.column(c).to_numpy() for c in ("w1", "w2"))
+            bound = similarity - 4.5 * np.sqrt(similarity * (1 - similarity) / one.shape[1])
+            keep = ((one == two).mean(1) >= bound) & (np.minimum(w1, w2) >= similarity * np.maximum(w1, w2))
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
 def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,7 +256,7 @@ def classes(
     signed = materialise(
         base.mapInArrow(
             _signer(shingle, weighted, bands, rows),
-            "rank long, key long, d1 long, d2 long, weight long, bands array<long>",
+            "rank long, key long, d1 long, d2 long, weight long, bands array<long>, sketch binary",
         ),
         "signatures",
     )
@@ -254,7 +274,7 @@ def classes(
     name = lambda r, k: F.xxhash64(r, k)
     reps = some.join(
         members.select(F.col("hr").alias("rank"), F.col("hk").alias("key")).distinct(), ["rank", "key"], "left_semi"
-    ).dropDuplicates(["rank", "key"]).select(name("rank", "key").alias("id"), "bands")
+    ).dropDuplicates(["rank", "key"]).select(name("rank", "key").alias("id"), "bands", "sketch", "weight")
     reps = materialise(reps, "classes")
     texts = base.dropDuplicates(["rank", "key"])
     banded = reps.select("id", F.posexplode("bands").alias("band", "h"))
@@ -265,6 +285,9 @@ def classes(
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        sketches = reps.select("id", "sketch", "weight")
+        pairs = pairs.join(sketches.toDF("a", "s1", "w1"), "a").join(sketches.toDF("b", "s2", "w2"), "b")
+        pairs = pairs.select("a", "b", "s1", "s2", "w1", "w2").mapInArrow(_screen(similarity), "a long, b long")
         pairs = materialise(pairs, f"{label}-pairs")
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         named = texts.withColumn("id", name("rank", "key")).join(wanted, "id", "left_semi").select("id", "key", "text")
@@ -276,13 +299,11 @@ def classes(
             joined.select("a", "b", "set_a", "set_b").mapInArrow(_verify(similarity), "a long, b long, similar boolean"), label
         )
 
-    # each member of a band meets the member that shares bands with the most others: in a group of
-    # near copies that is the text they were made from, to which all of them are similar
+    # each document meets the foremost of its bands' foremost members, the one that shares bands with
+    # the most others: of near copies that is the text they were made from, to which all are similar
     leader = groups.groupBy("h", "band", F.hash("h").alias("_part")).agg(F.max(F.struct("deg", "id")).alias("top"))
-    star = verified(
-        groups.join(leader.select("h", "band", F.col("top.id").alias("a")), ["h", "band"]).where("id <> a").select("a", F.col("id").alias("b")),
-        "stars",
-    )
+    led = groups.join(leader.select("h", "band", "top"), ["h", "band"]).where("id <> top.id")
+    star = verified(led.groupBy("id").agg(F.max("top").alias("top")).select(F.col("top.id").alias("a"), F.col("id").alias("b")), "stars")
     linked = star.where("similar").select("a", "b")
     found = components(linked, "stars")
     # members of a band that are still apart meet its foremost members
