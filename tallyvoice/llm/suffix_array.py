@@ -125,7 +125,36 @@ def plcp_reaches(raw: np.ndarray, order: np.ndarray, valid: np.ndarray, length:
 
 
 def repeats(data: list[bytes], documents: np.ndarray, starts: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
-    """Among runs of bytes: (run, offsets of windows) that also start earlier in (document, start) order."""
+    """Among runs of bytes: (run, offsets of windows) that also start earlier in (document, start) order.
+
+    Bytes outside all windows whose hash recurs cannot matter; they are cut off before the suffix
+    array is made, and runs without such windows left out.
+    """
+    sizes = np.array([len(x) for x in data], np.int64)
+    raw = np.frombuffer(b"".join(data), np.uint8)
+    ends = np.cumsum(sizes)
+    count = np.maximum(sizes - length + 1, 0)
+    at = expand(ends - sizes, count)
+    hashes = ranges(sums_of(BYTE_VALUES[raw]), at, at + length)
+    order = np.argsort(hashes)
+    equal = hashes[order][1:] == hashes[order][:-1]
+    again = np.zeros(len(at), bool)
+    again[order[1:][equal]] = again[order[:-1][equal]] = True
+    where = np.flatnonzero(again)
+    if not len(where):
+        return []
+    run = np.repeat(np.arange(len(data)), count)[where]
+    kept, first = np.unique(run, return_index=True)
+    last = np.append(first[1:], len(where)) - 1
+    cut = at[where[first]] - (ends - sizes)[kept]
+    stop = at[where[last]] - (ends - sizes)[kept] + length
+    parts = [data[r][a:b] for r, a, b in zip(kept.tolist(), cut.tolist(), stop.tolist(), strict=True)]
+    found = sorted_repeats(parts, documents[kept], starts[kept] + cut, length)
+    return [(int(kept[r]), offsets + cut[r]) for r, offsets in found]
+
+
+def sorted_repeats(data: list[bytes], documents: np.ndarray, starts: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """The same from the suffix array of all the bytes."""
     sizes = np.array([len(x) for x in data], np.int64)
     raw = np.frombuffer(b"\0".join(data), np.uint8)
     first = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
@@ -409,11 +438,12 @@ def dedup(
         texts.mapInArrow(_mapper(length, gram, slice_bytes), "rank long, key long, lo long, hi long, a long, c long"), "runs"
     )
     # two longs less to shuffle: 52 bits of the content hash with the run's length (below 4096), and
-    # the place in the text with the 32-bit key; order by (rank, place) is order by (rank, key, lo)
+    # the place in the text with the 32-bit key; order by (rank, place) is order by (rank, key, lo);
+    # dealt out by anchor once, for both windows
     size = F.col("hi") - F.col("lo")
     inside = mapped.where("a is not null").select(
         "a", F.shiftleft("c", 12).bitwiseOR(size).alias("content"), "rank", F.shiftleft("key", 32).bitwiseOR(F.col("lo")).alias("place")
-    )
+    ).repartition("a")
     by_content = Window.partitionBy("a", "content").orderBy("rank", "place")
     by_anchor = Window.partitionBy("a")
     met = inside.withColumn("nth", F.dense_rank().over(by_content)).withColumns(
