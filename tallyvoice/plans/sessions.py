@@ -4,36 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..functions import intent
 from ..operators import arrays, audit
 from ..streaming import sessions
 from .roles import CHUNKS, CLIPS, chunks, clips, table
 
-ORDER = Window.partitionBy("call_id").orderBy("ts", "seq")
+
+def order() -> WindowSpec:
+    """The chunks of a call in order."""
+    return Window.partitionBy("call_id").orderBy("ts", "seq")
 
 
 def rolling_mean_9(spark: SparkSession, sf: str) -> DataFrame:
-    return chunks(spark, sf).select("call_id", "seq", F.round(F.avg("p").over(ORDER.rowsBetween(-8, 0)) + 1e-7, 4).alias("mean9"))
+    return chunks(spark, sf).select("call_id", "seq", F.round(F.avg("p").over(order().rowsBetween(-8, 0)) + 1e-7, 4).alias("mean9"))
 
 
 def running_count(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks at or above 50 so far, and whether the kind changed."""
-    loud = F.sum((F.col("p") >= 50).cast("int")).over(ORDER.rowsBetween(Window.unboundedPreceding, 0))
-    changed = ~F.col("kind").eqNullSafe(F.lag("kind").over(ORDER))
+    loud = F.sum((F.col("p") >= 50).cast("int")).over(order().rowsBetween(Window.unboundedPreceding, 0))
+    changed = ~F.col("kind").eqNullSafe(F.lag("kind").over(order()))
     return chunks(spark, sf).select("call_id", "seq", loud.cast("long").alias("loud_so_far"), changed.alias("changed"))
 
 
 def cumulative_mean(spark: SparkSession, sf: str) -> DataFrame:
-    mean = F.avg("p").over(ORDER.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.row_number().over(ORDER) == 1
+    mean = F.avg("p").over(order().rowsBetween(Window.unboundedPreceding, 0))
+    first = F.row_number().over(order()) == 1
     return chunks(spark, sf).select("call_id", "seq", F.round(mean + 1e-7, 4).alias("mean_so_far"), first.alias("first"))
 
 
 def energy_slope(spark: SparkSession, sf: str) -> DataFrame:
     """Percentiles of the steps between chunks of a call."""
-    steps = chunks(spark, sf).select("call_id", (F.col("p") - F.lag("p").over(ORDER)).alias("d")).where("d is not null")
+    steps = chunks(spark, sf).select("call_id", (F.col("p") - F.lag("p").over(order())).alias("d")).where("d is not null")
     q = F.percentile("d", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
     return steps.groupBy("call_id").agg(q.alias("q")).select("call_id", *[F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("p5", "p50", "p95"))])
 
