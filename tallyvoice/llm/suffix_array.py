@@ -46,8 +46,8 @@ from .hashing import BYTE_VALUES, expand, mix, powers, ranges, sums_of, union_le
 LENGTH = 100
 GRAM = 24
 #: Bytes of text in a map-side slice, and of runs in a shard's suffix array.
-SLICE_BYTES = 3 << 20
-BLOCK_BYTES = 2 << 20
+SLICE_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Longer runs of one anchor (periodic text) are cut.
 RUN_WINDOWS = 4096
 
