@@ -11,11 +11,13 @@ weighted Jaccard similarity.
 Documents with equal weighted sets are one class before any join (its smallest id stands for it).
 Classes meet in bands of ``rows`` coordinates. Each is paired with the foremost member of its bands,
 the one that shares bands with the most others; pairs are screened by weight and signature, verified
-exactly on their shingle multisets, and accepted pairs merged to components. Members of a band that are still in
-different components then meet the band's ``LEADERS`` foremost members in the same way. So a band
-costs pairs in proportion to its members, however large it is. A link between two texts is missed
-only if in none of the ``BANDS`` bands that hold both one of them is among the foremost and no other
-links join their components; bands of up to ``LEADERS`` unmerged members are compared in full.
+exactly on their shingle multisets, and accepted pairs merged to components. In bands whose members
+are still in different components, members then meet the next foremost ones of other components in
+rounds, ``LEADERS`` a band at first and four times as many each round, until every band is one
+component or all of its pairs of different components have met. So no link that a band shows is lost,
+and copies of one text, however many, are merged by the first round in pairs in proportion to their number.
+``n_links`` counts the links that were verified on the way; links inside a component that others
+had already joined are not looked at.
 
 Components come from label propagation in joins with ``checkpoint`` between rounds; nothing but loop
 counters reaches the driver.
@@ -42,8 +44,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 28
 ROWS = 5
-#: Members of a band that are still in different components meet this many of its foremost members.
+#: Members of a band that are still in different components meet this many of its foremost members in the first round.
 LEADERS = 16
+#: Coordinates of which one bit is kept beside the bands, to screen pairs inside the join that makes them.
+SCREEN_BITS = 128
 SLICE_BYTES = 1 << 20
 
 U = np.uint64
@@ -133,7 +137,7 @@ def _fold(columns: np.ndarray) -> np.ndarray:
 
 
 def _signer(shingle: int, weighted: bool, bands: int, rows: int):
-    """(rank, key, text) to (rank, key, set digest, weight, band hashes, a byte of each coordinate)."""
+    """(rank, key, text) to (rank, key, set digest, weight, band hashes, a byte of each coordinate, a bit of some)."""
     coordinates = bands * rows
     darts = coordinates * (np.log(coordinates) + 2)
 
@@ -148,6 +152,10 @@ def _signer(shingle: int, weighted: bool, bands: int, rows: int):
                     np.add.at(total, text, mix(unit ^ U(0x1234567 + k)))
                 sign = signatures(text, unit, n, coordinates, darts)
                 band = np.stack([_fold(sign[:, k * rows : (k + 1) * rows]) ^ U(k) for k in range(bands)], 1)
+                bits = np.zeros((n, SCREEN_BITS), np.uint8)
+                some = min(SCREEN_BITS, coordinates)
+                bits[:, :some] = (sign[:, :some] >> U(39)) & U(1)
+                bits = np.packbits(bits, axis=1).view(np.int64)
                 lists = lambda x: pa.ListArray.from_arrays(
                     pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel().view(np.int64))
                 )
@@ -156,8 +164,9 @@ def _signer(shingle: int, weighted: bool, bands: int, rows: int):
                         batch.column(0), batch.column(1),
                         pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(weight, pa.int64()),
                         lists(band), pa.array([x.tobytes() for x in ((sign >> U(40)) & U(0xFF)).astype(np.uint8)], pa.binary()),
+                        *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(2)),
                     ],
-                    names=["rank", "key", "d1", "d2", "weight", "bands", "sketch"],
+                    names=["rank", "key", "d1", "d2", "weight", "bands", "sketch", "b1", "b2"],
                 )
 
     return run
@@ -180,6 +189,18 @@ def _sets(shingle: int, weighted: bool):
     return run
 
 
+def _possible(similarity: float, n_bits: int):
+    """Whether weights and bits of a pair in a join leave the similarity possible.
+
+    The weighted similarity is at most the ratio of the weights. Of ``n_bits`` bits a pair at the
+    threshold differs in half of its dissimilar coordinates; 4.5 standard deviations are allowed.
+    """
+    differ = (1 - similarity) / 2
+    bound = n_bits * differ + 4.5 * (n_bits * differ * (1 - differ)) ** 0.5
+    bits = F.bit_count(F.col("b1").bitwiseXOR(F.col("a1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("a2")))
+    return (F.least("weight", "wa") >= F.lit(similarity) * F.greatest("weight", "wa")) & (bits <= bound)
+
+
 def _screen(similarity: float):
     """Pairs whose weights and signatures leave the similarity possible.
 
@@ -256,7 +277,7 @@ def classes(
     signed = materialise(
         base.mapInArrow(
             _signer(shingle, weighted, bands, rows),
-            "rank long, key long, d1 long, d2 long, weight long, bands array<long>, sketch binary",
+            "rank long, key long, d1 long, d2 long, weight long, bands array<long>, sketch binary, b1 long, b2 long",
         ),
         "signatures",
     )
@@ -274,13 +295,13 @@ def classes(
     name = lambda r, k: F.xxhash64(r, k)
     reps = some.join(
         members.select(F.col("hr").alias("rank"), F.col("hk").alias("key")).distinct(), ["rank", "key"], "left_semi"
-    ).dropDuplicates(["rank", "key"]).select(name("rank", "key").alias("id"), "bands", "sketch", "weight")
+    ).dropDuplicates(["rank", "key"]).select(name("rank", "key").alias("id"), "bands", "sketch", "weight", "b1", "b2")
     reps = materialise(reps, "classes")
     texts = base.dropDuplicates(["rank", "key"])
     banded = reps.select("id", F.posexplode("bands").alias("band", "h"))
     sizes = banded.groupBy("h", "band", F.hash("h").alias("_part")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = materialise(banded.join(sizes.select("h", "band", "n"), ["h", "band"]), "bands")
-    degree = met.groupBy("id").agg(F.sum("n").alias("deg"))
+    degree = met.groupBy("id").agg(F.sum("n").alias("deg")).join(reps.select("id", "weight", "b1", "b2"), "id")
     groups = materialise(met.select("id", "h", "band").join(degree, "id"), "groups")
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
@@ -305,19 +326,32 @@ def classes(
     led = groups.join(leader.select("h", "band", "top"), ["h", "band"]).where("id <> top.id")
     star = verified(led.groupBy("id").agg(F.max("top").alias("top")).select(F.col("top.id").alias("a"), F.col("id").alias("b")), "stars")
     linked = star.where("similar").select("a", "b")
-    found = components(linked, "stars")
-    # members of a band that are still apart meet its foremost members
-    apart = groups.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).select("id", "h", "band", "deg", "c")
-    still = apart.groupBy("h", "band", F.hash("h").alias("_part")).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-    apart = materialise(apart.join(still.select("h", "band"), ["h", "band"]), "apart")
+    # members of a band that are still apart meet its foremost members, in rounds; ranks in a band stay,
+    # so each pair of different components comes up when the foremost of the two is a leader
+    merged, links, done, upto, turn = components(linked, "stars"), linked, 0, leaders_per_band, 0
     foremost = Window.partitionBy("h", "band").orderBy(F.desc("deg"), "id")
-    leaders = apart.withColumn("nth", F.row_number().over(foremost)).where(F.col("nth") <= leaders_per_band)
-    leaders = leaders.select("h", "band", F.col("id").alias("a"), F.col("c").alias("ca"))
-    pairs = apart.join(leaders, ["h", "band"]).where("id <> a and c <> ca").select("a", F.col("id").alias("b"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = verified(pairs.join(star.select("a", "b"), ["a", "b"], "left_anti"), "meets").where("similar").select("a", "b")
-    links = materialise(linked.union(more), "links")
-    merged = components(links, "all")
+    possible = _possible(similarity, min(SCREEN_BITS, bands * rows))
+    while True:
+        placed = groups.join(merged, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        still = placed.groupBy("h", "band", F.hash("h").alias("_part")).agg(
+            F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")
+        ).where((F.col("lo") != F.col("hi")) & (F.col("n") > done + 1))
+        apart = materialise(placed.join(still.select("h", "band"), ["h", "band"]), "apart")
+        if apart.isEmpty():
+            break
+        leaders = apart.withColumn("nth", F.row_number().over(foremost)).where(F.col("nth") <= upto).where(F.col("nth") > done)
+        leaders = leaders.select(
+            "h", "band", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("deg").alias("da"),
+            F.col("weight").alias("wa"), F.col("b1").alias("a1"), F.col("b2").alias("a2"),
+        )
+        behind = (F.col("deg") < F.col("da")) | ((F.col("deg") == F.col("da")) & (F.col("id") > F.col("a")))
+        pairs = apart.join(leaders, ["h", "band"]).where(behind & (F.col("c") != F.col("ca")) & possible)
+        pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+        more = verified(pairs.join(star.select("a", "b"), ["a", "b"], "left_anti"), f"meets{turn}").where("similar").select("a", "b")
+        if not more.isEmpty():
+            links = materialise(links.union(more).distinct(), "links")
+            merged = components(links, f"all{turn}")
+        done, upto, turn = upto, upto * 4, turn + 1
     degrees = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     placed = members.withColumn("id", name("hr", "hk")).join(merged, "id", "left").join(degrees, "id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "id"))

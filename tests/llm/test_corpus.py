@@ -250,6 +250,22 @@ def test_minhash_group_of_near_copies(spark):
     assert got.select("cluster_id").distinct().count() == 1
 
 
+@pytest.mark.parametrize("leaders", [1, 16])
+def test_minhash_band_of_many_groups(spark, leaders):
+    """Pairs of near copies that share a passage: bands hold many groups, and no group's link is lost."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    shared = [word() for _ in range(150)]
+    rows = []
+    for i in range(70):
+        own = shared + [word() for _ in range(60)]
+        rows.append((2 * i, " ".join(own)))
+        own[170 + i % 30] = word()
+        rows.append((2 * i + 1, " ".join(own)))
+    got = by_id(minhash.report(spark.createDataFrame(rows, "doc_id long, text string"), leaders_per_band=leaders, rows=2))
+    assert all(got[i].cluster_id == i // 2 * 2 for i in range(140))
+
+
 def test_signatures_estimate_weighted_similarity():
     shared, own = 700, 150
     unit = np.concatenate([np.arange(shared + own), np.arange(shared), 10**6 + np.arange(own)]).astype(np.uint64)
