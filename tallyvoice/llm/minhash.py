@@ -297,22 +297,21 @@ def classes(
         members.select(F.col("hr").alias("rank"), F.col("hk").alias("key")).distinct(), ["rank", "key"], "left_semi"
     ).dropDuplicates(["rank", "key"]).select(name("rank", "key").alias("id"), "bands", "sketch", "weight", "b1", "b2")
     reps = materialise(reps, "classes")
-    texts = base.dropDuplicates(["rank", "key"])
     banded = reps.select("id", F.posexplode("bands").alias("band", "h"))
     sizes = banded.groupBy("h", "band", F.hash("h").alias("_part")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = materialise(banded.join(sizes.select("h", "band", "n"), ["h", "band"]), "bands")
     degree = met.groupBy("id").agg(F.sum("n").alias("deg")).join(reps.select("id", "weight", "b1", "b2"), "id")
     groups = materialise(met.select("id", "h", "band").join(degree, "id"), "groups")
+    # texts are shuffled once, to pack the sets of those that meet any other
+    texts = base.select(name("rank", "key").alias("id"), "key", "text").join(groups.select("id").distinct(), "id", "left_semi")
+    sets = texts.dropDuplicates(["id"]).mapInArrow(_sets(shingle, weighted), "rank long, key long, set binary")
+    sets = materialise(sets.select(F.col("rank").alias("id"), "set"), "sets")
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         sketches = reps.select("id", "sketch", "weight")
         pairs = pairs.join(sketches.toDF("a", "s1", "w1"), "a").join(sketches.toDF("b", "s2", "w2"), "b")
         pairs = pairs.select("a", "b", "s1", "s2", "w1", "w2").mapInArrow(_screen(similarity), "a long, b long")
-        pairs = materialise(pairs, f"{label}-pairs")
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        named = texts.withColumn("id", name("rank", "key")).join(wanted, "id", "left_semi").select("id", "key", "text")
-        sets = named.mapInArrow(_sets(shingle, weighted), "rank long, key long, set binary").select(F.col("rank").alias("id"), "set")
         joined = pairs.join(sets.withColumnsRenamed({"id": "a", "set": "set_a"}), "a").join(
             sets.withColumnsRenamed({"id": "b", "set": "set_b"}), "b"
         )
