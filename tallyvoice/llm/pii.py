@@ -4,16 +4,17 @@ Base spans: emails, IP addresses, card and phone numbers by the contract's patte
 from the lengths of what lies between the matches, so no Python is needed; where the patterns' quantifiers could
 recurse or retry, equivalent possessive forms are used, which also hold on very long texts.
 
-Sanitisation: every valid base value is a protected entity. Terms within ``CONTEXT_CHARS`` of its
-occurrences co-occur with it. Over the whole corpus, PMI(t; e) = log2(n_te * n / (n_t * n_e)) says how
-much a term reveals of an entity whose information content is IC(e) = log2(n / n_e). A term is
-disclosing where PMI >= ``DISCLOSURE`` * IC and the pair stands in at least ``MIN_CONTEXTS`` different
-contexts, so that mere copies of one passage prove nothing. Occurrences of disclosing terms beside
-their entity become spans of kind ``term``.
-
-Scale: counts are partial aggregates, so an entity or term in a third of the rows does not gather in
-a task; occurrences, not document texts, are shuffled; no pair is formed beyond one entity and the
-bounded context beside it. Whether a join is broadcast is left to Spark's own size check.
+Sanitisation: every valid base value is a protected entity; the terms of a text are its words outside
+base spans. Each different text counts once, so copies prove nothing. Over these, PMI(t; e) =
+log2(n_te * n / (n_t * n_e)) says how much a term reveals of an entity whose information content is
+IC(e) = log2(n / n_e), all four counted over whole texts. A term is disclosing where PMI >=
+``DISCLOSURE`` * IC. Every occurrence of a disclosing term in a text that holds its entity becomes a
+span of kind ``term``.
+
+Scale: counts are one partial aggregate of entities, terms and pairs over distinct texts, written once;
+an entity or term in a third of the rows does not gather in a task. Pairs are those within a text:
+its different entities times its words. Marking joins them to the disclosing pairs by entity and term,
+never an entity's texts to all its terms. Whether a join is broadcast is left to Spark's size check.
 
 Defined results: null or empty texts have no spans; repeated rows give equal rows; a null id stays
 null; in ``sanitise`` other columns pass through.
@@ -26,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, text_or_empty
+from .common import held, materialise, settled, text_or_empty
 
 # Kinds in the contract's order, and its patterns. A run of pattern characters is only
 # tried from its start or from the end of the last match; from inside it no match could begin.
@@ -43,9 +44,7 @@ IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 VALID_IP = rf"^{IP_PART}\.{IP_PART}\.{IP_PART}\.{IP_PART}$"
 
 TERM = r"\p{L}{3,}"
-CONTEXT_CHARS = 48
 DISCLOSURE = 0.8
-MIN_CONTEXTS = 3
 CHUNK = 256
 
 SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
@@ -160,87 +159,81 @@ def each_span(kind: str, make: Callable[[str, Column], Column]) -> Column:
 
 
 def _text_key() -> list[Column]:
-    """What tells texts of equal ids apart."""
+    """What tells texts apart."""
     return [F.xxhash64("text").alias("key"), F.length("text").alias("size")]
 
 
-def contexts(based: DataFrame) -> DataFrame:
-    """A row for each term beside each occurrence of an entity: id, key, entity, term, span, context."""
-    every = F.concat(
-        *[
-            each_span(
-                kind,
-                lambda k, s: F.struct(
-                    F.concat(F.lit(f"{k}:"), F.lower(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end")
-                ),
-            )
-            for kind in KINDS
-        ]
-    )
-    c = F.lit(CONTEXT_CHARS).cast("long")
-    # outer: the filter that an inner explode implies would be pushed below what computes the spans
-    hit = based.select("id", *_text_key(), "text", F.explode_outer(every).alias("hit")).where("hit is not null")
-    left_at = F.greatest(F.col("hit.start") - c, F.lit(0).cast("long"))
+def replaced(rows: DataFrame, put: Callable[[Column, Column], Column]) -> DataFrame:
+    """Add ``clean``: the text with each part under ``every`` (sorted spans) as ``put(span, from where)``."""
+    rows = rows.withColumn("reach", F.transform("every", lambda s: s["end"]))
+    rows = with_steps(rows, scan("reach", F.greatest, 0))
+    before = lambda i: F.coalesce(F.get(F.col("reach_scan"), i - 1), F.lit(0).cast("long"))
     sub = lambda a, n: F.substring(F.col("text"), (a + 1).cast("int"), n.cast("int"))
-    sides = F.array(
-        F.struct(left_at.alias("at"), sub(left_at, F.col("hit.start") - left_at).alias("side")),
-        F.struct(F.col("hit.end").alias("at"), sub(F.col("hit.end"), c).alias("side")),
-    )
-    rows = hit.select(
-        "id", "key", "size", F.col("hit.entity").alias("entity"), F.explode(sides).alias("s"),
-    ).select("id", "key", "size", "entity", F.col("s.at").alias("at"), F.col("s.side").alias("side"))
-    rows = located(rows, "side", TERM, None, "terms")
-    # terms that the edge of the window may have cut are left out
-    inner = F.filter("terms", lambda t: (t["start"] > 0) & (t["end"] < F.length("side")))
-    return rows.select(
-        "id", "key", "size", "entity", F.xxhash64("side").alias("context"), "at", F.explode_outer(inner).alias("t")
-    ).where("t is not null").select(
-        "id", "key", "size", "entity", "context",
-        F.lower("t.value").alias("term"),
-        (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end"),
-    )
-
-
-def disclosing_terms(docs: DataFrame, around: DataFrame) -> DataFrame:
-    """Pairs (entity, term) whose PMI exceeds the disclosure threshold, over the whole corpus."""
-    total = docs.agg(F.count(F.lit(1)).alias("n"))
-    doc = F.struct("id", "key", "size")
-    seen = around.select("entity", "term", "context", F.xxhash64(doc).alias("doc"))
-    pairs = (
-        seen.groupBy("entity", "term")
-        .agg(F.countDistinct("doc").alias("n_te"), F.countDistinct("context").alias("contexts"))
-        .where(F.col("contexts") >= MIN_CONTEXTS)
+    piece = lambda s, i: F.concat(
+        F.when(s["start"] > before(i), sub(before(i), s["start"] - before(i))).otherwise(F.lit("")),
+        F.when(s["end"] > before(i), put(s, F.greatest(s["start"], before(i)))).otherwise(F.lit("")),
     )
-    entities = seen.groupBy("entity").agg(F.countDistinct("doc").alias("n_e"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    frequency = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    scored = pairs.join(entities, "entity").join(frequency, "term").join(total)
+    last = before(F.size("every"))
+    clean = F.concat(F.array_join(F.transform("every", piece), ""), sub(last, F.length("text")))
+    return rows.withColumn("clean", F.when(F.size("every") == 0, F.col("text")).otherwise(clean)).drop("reach", "reach_scan")
+
+
+def known(rows: DataFrame) -> DataFrame:
+    """key and size of each text, its different entities, and ``clean``: base spans turned to blanks."""
+    based = with_base_spans(rows.select("text"))
+    places = [each_span(k, lambda _, s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS]
+    values = [each_span(k, lambda k, s: F.concat(F.lit(f"{k}:"), F.lower(s["value"]))) for k in KINDS]
+    based = based.select("text", F.array_distinct(F.concat(*values)).alias("entities"), F.sort_array(F.concat(*places)).alias("every"))
+    blank = lambda s, at: F.repeat(F.lit(" "), (s["end"] - at).cast("int"))
+    return replaced(based, blank).select(*_text_key(), "entities", "clean")
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """Numbers of different texts with (entity, term); a null stands for any."""
+    words = F.regexp_extract_all("clean", F.lit(TERM), F.lit(0))
+    texts = known(rows.select("text").distinct()).select("entities", F.array_distinct(F.transform(words, F.lower)).alias("terms"))
+    any_or = lambda c: F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col(c)))
+    pairs = texts.select(any_or("entities").alias("entity"), "terms").select("entity", any_or("terms").alias("term"))
+    return pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def disclosing_terms(counts: DataFrame) -> DataFrame:
+    """Pairs (entity, term) whose PMI reaches the disclosure threshold, over the whole corpus."""
+    total = counts.where("entity is null and term is null").select("n")
+    entities = counts.where("entity is not null and term is null").select("entity", F.col("n").alias("n_e"))
+    frequency = counts.where("entity is null and term is not null").select("term", F.col("n").alias("n_t"))
+    pairs = counts.where("entity is not null and term is not null").select("entity", "term", F.col("n").alias("n_te"))
+    scored = pairs.join(entities, "entity").join(frequency, "term").crossJoin(F.broadcast(total))
     pmi = F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e")))
     content = F.log2(F.col("n") / F.col("n_e"))
     return scored.where((content > 0) & (pmi >= F.lit(DISCLOSURE) * content)).select("entity", "term")
 
 
+def occurrences(rows: DataFrame) -> DataFrame:
+    """A row for each term occurrence and entity of a text: key, size, entity, term, start, end."""
+    holding = settled(known(rows), "entities").where(F.size("entities") > 0).distinct()
+    found = located(holding, "clean", TERM, None, "terms").select("key", "size", "entities", F.explode_outer("terms").alias("t"))
+    return found.where("t is not null").select(
+        "key", "size", F.explode("entities").alias("entity"), F.lower("t.value").alias("term"),
+        F.col("t.start").alias("start"), F.col("t.end").alias("end"),
+    )
+
+
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """``row`` (the carried columns), ``text``, a column of spans for each base kind, and ``term``."""
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in (carry or (id_col,))]).alias("row"),
-        F.col(id_col).alias("id"),
-        text_or_empty(text_col).alias("text"),
+        F.struct(*[F.col(f"`{c}`") for c in (carry or (id_col,))]).alias("row"), text_or_empty(text_col).alias("text")
     )
-    based = with_base_spans(rows)
-    around = contexts(based.drop("row"))
-    found = disclosing_terms(rows, around)
+    found = disclosing_terms(materialise(counted(rows), "pii-counts"))
+    # grouped by more than the key, so that the join below deals both sides anew and can split a text with many copies
     spans = (
-        around.join(found, ["entity", "term"])
-        .groupBy("id", "key", "size")
+        occurrences(rows).join(found, ["entity", "term"])
+        .groupBy("key", "size", F.hash("key").alias("part"))
         .agg(F.sort_array(F.collect_set(F.struct("start", "end", F.col("term").alias("value")))).alias("term"))
-        .select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("size").alias("_size"), "term")
-    )
-    joined = based.withColumns({"key": F.xxhash64("text"), "size": F.length("text")}).join(
-        spans,
-        F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")) & (F.col("size") == F.col("_size")),
-        "left",
+        .drop("part")
     )
+    based = with_base_spans(rows).select("*", *_text_key())
+    joined = based.join(spans, ["key", "size"], "left")
     return joined.select("row", "text", *KINDS, F.coalesce("term", F.array().cast(SPAN)).alias("term"))
 
 
@@ -280,15 +273,6 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             ]
         )
     )
-    rows = spans.select("row", "text", every.alias("every")).withColumn("reach", F.transform("every", lambda s: s["end"]))
-    rows = with_steps(rows, scan("reach", F.greatest, 0))
-    before = lambda i: F.coalesce(F.get(F.col("reach_scan"), i - 1), F.lit(0).cast("long"))
-    sub = lambda a, n: F.substring(F.col("text"), (a + 1).cast("int"), n.cast("int"))
-    piece = lambda s, i: F.concat(
-        F.when(s["start"] > before(i), sub(before(i), s["start"] - before(i))).otherwise(F.lit("")),
-        F.when(s["end"] > before(i), s["tag"]).otherwise(F.lit("")),
-    )
-    last = before(F.size("every"))
-    clean = F.concat(F.array_join(F.transform("every", piece), ""), sub(last, F.length("text")))
-    kept = F.when(F.col(f"row.`{text_col}`").isNull(), F.lit(None)).when(F.size("every") == 0, F.col("text")).otherwise(clean)
+    rows = replaced(spans.select("row", "text", every.alias("every")), lambda s, at: s["tag"])
+    kept = F.when(F.col(f"row.`{text_col}`").isNull(), F.lit(None)).otherwise(F.col("clean"))
     return rows.select(*[(kept if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -191,6 +191,18 @@ def test_pii_terms_and_many_spans(spark):
     assert got[500].n_email == 1500 and got[500].spans.split(",")[1499] == f"email:{1499 * 7}:{1499 * 7 + 6}"
 
 
+def test_pii_terms_over_whole_texts(spark):
+    """A disclosing term far from its entity, at the edge of the text and in one text only; copies count once."""
+    far = " ".join(["plain"] * 40)
+    one = f"zorblax {far} me@x.org {far} zorblax"
+    rows = [(0, one), (1, one), (2, f"plain you@x.org {far}"), (3, "plain words"), *[(10 + i, f"plain text{i}") for i in range(30)]]
+    got = by_id(pii.report(spark.createDataFrame(rows, "doc_id long, text string")))
+    at = one.rindex("zorblax")
+    for i in (0, 1):
+        assert got[i].spans.split(",")[1:] == ["term:0:7", f"term:{at}:{at + 7}"]
+    assert "term" not in got[2].spans and got[3].spans == ""
+
+
 def test_line_dedup(spark, docs, texts, empty):
     got = by_id(line_dedup.report(docs))
     seen = set()
