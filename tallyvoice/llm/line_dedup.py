@@ -1,9 +1,10 @@
 """Substring dedup by line hashing (operator 6).
 
-A text's lines are its units. Each unit is normalised (lower case, every run of other than letters
+A text's lines are its units, and each block of consecutive short lines (under ``MIN_WORDS`` words, not
+blank) is one more, so that a passage wrapped over lines meets its copies wrapped otherwise. Each unit is normalised (lower case, every run of other than letters
 and digits one space) and hashed to 128 bits; digests are grouped over all documents, the earliest
-occurrence (smallest id, then place) stays, the others are removed. Units of fewer than ``min_words``
-words are never removed: short lines that recur are no copied passages. Offsets of what was kept and
+occurrence (smallest id, then place) stays, the others are removed. Blank units
+and units of fewer than ``min_words`` words stay; the registered query takes every unit that is not blank. Offsets of what was kept and
 removed refer to the original text, in code points.
 
 Scale: the earliest occurrence is a partial aggregate; only digests that recur go on. They are then
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import rank_id, text_or_empty
+from .common import held, rank_id, text_or_empty
 from .pii import scan, with_steps
 
 MIN_WORDS = 20
@@ -42,31 +43,48 @@ def with_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = rows.withColumn("ends", F.transform("lines", lambda x: F.length(x).cast("long") + 1))
     rows = with_steps(rows, scan("ends", lambda a, b: a + b, 0))
     end = lambda i: F.get(F.col("ends_scan"), i) - 1
+    rows = rows.withColumn("brief", F.transform("lines", lambda x: n_words(normalised(x)).between(1, MIN_WORDS - 1)))
+    at = lambda i: F.coalesce(F.get(F.col("brief"), i), F.lit(False))
+    edges = lambda step: F.filter(
+        F.transform("brief", lambda x, i: F.when(x & ~at(i + step), i)), lambda i: i.isNotNull()
+    )
+    rows = rows.withColumns({"first": edges(-1), "last": edges(1)})
+    block = lambda i, k: F.struct(
+        i.alias("place"), (F.get(F.col("last"), k) - i + 1).alias("n"),
+        F.array_join(F.slice(F.col("lines"), i + 1, F.get(F.col("last"), k) - i + 1), " ").alias("line"),
+    )
+    rows = rows.withColumn("blocks", held("last", F.transform("first", block)))
     return rows.withColumn(
         "units",
         F.transform("lines", lambda x, i: F.struct((end(i) - F.length(x)).alias("start"), end(i).alias("end"), x.alias("line"))),
-    ).drop("lines", "ends_scan")
+    ).drop("lines", "ends_scan", "brief", "first", "last")
+
+
+def n_words(line: Column) -> Column:
+    """Words of a normalised line."""
+    return F.when(F.length(line) == 0, 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
 
 
 def removals(units: DataFrame, min_words: int) -> DataFrame:
     """rank, key and place of every unit to remove."""
+    one = F.transform("units", lambda u, i: F.struct(i.alias("place"), F.lit(1).alias("n"), u["line"].alias("line")))
     # outer: the filter that an inner one implies would be pushed below what computes the units
-    rows = units.select("rank", "key", F.posexplode_outer("units").alias("place", "u")).select(
-        "rank", "key", "place", F.array(normalised(F.col("u.line"))).alias("lines")
-    )
-    rows = rows.select("rank", "key", "place", F.explode_outer("lines").alias("line"))
-    rows = rows.where(F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) >= min_words - 1).select(
-        "rank", "key", "place", F.unhex(F.md5("line")).alias("digest")
+    rows = units.select("rank", "key", F.explode_outer(F.concat(one, F.filter("blocks", lambda b: b["n"] > 1))).alias("u"))
+    rows = rows.select("rank", "key", F.col("u.place").alias("place"), F.col("u.n").alias("n"), F.array(normalised(F.col("u.line"))).alias("lines"))
+    rows = rows.select("rank", "key", "place", "n", F.explode_outer("lines").alias("line"))
+    rows = rows.where(n_words(F.col("line")) >= max(min_words, 1)).select(
+        "rank", "key", "place", "n", F.unhex(F.md5("line")).alias("digest")
     )
     place = F.struct("rank", "key", "place")
     # grouped by more than the digest, so that the join below deals both sides anew and can split hot digests
     firsts = (
         rows.groupBy("digest", F.hash("digest").alias("part"))
-        .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
+        .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
+        .where("times > 1")
         .select("digest", "first")
     )
-    return rows.join(firsts, "digest").where(place > F.col("first")).select("rank", "key", "place")
+    gone = rows.join(firsts, "digest").where(place > F.col("first"))
+    return gone.select("rank", "key", F.explode(F.sequence(F.col("place"), F.col("place") + F.col("n") - 1)).alias("place"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

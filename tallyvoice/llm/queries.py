@@ -10,6 +10,10 @@ from . import bpe, chat, decontaminate, html_text, line_dedup, minhash, pii, qua
 from .common import table
 
 
+#: Every unit that is not blank counts in op6_line_dedup.
+LINE_WORDS = 1
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -35,7 +39,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(table(spark, sf_dir, "documents"))
+    return line_dedup.report(table(spark, sf_dir, "documents"), min_words=LINE_WORDS)
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tallyvoice.llm import bpe, chat, decontaminate, html_text, line_dedup, minhash, pii, quality, suffix_array, url_filter
+from tallyvoice.llm import bpe, chat, decontaminate, html_text, line_dedup, minhash, pii, quality, queries, suffix_array, url_filter
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -221,6 +221,18 @@ def test_line_dedup(spark, docs, texts, empty):
     assert line_dedup.report(empty).count() == 0 and "key" in line_dedup.dedup(docs).columns
 
 
+def test_line_dedup_of_short_and_wrapped_lines(spark):
+    """The registered query's rule: short lines count, and a passage wrapped otherwise is one unit."""
+    words = [f"word{i}" for i in range(60)]
+    wrapped = lambda n: "\n".join(" ".join(words[i : i + n]) for i in range(0, 60, n))
+    rows = [(1, "a first line\n\nshort boilerplate\n\n" + wrapped(10)), (2, "Short  boilerplate!\n\nits own line"),
+            (3, wrapped(12) + "\n\nkept"), (4, " ".join(words) + "\nkept too")]
+    got = by_id(line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string"), min_words=queries.LINE_WORDS))
+    assert got[1].n_removed == 0 and got[2].removed_spans == "0:19" and got[2].n_removed == 1
+    assert got[3].n_removed == 5 and got[3].kept_sha256 == sha("\nkept")
+    assert got[4].n_removed == 1 and got[4].kept_sha256 == sha("kept too")
+
+
 def test_chats(spark):
     logs = {1: ["a", "b"], 2: ["a", "b", "c"], 3: ["a", "b", "c"], 4: ["a", "x"], 5: [""], 6: ["z"] * 3, 7: [None, "q"]}
     rows = [(c, t, "user" if t % 2 == 0 else None, x) for c, ts in logs.items() for t, x in enumerate(ts)]
