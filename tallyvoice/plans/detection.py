@@ -111,6 +111,24 @@ def repeated_split_stats(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def repeated_split_full(spark: SparkSession, sf: str) -> DataFrame:
+    """Both classes' rates at both thresholds on the other half, over the reference's 20 splits."""
+    seeds = spark.range(20).select(F.col("id").cast("int").alias("seed"))
+    counted = scores(spark, sf).groupBy("speaker", "y", "p").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(seeds))
+    half = sampling.digest_byte(F.md5(F.concat_ws(":", F.col("seed").cast("string"), F.col("speaker").cast("string"))), 0) % 2
+    counted = counted.withColumn("half", half)
+    cut = counted.where("half = 0 and y = 0").groupBy("seed").agg(
+        *[F.round(F.percentile("p", F.lit(1 - f), F.col("n")), 6).alias(n) for n, f in FPRS.items()]
+    )
+    share = lambda k, n: F.sum(F.when((F.col("y") == k) & (F.col("p") >= F.col(n)), F.col("n")).otherwise(0)) / F.sum(F.when(F.col("y") == k, F.col("n")))
+    names = {f"{n}_{kind}": share(k, n) for n in FPRS for k, kind in ((0, "flagged"), (1, "caught"))}
+    rates = counted.where("half = 1").join(F.broadcast(cut), "seed").groupBy("seed").agg(*[c.alias(n) for n, c in names.items()])
+    return rates.agg(
+        F.count(F.lit(1)).alias("splits"),
+        *[F.round(f(c), 6).alias(f"{n}_{c}") for c in names for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))],
+    )
+
+
 def call_threshold_curve(spark: SparkSession, sf: str) -> DataFrame:
     """Thresholds for several false-alarm budgets from half A, rates on half B."""
     rows = scores(spark, sf).withColumn("in_a", sampling.half_a(F.col("speaker")))
@@ -155,6 +173,11 @@ def fusion_grid_best(spark: SparkSession, sf: str) -> DataFrame:
     return decisions.closest_to_uniform(decisions.grid_eer(scores(spark, sf), 4))
 
 
+def fusion_grid_full(spark: SparkSession, sf: str) -> DataFrame:
+    """The reference's grid: weights in steps of 0.05, 231 triples."""
+    return decisions.closest_to_uniform(decisions.grid_eer(scores(spark, sf), 20))
+
+
 def gated_fusion(spark: SparkSession, sf: str) -> DataFrame:
     rows = scores(spark, sf).withColumn("p", F.round(decisions.gated(F.col("a"), F.col("c"), F.col("b"), 0.2, 0.8), 6))
     return metrics.eer(rows, ["grp"])
@@ -306,4 +329,6 @@ ENTRIES = {
     "time_to_decision_curve": (time_to_decision_curve, f"""WITH {CHUNKS}, r AS (SELECT call_id, call_id % 2 AS y, row_number() OVER o AS k, round(avg(p) OVER (PARTITION BY call_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) / 500, 6) AS m
  FROM chunks WINDOW o AS (PARTITION BY call_id ORDER BY ts, seq)), g(t) AS (VALUES (2::DOUBLE), (4), (6), (8), (10)),
  s AS (SELECT call_id, y, t, max_by(m, k) AS p FROM r JOIN g ON k / 5 <= t GROUP BY call_id, y, t), {eer_sql('s', 't')} SELECT * FROM e"""),
+    "fusion_grid_full": (fusion_grid_full, None),
+    "repeated_split_full": (repeated_split_full, None),
 }

@@ -139,3 +139,16 @@ def test_state_does_not_depend_on_chunking_and_times_out():
     assert one.values.tolist() == two.values.tolist() and whole.timeout == sessions.IDLE_MS
     whole.hasTimedOut = True
     assert list(sessions.fold((1,), iter([]), whole)) == [] and not whole.exists
+
+
+def test_whole_fusion_grid_and_splits(spark):
+    """231 triples reach a best weight between the coarse points; 20 splits report four rates."""
+    from tallyvoice.operators.decisions import weight_grid
+    from tallyvoice.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    best = registry.queries()["fusion_grid_full"](spark, sf).first()
+    assert best.wa + best.wb + best.wc == 20 and weight_grid(spark.range(1), 20).count() == 231
+    got = registry.queries()["repeated_split_full"](spark, sf).first()
+    assert got.splits == 20 and 0 <= got.mean_block_flagged <= got.mean_verify_flagged <= 1
+    assert 0 <= got.min_block_caught <= got.max_verify_caught <= 1
