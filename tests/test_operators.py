@@ -152,3 +152,15 @@ def test_whole_fusion_grid_and_splits(spark):
     got = registry.queries()["repeated_split_full"](spark, sf).first()
     assert got.splits == 20 and 0 <= got.mean_block_flagged <= got.mean_verify_flagged <= 1
     assert 0 <= got.min_block_caught <= got.max_verify_caught <= 1
+
+
+def test_whole_order_and_drawn_rows(spark):
+    """Every order is in the sorted rows, and the drawn rows fill the quotas."""
+    from tallyvoice.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    run = lambda name: registry.queries()[name](spark, sf).collect()
+    rows = [(r.o_orderpriority, -r.o_totalprice, r.o_orderkey) for r in run("lexsort_rows_all")]
+    assert len(rows) == spark.read.parquet(f"{sf}/orders.parquet").count() and rows == sorted(rows)
+    drawn = run("quota_sample_rows")
+    assert {q.attack: q.quota for q in run("quota_sample")} == {a: sum(r.attack == a for r in drawn) for a in {r.attack for r in drawn}}
