@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,6 +170,37 @@ def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def multinomial(cells):
+    """One replicate of one class: its rows drawn with replacement, as counts of its cells."""
+    cells = cells.sort_values(["a", "c"])
+    n = cells["n"].to_numpy()
+    rng = np.random.default_rng([int(cells["r"].iloc[0]), int(cells["y"].iloc[0])])
+    return cells.assign(copies=rng.multinomial(n.sum(), n / n.sum()))
+
+
+def bootstrap_full(spark: SparkSession, sf: str, replicates: int = 1000) -> DataFrame:
+    """The reference's paired bootstrap: rows of each class drawn with replacement, 1000 replicates.
+
+    Drawing rows is a multinomial draw over the class's cells (y, a, c), so it costs cells, not rows.
+    """
+    cells = scores(spark, sf).groupBy("y", "a", "c").agg(F.count(F.lit(1)).alias("n"))
+    reps = spark.range(replicates).select(F.col("id").cast("int").alias("r"))
+    met = cells.crossJoin(F.broadcast(reps)).select("r", "y", "a", "c", "n")
+    drawn = met.groupBy("r", "y").applyInPandas(multinomial, "r int, y int, a double, c double, n long, copies long")
+
+    def one(branch: str, out: str) -> DataFrame:
+        pos, neg = (F.sum(F.when(F.col("y") == k, F.col("copies")).otherwise(0)) for k in (1, 0))
+        counts = drawn.groupBy("r", F.col(branch).alias("score")).agg(pos.alias("pos"), neg.alias("neg")).where("pos + neg > 0")
+        return metrics.eer_of(counts.withColumn(metrics.ALL, F.lit(0)), ["r"]).select("r", F.col("eer_pct").alias(out))
+
+    diff = F.col("second") - F.col("first")
+    return one("a", "first").join(one("c", "second"), "r").agg(
+        F.count(F.lit(1)).alias("replicates"), F.round(F.avg(diff), 4).alias("mean_diff"),
+        F.round(F.percentile(diff, F.lit(0.025)), 4).alias("low"), F.round(F.percentile(diff, F.lit(0.975)), 4).alias("high"),
+        F.round(F.avg((diff > 0).cast("int")), 6).alias("share_above"),
+    )
+
+
 def fusion_grid_best(spark: SparkSession, sf: str) -> DataFrame:
     return decisions.closest_to_uniform(decisions.grid_eer(scores(spark, sf), 4))
 
@@ -331,4 +363,5 @@ ENTRIES = {
  s AS (SELECT call_id, y, t, max_by(m, k) AS p FROM r JOIN g ON k / 5 <= t GROUP BY call_id, y, t), {eer_sql('s', 't')} SELECT * FROM e"""),
     "fusion_grid_full": (fusion_grid_full, None),
     "repeated_split_full": (repeated_split_full, None),
+    "bootstrap_full": (bootstrap_full, None),
 }

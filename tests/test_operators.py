@@ -164,3 +164,13 @@ def test_whole_order_and_drawn_rows(spark):
     assert len(rows) == spark.read.parquet(f"{sf}/orders.parquet").count() and rows == sorted(rows)
     drawn = run("quota_sample_rows")
     assert {q.attack: q.quota for q in run("quota_sample")} == {a: sum(r.attack == a for r in drawn) for a in {r.attack for r in drawn}}
+
+
+def test_whole_bootstrap(spark):
+    """1000 replicates, whose draws keep the size of each class."""
+    from tallyvoice.plans import detection, registry
+
+    cells = pd.DataFrame({"r": 3, "y": 1, "a": [0.1, 0.2, 0.3], "c": 0.5, "n": [5, 1000, 7]})
+    assert detection.multinomial(cells)["copies"].sum() == 1012
+    got = registry.queries()["bootstrap_full"](spark, "/root/testdata/sf0.001").first()
+    assert got.replicates == 1000 and got.low <= got.mean_diff <= got.high
