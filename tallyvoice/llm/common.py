@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType, StructType
 
 #: Rank given to rows whose id is null: before every other id.
 NULL_ID = -(2**63)
@@ -21,18 +23,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+    """The folder that driver and executors share, from ``spark.checkpoint.dir`` or ``setCheckpointDir``.
 
-    Where the session has none (tests in local mode), a temporary folder is made and kept for the
-    life of the Spark context.
+    Where the session has none, a temporary folder is set in local mode only (one machine, as in
+    tests); on a cluster a RuntimeError says what to set.
     """
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    if sc.getCheckpointDir() is None:
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyvoice-"))
-    return sc.getCheckpointDir().rstrip("/")
+        folder = sc.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def _write(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -40,10 +50,38 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
     Lost executors do not lose the rows, and several consumers do not recompute them.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _write(df, label)[0]
+
+
+class Scratch:
+    """Tables in the shared folder that are only needed until ``drop``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        """``materialise``, with the folder noted for ``drop``."""
+        table, path = _write(df, label)
+        self.paths.append(path)
+        return table
+
+    def drop(self) -> None:
+        """Delete the tables; nothing may read them any more."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+        self.paths = []
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    name = base
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def text_or_empty(name: str) -> Column:
@@ -51,8 +89,10 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def rank_id(name: str) -> Column:
-    """The id as a rank: nulls come before all others."""
+def rank_id(name: str, schema: StructType | None = None) -> Column:
+    """The id as a rank: nulls come before all others. With a schema, ids must be whole numbers."""
+    if schema is not None and not isinstance(schema[name].dataType, IntegralType | NullType):
+        raise TypeError(f"{name} has to be a whole number, not {schema[name].dataType.simpleString()}")
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
 
 

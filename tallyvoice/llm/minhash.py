@@ -10,21 +10,31 @@ weighted Jaccard similarity.
 
 Documents with equal weighted sets are one class before any join (its smallest id stands for it).
 Classes meet in bands of ``rows`` coordinates. Each is paired with the foremost member of its bands,
-the one that shares bands with the most others; pairs are screened by weight and signature, verified
-exactly on their shingle multisets, and accepted pairs merged to components. In bands whose members
-are still in different components, members then meet the next foremost ones of other components in
-rounds, ``LEADERS`` a band at first and four times as many each round, until every band is one
-component or all of its pairs of different components have met. So no link that a band shows is lost,
-and copies of one text, however many, are merged by the first round in pairs in proportion to their number.
-``n_links`` counts the links that were verified on the way; links inside a component that others
-had already joined are not looked at.
+the one that shares bands with the most others; pairs are verified exactly on their weighted sets and
+accepted ones merged to components. That settles groups of copies in as many pairs as they have members.
+
+Bands whose members are still in different components are refined exactly, without pairing them all.
+Over the classes in such bands an element is rare where at most ``rare`` of them hold it; m is a class's
+weight in other elements. A similar pair either
+
+* shares a rare element; then the first one that it shares, in order of rarity, is in the prefix of both
+  (what is left behind it is too little for the similarity), and pairs meet on prefix elements: each
+  brings at most ``rare`` classes together; or
+* shares none; then the overlap is at most the smaller m, and pairs meet in their bands where that and
+  the weights leave the similarity possible. Bands are first asked, by weight, whether any such partner
+  is there.
+
+Both kinds are verified exactly. So every pair of different components that shares a band is decided:
+verified, or impossible by its weights. Similar texts are never apart unless no band shows them
+(probability 1.5e-5 at similarity 0.8 with 28 bands of 5).
 
 Components come from label propagation in joins with ``checkpoint`` between rounds; nothing but loop
-counters reaches the driver.
+counters reaches the driver. Intermediate tables are deleted when the components are known.
 
 Defined results: a document of fewer words than a shingle is one element; without words it is alone
 in a class of its own; null texts are empty; a null id ranks first and keeps its null; rows of equal
-id and equal text are one document and give equal rows; other columns are not read.
+id and equal text are one document and give equal rows; other columns are not read. Ids are whole
+numbers; others are refused with a TypeError.
 """
 
 from __future__ import annotations
@@ -37,17 +47,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, rank_id, slices, text_or_empty, utf8_buffer
+from .common import Scratch, free_name, materialise, rank_id, slices, text_or_empty, utf8_buffer
 from .hashing import Words, mix
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 28
 ROWS = 5
-#: Members of a band that are still in different components meet this many of its foremost members in the first round.
-LEADERS = 16
-#: Coordinates of which one bit is kept beside the bands, to screen pairs inside the join that makes them.
-SCREEN_BITS = 128
+#: An element that at most so many of the undecided classes hold is rare.
+RARE = 8
 SLICE_BYTES = 1 << 20
 
 U = np.uint64
@@ -137,7 +145,7 @@ def _fold(columns: np.ndarray) -> np.ndarray:
 
 
 def _signer(shingle: int, weighted: bool, bands: int, rows: int):
-    """(rank, key, text) to (rank, key, set digest, weight, band hashes, a byte of each coordinate, a bit of some)."""
+    """(rank, key, text) to (rank, key, set digest, weight, band hashes)."""
     coordinates = bands * rows
     darts = coordinates * (np.log(coordinates) + 2)
 
@@ -152,71 +160,60 @@ def _signer(shingle: int, weighted: bool, bands: int, rows: int):
                     np.add.at(total, text, mix(unit ^ U(0x1234567 + k)))
                 sign = signatures(text, unit, n, coordinates, darts)
                 band = np.stack([_fold(sign[:, k * rows : (k + 1) * rows]) ^ U(k) for k in range(bands)], 1)
-                bits = np.zeros((n, SCREEN_BITS), np.uint8)
-                some = min(SCREEN_BITS, coordinates)
-                bits[:, :some] = (sign[:, :some] >> U(39)) & U(1)
-                bits = np.packbits(bits, axis=1).view(np.int64)
-                lists = lambda x: pa.ListArray.from_arrays(
-                    pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel().view(np.int64))
+                bands_of = pa.ListArray.from_arrays(
+                    pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(band.ravel().view(np.int64))
                 )
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0), batch.column(1),
-                        pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(weight, pa.int64()),
-                        lists(band), pa.array([x.tobytes() for x in ((sign >> U(40)) & U(0xFF)).astype(np.uint8)], pa.binary()),
-                        *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(2)),
+                        batch.column(0), batch.column(1), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
+                        pa.array(weight, pa.int64()), bands_of,
                     ],
-                    names=["rank", "key", "d1", "d2", "weight", "bands", "sketch", "b1", "b2"],
+                    names=["rank", "key", "d1", "d2", "weight", "bands"],
                 )
 
     return run
 
 
 def _sets(shingle: int, weighted: bool):
-    """(rank, key, text) to the packed sorted elements."""
+    """(id, text) to the packed sorted elements."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 2, SLICE_BYTES):
-                text, unit = elements(Words(*utf8_buffer(batch.column(2))), shingle, weighted)
+            for batch in slices(whole, 1, SLICE_BYTES):
+                text, unit = elements(Words(*utf8_buffer(batch.column(1))), shingle, weighted)
                 order = np.lexsort((unit, text))
                 unit, cuts = unit[order], np.cumsum(np.bincount(text, minlength=batch.num_rows))
                 packed = [x.tobytes() for x in np.split(unit, cuts[:-1])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["rank", "key", "set"]
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["id", "set"])
 
     return run
 
 
-def _possible(similarity: float, n_bits: int):
-    """Whether weights and bits of a pair in a join leave the similarity possible.
-
-    The weighted similarity is at most the ratio of the weights. Of ``n_bits`` bits a pair at the
-    threshold differs in half of its dissimilar coordinates; 4.5 standard deviations are allowed.
-    """
-    differ = (1 - similarity) / 2
-    bound = n_bits * differ + 4.5 * (n_bits * differ * (1 - differ)) ** 0.5
-    bits = F.bit_count(F.col("b1").bitwiseXOR(F.col("a1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("a2")))
-    return (F.least("weight", "wa") >= F.lit(similarity) * F.greatest("weight", "wa")) & (bits <= bound)
-
-
-def _screen(similarity: float):
-    """Pairs whose weights and signatures leave the similarity possible.
-
-    Of k coordinates a pair at the threshold agrees in fewer than the bound, 4.5 standard deviations
-    below its mean, with a probability of about 1e-5.
-    """
+def _occurrences(rare: int):
+    """(id, set) to (element, id, 1); an element of more than ``rare`` sets of a slice is one row of their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
+        for whole in batches:
+            if not whole.num_rows:
                 continue
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("s1", "s2"))
-            w1, w2 = (batch.column(c).to_numpy() for c in ("w1", "w2"))
-            bound = similarity - 4.5 * np.sqrt(similarity * (1 - similarity) / one.shape[1])
-            keep = ((one == two).mean(1) >= bound) & (np.minimum(w1, w2) >= similarity * np.maximum(w1, w2))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            for batch in slices(whole, 1, 8 * SLICE_BYTES):
+                raw, ends = utf8_buffer(batch.column(1))
+                unit = np.frombuffer(raw.tobytes(), np.uint64)
+                owner = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(ends) // 8)
+                order = np.argsort(unit, kind="stable")
+                unit, owner = unit[order], owner[order]
+                heads = np.flatnonzero(np.append(True, unit[1:] != unit[:-1])) if len(unit) else np.zeros(0, np.int64)
+                count = np.diff(np.append(heads, len(unit)))
+                many = count > rare
+                single = np.repeat(~many, count)
+                element = np.concatenate([unit[heads[many]], unit[single]]).view(np.int64)
+                n_many = int(many.sum())
+                none = np.arange(len(element)) < n_many
+                ids = np.concatenate([np.zeros(n_many, np.int64), owner[single]])
+                n = np.concatenate([count[many], np.ones(len(ids) - n_many, np.int64)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(element), pa.array(ids, pa.int64(), mask=none), pa.array(n, pa.int64())], names=["e", "id", "n"]
+                )
 
     return run
 
@@ -240,26 +237,66 @@ def _verify(similarity: float):
     return run
 
 
-def components(links: DataFrame, label: str) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) for the ids of ``links`` (a, b); the component is the smallest id.
 
     Each round takes the smallest label among the neighbours and then that label's own label, so long
-    paths halve. Lineage is cut after each round.
+    paths halve. Each round's labels are a table, so no lineage builds up.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialise(both.distinct(), f"{label}-links")
-    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).select(F.col("a").alias("id"), "c").checkpoint()
+    both = scratch.keep(both.distinct(), "edges")
+    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).select(F.col("a").alias("id"), "c")
+    labels = scratch.keep(labels, "labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
         nearest = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("c").alias("old"), F.least("c", "m").alias("c"))
         jump = labels.select(F.col("id").alias("c"), F.col("c").alias("far"))
-        moved = nearest.join(jump, "c").select("id", F.least("c", "far").alias("c"), "old").checkpoint()
-        changed = moved.where("c <> old").limit(1).count()
+        moved = scratch.keep(nearest.join(jump, "c").select("id", F.least("c", "far").alias("c"), "old"), "labels")
         labels = moved.select("id", "c")
-        if not changed:
+        if moved.where("c <> old").isEmpty():
             return labels.select("id", F.col("c").alias("component"))
 
 
+def _undecided(open_: DataFrame, sets: DataFrame, similarity: float, rare: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of different components that may be similar, from the members of undecided bands.
+
+    ``open_`` holds h, band, id, weight and component c; ``sets`` the packed sets by id.
+    """
+    classes_ = open_.select("id", "weight", "c").distinct()
+    spread = sets.join(open_.select("id").distinct(), "id", "left_semi").mapInArrow(_occurrences(rare), "e long, id long, n long")
+    counted = spread.withColumn("df", F.sum("n").over(Window.partitionBy("e"))).where("df <= %d and id is not null" % rare)
+    own = counted.groupBy("id").agg(
+        F.count(F.lit(1)).alias("n_rare"), F.count(F.when(F.col("df") == 1, 1)).alias("n_alone"),
+        F.sort_array(F.collect_list(F.when(F.col("df") > 1, F.struct("df", "e")))).alias("shared"),
+    )
+    # of a class's elements in order of rarity, at least one of the first weight - similarity * weight + 1 is in any similar one
+    behind = F.col("weight") - F.ceil(F.col("weight") * F.lit(similarity) - F.lit(1e-9)) + 1 - F.coalesce("n_alone", F.lit(0))
+    looked = classes_.join(own, "id", "left").select(
+        "id", "weight", "c", (F.col("weight") - F.coalesce("n_rare", F.lit(0))).alias("m"),
+        F.transform(
+            F.slice(F.coalesce("shared", F.array()), F.lit(1), F.greatest(behind, F.lit(0)).cast("int")), lambda x: x["e"]
+        ).alias("prefix"),
+    )
+    looked = scratch.keep(looked, "undecided")
+    apart = (F.col("c") != F.col("c2")) & (F.least("weight", "w2") >= F.lit(similarity) * F.greatest("weight", "w2"))
+    one = looked.select("id", "weight", "c", F.explode("prefix").alias("e"))
+    two = one.toDF("b", "w2", "c2", "e")
+    by_element = one.join(two, "e").where((F.col("id") < F.col("b")) & apart).select(F.col("id").alias("a"), "b")
+    # without a rare element in common: the heavier looks for lighter ones in its bands
+    possible = lambda w, m, other: m >= F.lit(similarity) * (w + other - m)
+    members = open_.select("h", "band", "id").join(looked.select("id", "weight", "c", "m"), "id")
+    light = members.where(possible(F.col("weight"), F.col("m"), F.col("weight")))
+    heavy = members.where(F.col("m") >= F.lit(similarity) * F.col("weight")).toDF("id", "h", "band", "wa", "ca", "ma")
+    fits = (F.col("weight") <= F.col("wa")) & possible(F.col("wa"), F.least("ma", "m"), F.col("weight"))
+    weights = light.groupBy("h", "band", "weight", F.hash("h").alias("_part")).agg(
+        F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("m").alias("m")
+    ).drop("_part")
+    asked = heavy.join(weights, ["h", "band"]).where(fits & ((F.col("lo") != F.col("ca")) | (F.col("hi") != F.col("ca"))))
+    asked = asked.select("h", "band", "weight", F.col("id").alias("a"), "wa", "ca", "ma")
+    by_band = asked.join(light.withColumnRenamed("id", "b"), ["h", "band", "weight"]).where(fits & (F.col("c") != F.col("ca")))
+    return by_element.union(by_band.select("a", "b"))
+
+
 def classes(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -269,107 +306,78 @@ def classes(
     weighted: bool = True,
     bands: int = BANDS,
     rows: int = ROWS,
-    leaders_per_band: int = LEADERS,
+    rare: int = RARE,
 ) -> DataFrame:
-    """rank and key of each document, its ``set_class`` and its ``cluster`` (both the smallest rank), n_links."""
-    base = docs.select(rank_id(id_col).alias("rank"), text_or_empty(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
-    base = base.select("rank", "key", "text")
-    signed = materialise(
+    """rank and key of each document, its ``set_class`` (hr) and its ``cluster`` (cr, ck): their smallest documents."""
+    scratch = Scratch(docs.sparkSession)
+    base = docs.select(rank_id(id_col, docs.schema).alias("rank"), text_or_empty(text_col).alias("text"))
+    base = base.withColumn("key", F.xxhash64("text")).select("rank", "key", "text")
+    signed = scratch.keep(
         base.mapInArrow(
-            _signer(shingle, weighted, bands, rows),
-            "rank long, key long, d1 long, d2 long, weight long, bands array<long>, sketch binary, b1 long, b2 long",
+            _signer(shingle, weighted, bands, rows), "rank long, key long, d1 long, d2 long, weight long, bands array<long>"
         ),
         "signatures",
     )
     # documents of equal sets are one class; those without words each their own
     some = signed.where("weight > 0")
-    first = F.min(F.struct("rank", "key")).alias("head")
-    heads = some.groupBy("d1", "d2", "weight").agg(first)
-    members = materialise(
-        some.select("rank", "key", "d1", "d2", "weight").join(heads, ["d1", "d2", "weight"]).select(
-            "rank", "key", F.col("head.rank").alias("hr"), F.col("head.key").alias("hk")
-        ),
-        "members",
+    heads = some.groupBy("d1", "d2", "weight").agg(F.min(F.struct("rank", "key")).alias("head"))
+    members = some.select("rank", "key", "d1", "d2", "weight").join(heads, ["d1", "d2", "weight"]).select(
+        "rank", "key", F.col("head.rank").alias("hr"), F.col("head.key").alias("hk")
     )
+    members = scratch.keep(members, "members")
     # a class is known by a number: the hash of its head
     name = lambda r, k: F.xxhash64(r, k)
     reps = some.join(
         members.select(F.col("hr").alias("rank"), F.col("hk").alias("key")).distinct(), ["rank", "key"], "left_semi"
-    ).dropDuplicates(["rank", "key"]).select(name("rank", "key").alias("id"), "bands", "sketch", "weight", "b1", "b2")
-    reps = materialise(reps, "classes")
-    banded = reps.select("id", F.posexplode("bands").alias("band", "h"))
+    ).dropDuplicates(["rank", "key"]).select(name("rank", "key").alias("id"), "bands", "weight")
+    banded = scratch.keep(reps, "classes").select("id", "weight", F.posexplode("bands").alias("band", "h"))
     sizes = banded.groupBy("h", "band", F.hash("h").alias("_part")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = materialise(banded.join(sizes.select("h", "band", "n"), ["h", "band"]), "bands")
-    degree = met.groupBy("id").agg(F.sum("n").alias("deg")).join(reps.select("id", "weight", "b1", "b2"), "id")
-    groups = materialise(met.select("id", "h", "band").join(degree, "id"), "groups")
+    met = scratch.keep(banded.join(sizes.select("h", "band", "n"), ["h", "band"]), "bands")
+    degree = met.groupBy("id").agg(F.sum("n").alias("deg"))
+    groups = scratch.keep(met.select("id", "weight", "h", "band").join(degree, "id"), "groups")
     # texts are shuffled once, to pack the sets of those that meet any other
-    texts = base.select(name("rank", "key").alias("id"), "key", "text").join(groups.select("id").distinct(), "id", "left_semi")
-    sets = texts.dropDuplicates(["id"]).mapInArrow(_sets(shingle, weighted), "rank long, key long, set binary")
-    sets = materialise(sets.select(F.col("rank").alias("id"), "set"), "sets")
+    texts = base.select(name("rank", "key").alias("id"), "text").join(groups.select("id").distinct(), "id", "left_semi")
+    sets = scratch.keep(texts.dropDuplicates(["id"]).mapInArrow(_sets(shingle, weighted), "id long, set binary"), "sets")
 
-    def verified(pairs: DataFrame, label: str) -> DataFrame:
+    def similar(pairs: DataFrame, label: str) -> DataFrame:
+        """The pairs whose sets reach the similarity."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        sketches = reps.select("id", "sketch", "weight")
-        pairs = pairs.join(sketches.toDF("a", "s1", "w1"), "a").join(sketches.toDF("b", "s2", "w2"), "b")
-        pairs = pairs.select("a", "b", "s1", "s2", "w1", "w2").mapInArrow(_screen(similarity), "a long, b long")
         joined = pairs.join(sets.withColumnsRenamed({"id": "a", "set": "set_a"}), "a").join(
             sets.withColumnsRenamed({"id": "b", "set": "set_b"}), "b"
         )
-        return materialise(
-            joined.select("a", "b", "set_a", "set_b").mapInArrow(_verify(similarity), "a long, b long, similar boolean"), label
-        )
+        checked = joined.select("a", "b", "set_a", "set_b").mapInArrow(_verify(similarity), "a long, b long, similar boolean")
+        return scratch.keep(checked.where("similar").select("a", "b"), label)
 
-    # each document meets the foremost of its bands' foremost members, the one that shares bands with
-    # the most others: of near copies that is the text they were made from, to which all are similar
-    leader = groups.groupBy("h", "band", F.hash("h").alias("_part")).agg(F.max(F.struct("deg", "id")).alias("top"))
+    # each class meets the foremost of its bands' foremost members, the one that shares bands with
+    # the most others: of near copies that is the text they were made from, to which most are similar
+    leader = groups.groupBy("h", "band", F.hash("h").alias("_part")).agg(F.max(F.struct("deg", "id", "weight")).alias("top"))
     led = groups.join(leader.select("h", "band", "top"), ["h", "band"]).where("id <> top.id")
-    star = verified(led.groupBy("id").agg(F.max("top").alias("top")).select(F.col("top.id").alias("a"), F.col("id").alias("b")), "stars")
-    linked = star.where("similar").select("a", "b")
-    # members of a band that are still apart meet its foremost members, in rounds; ranks in a band stay,
-    # so each pair of different components comes up when the foremost of the two is a leader
-    merged, links, done, upto, turn = components(linked, "stars"), linked, 0, leaders_per_band, 0
-    foremost = Window.partitionBy("h", "band").orderBy(F.desc("deg"), "id")
-    possible = _possible(similarity, min(SCREEN_BITS, bands * rows))
-    while True:
-        placed = groups.join(merged, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        still = placed.groupBy("h", "band", F.hash("h").alias("_part")).agg(
-            F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")
-        ).where((F.col("lo") != F.col("hi")) & (F.col("n") > done + 1))
-        apart = materialise(placed.join(still.select("h", "band"), ["h", "band"]), "apart")
-        if apart.isEmpty():
-            break
-        leaders = apart.withColumn("nth", F.row_number().over(foremost)).where(F.col("nth") <= upto).where(F.col("nth") > done)
-        leaders = leaders.select(
-            "h", "band", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("deg").alias("da"),
-            F.col("weight").alias("wa"), F.col("b1").alias("a1"), F.col("b2").alias("a2"),
-        )
-        behind = (F.col("deg") < F.col("da")) | ((F.col("deg") == F.col("da")) & (F.col("id") > F.col("a")))
-        pairs = apart.join(leaders, ["h", "band"]).where(behind & (F.col("c") != F.col("ca")) & possible)
-        pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        more = verified(pairs.join(star.select("a", "b"), ["a", "b"], "left_anti"), f"meets{turn}").where("similar").select("a", "b")
-        if not more.isEmpty():
-            links = materialise(links.union(more).distinct(), "links")
-            merged = components(links, f"all{turn}")
-        done, upto, turn = upto, upto * 4, turn + 1
-    degrees = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    placed = members.withColumn("id", name("hr", "hk")).join(merged, "id", "left").join(degrees, "id", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "id"))
+    led = led.where(F.least("weight", "top.weight") >= F.lit(similarity) * F.greatest("weight", "top.weight"))
+    star = led.groupBy("id").agg(F.max("top").alias("top")).select(F.col("top.id").alias("a"), F.col("id").alias("b"))
+    links = similar(star, "stars")
+    merged = components(links, scratch)
+    placed = groups.join(merged, "id", "left").withColumn("c", F.coalesce("component", "id"))
+    still = placed.groupBy("h", "band", F.hash("h").alias("_part")).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    open_ = scratch.keep(placed.join(still.select("h", "band"), ["h", "band"]).select("h", "band", "id", "weight", "c"), "open")
+    more = similar(_undecided(open_, sets, similarity, rare, scratch), "links")
+    merged = components(links.union(more), scratch)
+    placed = members.withColumn("id", name("hr", "hk")).join(merged, "id", "left").withColumn("component", F.coalesce("component", "id"))
     lowest = placed.groupBy("component").agg(F.min(F.struct("rank", "key")).alias("low"))
     clustered = placed.join(lowest, "component").select(
-        "rank", "key", "hr", F.col("low.rank").alias("cr"), F.col("low.key").alias("ck"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
-    )
-    alone = signed.where("weight = 0").select(
-        "rank", "key", F.col("rank").alias("hr"), F.col("rank").alias("cr"), F.col("key").alias("ck"), F.lit(0).cast("long").alias("n_links")
+        "rank", "key", "hr", F.col("low.rank").alias("cr"), F.col("low.key").alias("ck")
     )
-    return clustered.union(alone).dropDuplicates(["rank", "key"])
+    alone = signed.where("weight = 0").select("rank", "key", F.col("rank").alias("hr"), F.col("rank").alias("cr"), F.col("key").alias("ck"))
+    found = materialise(clustered.union(alone).dropDuplicates(["rank", "key"]), "clusters")
+    scratch.drop()
+    return found
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Per document: its class of equal sets, its cluster of near-duplicates, verified links, whether it stays."""
+    """Per document: its class of equal sets, its cluster of near-duplicates, whether it stays."""
     found = classes(docs, id_col, text_col, **options)
-    rows = docs.select(F.col(id_col).alias("id"), rank_id(id_col).alias("rank"), F.xxhash64(text_or_empty(text_col)).alias("key"))
+    rows = docs.select(F.col(id_col).alias("id"), rank_id(id_col, docs.schema).alias("rank"), F.xxhash64(text_or_empty(text_col)).alias("key"))
     return rows.join(found, ["rank", "key"]).select(
-        F.col("id").alias(id_col), F.col("hr").alias("class_id"), F.col("cr").alias("cluster_id"), "n_links",
+        F.col("id").alias(id_col), F.col("hr").alias("class_id"), F.col("cr").alias("cluster_id"),
         ((F.col("rank") == F.col("cr")) & (F.col("key") == F.col("ck"))).alias("kept"),
     )
 
@@ -377,6 +385,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents, with all columns, without those whose near-duplicate of smaller id stays."""
     found = classes(docs, id_col, text_col, **options)
-    gone = found.where("rank <> cr or key <> ck").select(F.col("rank").alias("_rank"), F.col("key").alias("_key"))
-    condition = (rank_id(id_col) == F.col("_rank")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_key"))
+    rank, key = free_name(docs, "rank"), free_name(docs, "key")
+    gone = found.where("rank <> cr or key <> ck").select(F.col("rank").alias(rank), F.col("key").alias(key))
+    condition = (rank_id(id_col, docs.schema) == F.col(rank)) & (F.xxhash64(text_or_empty(text_col)) == F.col(key))
     return docs.join(gone, condition, "left_anti").dropDuplicates([id_col, text_col])

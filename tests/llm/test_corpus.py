@@ -274,8 +274,8 @@ def test_minhash_group_of_near_copies(spark):
     assert got.select("cluster_id").distinct().count() == 1
 
 
-@pytest.mark.parametrize("leaders", [1, 16])
-def test_minhash_band_of_many_groups(spark, leaders):
+@pytest.mark.parametrize("rare", [1, 8])
+def test_minhash_band_of_many_groups(spark, rare):
     """Pairs of near copies that share a passage: bands hold many groups, and no group's link is lost."""
     rng = random.Random(5)
     word = lambda: f"w{rng.randrange(10**9)}"
@@ -286,10 +286,42 @@ def test_minhash_band_of_many_groups(spark, leaders):
         rows.append((2 * i, " ".join(own)))
         own[170 + i % 30] = word()
         rows.append((2 * i + 1, " ".join(own)))
-    got = by_id(minhash.report(spark.createDataFrame(rows, "doc_id long, text string"), leaders_per_band=leaders, rows=2))
+    got = by_id(minhash.report(spark.createDataFrame(rows, "doc_id long, text string"), rare=rare, rows=2))
     assert all(got[i].cluster_id == i // 2 * 2 for i in range(140))
 
 
+def test_minhash_recall_over_all_pairs(spark):
+    """Clusters of whole sf0.01 are the components of all pairs of similarity 0.8 or more, found by brute force."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in table.select("doc_id", "text").collect()}
+    sets, ids = [], sorted(texts)
+    for d in ids:
+        w = WORD.findall((texts[d] or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        sets.append(collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)] if w else []))
+    weight, holders = [sum(s.values()) for s in sets], collections.defaultdict(list)
+    for k, s in enumerate(sets):
+        for e in s:
+            holders[e].append(k)
+    label = list(range(len(ids)))
+    for k, s in enumerate(sets):
+        for other in {o for e in s for o in holders[e] if o > k and min(weight[o], weight[k]) >= 0.8 * max(weight[o], weight[k])}:
+            both = sum((s & sets[other]).values())
+            if both >= 0.8 * (weight[k] + weight[other] - both) and label[k] != label[other]:
+                low, high = sorted((label[k], label[other]))
+                label = [low if x == high else x for x in label]
+    assert len(set(label)) < len(ids) - 50
+    for r in minhash.report(table).collect():
+        assert r.cluster_id == ids[label[ids.index(r.doc_id)]]
+
+
+def test_minhash_ids_and_clashing_names(spark):
+    rows = [(None, "a b c d e f", 1, 2), (None, "a b c d e f", 1, 2), (5, "A b c d e f", 1, 2), (6, "g h i j k", 1, 2)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, rank int, _key int").withColumn("key", F.lit(1)).withColumn("_rank", F.lit(2))
+    assert sorted(r.doc_id or 0 for r in minhash.keep_one(table).collect()) == [0, 6] and minhash.keep_one(table).columns == table.columns
+    with pytest.raises(TypeError):
+        minhash.report(spark.createDataFrame([("x", "y")], "doc_id string, text string"))
+
+
 def test_signatures_estimate_weighted_similarity():
     shared, own = 700, 150
     unit = np.concatenate([np.arange(shared + own), np.arange(shared), 10**6 + np.arange(own)]).astype(np.uint64)
