@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a temporary folder is set in local mode only (one machine, as in tests); on a
+    cluster its executors would each write to their own disks, so a RuntimeError says what to set.
+    """
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    if sc.getCheckpointDir() is None:
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyvoice-"))
-    return sc.getCheckpointDir().rstrip("/")
+        folder = sc.getCheckpointDir()
+    return folder.rstrip("/")
