@@ -335,8 +335,10 @@ def classes(
     met = scratch.keep(banded.join(sizes.select("h", "band", "n"), ["h", "band"]), "bands")
     degree = met.groupBy("id").agg(F.sum("n").alias("deg"))
     groups = scratch.keep(met.select("id", "weight", "h", "band").join(degree, "id"), "groups")
-    # texts are shuffled once, to pack the sets of those that meet any other
-    texts = base.select(name("rank", "key").alias("id"), "text").join(groups.select("id").distinct(), "id", "left_semi")
+    # texts are shuffled once, to pack the sets of those that meet any other; a merge join at every size,
+    # as the ids grow with the documents and have no bound for a broadcast
+    meeting = groups.select("id").distinct().hint("merge")
+    texts = base.select(name("rank", "key").alias("id"), "text").join(meeting, "id", "left_semi")
     sets = scratch.keep(texts.dropDuplicates(["id"]).mapInArrow(_sets(shingle, weighted), "id long, set binary"), "sets")
 
     def similar(pairs: DataFrame, label: str) -> DataFrame:
