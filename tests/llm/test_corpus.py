@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tallyvoice.llm import bpe, chat, decontaminate, html_text, line_dedup, minhash, pii, quality, queries, suffix_array, url_filter
+from tallyvoice.llm import bpe, chat, decontaminate, html_text, line_dedup, minhash, pii, quality, suffix_array, url_filter
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -203,34 +203,78 @@ def test_pii_terms_over_whole_texts(spark):
     assert "term" not in got[2].spans and got[3].spans == ""
 
 
-def test_line_dedup(spark, docs, texts, empty):
-    got = by_id(line_dedup.report(docs))
-    seen = set()
+def clauses_of(text):
+    """(words, start, end) of each clause, and its line."""
+    out, at = [], 0
+    for k, line in enumerate(text.split("\n")):
+        cuts = [0, *(m.end() for m in re.finditer(r"[.!?,;:](?=[ \t\n\r\x0b\x0c]|$)", line)), len(line)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            found = [(m.group().translate(LOWER), at + a + m.start(), at + a + m.end()) for m in WORD.finditer(line[a:b])]
+            if found:
+                out.append((k, found))
+        at += len(line) + 1
+    return out
+
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def brute_line_dedup(texts, n=line_dedup.PASSAGE_WORDS):
+    """{id: (removed words as places, kept words)} with words as (word, start, end)."""
+    seen, out = set(), {}
     for d in sorted(texts):
-        lines = texts[d].split("\n") if texts[d] else []
-        kept, gone, at = [], [], 0
-        for line in lines:
-            n = re.sub(r"[\W_]+", " ", line).lower().strip()
-            long = len(n.split(" ")) >= line_dedup.MIN_WORDS
-            (gone if long and n in seen else kept).append((at, at + len(line), line))
-            seen |= {n} if long else set()
-            at += len(line) + 1
-        r = got[d]
-        assert (r.n_units, r.n_removed) == (len(lines), len(gone)), d
-        assert r.removed_spans == ",".join(f"{a}:{b}" for a, b, _ in gone) and r.kept_sha256 == sha("\n".join(x for *_, x in kept))
-    assert line_dedup.report(empty).count() == 0 and "key" in line_dedup.dedup(docs).columns
+        clauses = clauses_of(texts[d] or "")
+        every = []
+        for k in sorted({k for k, _ in clauses}):
+            every.append([w for j, ws in clauses if j == k for w in ws])
+        for i in range(len(clauses)):
+            take = []
+            for _, ws in clauses[i:]:
+                take += ws
+                if len(take) >= n:
+                    every.append(take)
+                    break
+        gone = set()
+        for u in sorted(every, key=lambda u: (u[0][1], u[-1][2])):
+            text = tuple(w[0] for w in u)
+            where = (d, u[0][1], u[-1][2])
+            if any(t == text and p != where for t, p in seen):
+                gone |= set(u)
+            else:
+                seen.add((text, where))
+        out[d] = gone, [w for _, ws in clauses for w in ws if w not in gone]
+    return out
 
 
-def test_line_dedup_of_short_and_wrapped_lines(spark):
-    """The registered query's rule: short lines count, and a passage wrapped otherwise is one unit."""
-    words = [f"word{i}" for i in range(60)]
+@pytest.mark.parametrize("slice_bytes", [300, 1 << 20])
+def test_line_dedup(spark, docs, texts, empty, slice_bytes):
+    got = by_id(line_dedup.dedup(docs, slice_bytes=slice_bytes))
+    sums = by_id(line_dedup.report(docs))
+    for d, (gone, stay) in brute_line_dedup(texts).items():
+        t, r = texts[d] or "", got[d]
+        removed = [(s.start, s.end) for s in r.dedup.removed]
+        assert removed == sorted(removed) and all(a < b for a, b in removed)
+        inside = lambda w: any(a <= w[1] and w[2] <= b for a, b in removed)
+        words = [w for _, ws in clauses_of(t) for w in ws]
+        assert {w for w in words if inside(w)} == gone and r.dedup.lost == len(gone), d
+        kept = "".join(t[s.start : s.end] for s in r.dedup.kept)
+        assert (r.text or "") == kept and (r.text is None) == (texts[d] is None)
+        assert [w.translate(LOWER) for w in WORD.findall(kept)] == [w[0] for w in stay]
+        assert sums[d].n_removed == len(removed) and sums[d].kept_sha256 == sha(kept) and sums[d].n_removed_words == len(gone)
+    assert line_dedup.report(empty).count() == 0
+    clash = line_dedup.dedup(docs.withColumnRenamed("key", "dedup"))
+    assert clash.columns == ["doc_id", "text", "dedup", "rank", "row", "_dedup"] and clash.count() == docs.count()
+
+
+def test_line_dedup_of_short_wrapped_and_inner_passages(spark):
+    words = [f"word{i}" + ("," if i % 9 == 8 else "") for i in range(60)]
     wrapped = lambda n: "\n".join(" ".join(words[i : i + n]) for i in range(0, 60, n))
-    rows = [(1, "a first line\n\nshort boilerplate\n\n" + wrapped(10)), (2, "Short  boilerplate!\n\nits own line"),
-            (3, wrapped(12) + "\n\nkept"), (4, " ".join(words) + "\nkept too")]
-    got = by_id(line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string"), min_words=queries.LINE_WORDS))
-    assert got[1].n_removed == 0 and got[2].removed_spans == "0:19" and got[2].n_removed == 1
-    assert got[3].n_removed == 5 and got[3].kept_sha256 == sha("\nkept")
-    assert got[4].n_removed == 1 and got[4].kept_sha256 == sha("kept too")
+    rows = [(1, "a first line\n\nshort boilerplate\n\n" + wrapped(60)), (2, "Short  boilerplate!\n\nits own line"),
+            (3, wrapped(9) + "\n\nkept"), (4, "of its own. " + " ".join(words) + ". And more.\nkept too")]
+    got = by_id(line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got[1].n_removed == 0 and got[2].removed_spans == "0:20" and got[2].n_removed == 1 and got[2].n_passages == 0
+    assert got[3].n_passages == 1 and got[3].kept_sha256 == sha("\nkept")
+    assert got[4].n_passages == 1 and got[4].kept_sha256 == sha("of its own.  And more.\nkept too")
 
 
 def test_chats(spark):
