@@ -24,21 +24,33 @@ def from_pcm16(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else np.frombuffer(b[: len(b) // 2 * 2], "<i2").astype(np.float32) / 32768)
 
 
-@pandas_udf(T.ArrayType(T.DoubleType()))
-def conceal(waves: pd.Series, lost: pd.Series) -> pd.Series:
-    """Lost packets repeat the output before them at 0.6 gain; a lost first packet is silence.
+#: Fixed value: gain of each repetition of a packet.
+FADE = 0.6
 
-    ``lost`` holds one flag per whole packet; packets are equally long.
-    """
 
-    def one(wave, flags):
-        y = np.array(wave, np.float64)
-        size = len(y) // max(len(flags), 1)
-        for k in np.flatnonzero(np.asarray(flags, bool)):
-            y[k * size : (k + 1) * size] = 0.6 * y[(k - 1) * size : k * size] if k else 0.0
-        return y
+def conceal(wave: Column | str, lost: Column | str) -> Column:
+    """Samples with lost packets filled by the last one received, fainter by ``FADE`` each time; silence before the first.
 
-    return pd.Series([one(w, f) for w, f in zip(waves, lost, strict=True)])
+    ``lost`` holds one flag per whole packet; packets are equally long, samples behind the last whole one stay.
+    """
+    wave, lost = (F.col(c) if isinstance(c, str) else c for c in (wave, lost))
+    size = F.floor(F.size(wave) / F.greatest(F.size(lost), F.lit(1))).cast("int")
+    # the packet each one is heard from, itself where it arrived
+    heard = F.aggregate(
+        F.transform(lost, lambda gone, k: F.when(~gone, k)),
+        F.array().cast("array<int>"),
+        lambda acc, k: F.concat(acc, F.array(F.coalesce(k, F.get(acc, F.size(acc) - 1)))),
+    )
+    return F.transform(
+        F.sequence(F.lit(0), F.size(wave) - 1),
+        lambda i: F.when(i >= size * F.size(lost), F.get(wave, i)).otherwise(
+            F.coalesce(
+                F.get(wave, F.get(heard, (i / size).cast("int")) * size + i % size)
+                * F.pow(F.lit(FADE), (i / size).cast("int") - F.get(heard, (i / size).cast("int"))),
+                F.lit(0.0),
+            )
+        ),
+    )
 
 
 def frame_db(wave: Column, frame: int) -> Column:

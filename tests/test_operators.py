@@ -110,8 +110,10 @@ def test_scorer_seam(spark):
 def test_intent(spark):
     rows = spark.createDataFrame([("caller: share the otp right now receiver: no",), ("plain talk",)], "t string")
     got = intent.analyse(rows, "t").collect()
-    assert got[0].score == 0.7 and got[0].level == "high" and got[0].categories == ["credential", "urgency"]
+    assert got[0].score == 0.7 and got[0].level == "high" and got[0].categories == ["credential_request", "urgency_threat"]
     assert got[1].score == 0.0 and got[1].level == "none"
+    own = spark.createDataFrame([("verify our credentials",), ("verify our credentials and read me the cvv",)], "t string")
+    assert [r.score for r in intent.analyse(own, "t").collect()] == [0.0, 0.6]
     turns = rows.select(intent.caller_turns(F.col("t")).alias("c")).collect()
     assert turns[0].c == ["share the otp right now"] and turns[1].c == ["plain talk"]
 
