@@ -9,12 +9,14 @@ base spans. Each different text counts once, so copies prove nothing. Over these
 log2(n_te * n / (n_t * n_e)) says how much a term reveals of an entity whose information content is
 IC(e) = log2(n / n_e), all four counted over whole texts. A term is disclosing where PMI >=
 ``DISCLOSURE`` * IC. Every occurrence of a disclosing term in a text that holds its entity becomes a
-span of kind ``term``.
+span of kind ``term``. ``sanitise`` removes terms that give an entity away (PMI >= IC: they occur in no
+text without it) and generalises the other disclosing ones to a class, ``[NAME]`` where capitalised, else
+``[WORD]``; base spans become their kind in brackets.
 
 Scale: counts are one partial aggregate of entities, terms and pairs over distinct texts, written once;
 an entity or term in a third of the rows does not gather in a task. Pairs are those within a text:
 its different entities times its words. Marking joins them to the disclosing pairs by entity and term,
-never an entity's texts to all its terms. Whether a join is broadcast is left to Spark's size check.
+never an entity's texts to all its terms; places of terms are running sums over the pieces of a text. Whether a join is broadcast is left to Spark's size check.
 
 Defined results: null or empty texts have no spans; repeated rows give equal rows; a null id stays
 null; in ``sanitise`` other columns pass through.
@@ -26,6 +28,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import held, materialise, settled, text_or_empty
 
@@ -38,12 +41,17 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: What becomes of a disclosing term; of several, the greater word holds.
+GENERALISED, REMOVED = "generalised", "removed"
 #: What a text must contain for a kind to be worth a look.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 VALID_IP = rf"^{IP_PART}\.{IP_PART}\.{IP_PART}\.{IP_PART}$"
 
+#: A term is a whole run of letters, of at least so many.
 TERM = r"\p{L}{3,}"
+TERM_CHARS = 3
+PIECE = r"\p{L}+|\P{L}+"
 DISCLOSURE = 0.8
 CHUNK = 256
 
@@ -206,16 +214,24 @@ def disclosing_terms(counts: DataFrame) -> DataFrame:
     scored = pairs.join(entities, "entity").join(frequency, "term").crossJoin(F.broadcast(total))
     pmi = F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e")))
     content = F.log2(F.col("n") / F.col("n_e"))
-    return scored.where((content > 0) & (pmi >= F.lit(DISCLOSURE) * content)).select("entity", "term")
+    grade = F.when(pmi >= content - F.lit(1e-9), REMOVED).otherwise(GENERALISED)
+    return scored.where((content > 0) & (pmi >= F.lit(DISCLOSURE) * content)).select("entity", "term", grade.alias("grade"))
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """A row for each term occurrence and entity of a text: key, size, entity, term, start, end."""
-    holding = settled(known(rows), "entities").where(F.size("entities") > 0).distinct()
-    found = located(holding, "clean", TERM, None, "terms").select("key", "size", "entities", F.explode_outer("terms").alias("t"))
-    return found.where("t is not null").select(
-        "key", "size", F.explode("entities").alias("entity"), F.lower("t.value").alias("term"),
-        F.col("t.start").alias("start"), F.col("t.end").alias("end"),
+    """A row for each term occurrence and entity of a text: key, size, entity, term, start, end.
+
+    The pieces of a text (runs of letters and of others) stand in rows, their ends are running sums.
+    """
+    holding = settled(known(rows), "entities").where(F.size("entities") > 0).dropDuplicates(["key", "size"])
+    pieces = holding.select(
+        "key", "size", "entities", F.posexplode(F.regexp_extract_all("clean", F.lit(PIECE), F.lit(0))).alias("nth", "piece")
+    )
+    end = F.sum(F.length("piece").cast("long")).over(Window.partitionBy("key", "size").orderBy("nth"))
+    found = pieces.withColumn("end", end).where((F.length("piece") >= TERM_CHARS) & F.col("piece").rlike(r"^\p{L}"))
+    return found.select(
+        "key", "size", F.explode("entities").alias("entity"), F.lower("piece").alias("term"),
+        (F.col("end") - F.length("piece")).alias("start"), "end",
     )
 
 
@@ -228,8 +244,9 @@ def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # grouped by more than the key, so that the join below deals both sides anew and can split a text with many copies
     spans = (
         occurrences(rows).join(found, ["entity", "term"])
+        .groupBy("key", "size", "start", "end", "term").agg(F.max("grade").alias("value"))
         .groupBy("key", "size", F.hash("key").alias("part"))
-        .agg(F.sort_array(F.collect_set(F.struct("start", "end", F.col("term").alias("value")))).alias("term"))
+        .agg(F.sort_array(F.collect_list(F.struct("start", "end", "value"))).alias("term"))
         .drop("part")
     )
     based = with_base_spans(rows).select("*", *_text_key())
@@ -261,18 +278,16 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with every span of their texts replaced by its kind in brackets."""
+    """The documents with base spans as their kind in brackets, disclosing terms removed or generalised."""
     spans = with_spans(docs, id_col, text_col, tuple(docs.columns))
-    every = F.sort_array(
-        F.concat(
-            *[
-                each_span(
-                    k, lambda name, s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{name.upper()}]").alias("tag"))
-                )
-                for k in (*KINDS, "term")
-            ]
-        )
-    )
-    rows = replaced(spans.select("row", "text", every.alias("every")), lambda s, at: s["tag"])
+    first = lambda s: F.substring(F.col("text"), (s["start"] + 1).cast("int"), F.lit(1))
+    general = lambda s: F.when(first(s) != F.lower(first(s)), "[NAME]").otherwise("[WORD]")
+    tag = lambda kind, s: F.lit(f"[{kind.upper()}]") if kind != "term" else F.when(s["value"] == REMOVED, "").otherwise(general(s))
+    every = [
+        each_span(k, lambda kind, s: F.struct(s["start"].alias("start"), s["end"].alias("end"), tag(kind, s).alias("tag")))
+        for k in (*KINDS, "term")
+    ]
+    rows = spans.select("row", "text", F.sort_array(F.concat(*every)).alias("every"))
+    rows = replaced(rows, lambda s, at: s["tag"])
     kept = F.when(F.col(f"row.`{text_col}`").isNull(), F.lit(None)).otherwise(F.col("clean"))
     return rows.select(*[(kept if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

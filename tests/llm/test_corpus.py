@@ -266,6 +266,52 @@ def test_line_dedup(spark, docs, texts, empty, slice_bytes):
     assert clash.columns == ["doc_id", "text", "dedup", "rank", "row", "_dedup"] and clash.count() == docs.count()
 
 
+def test_pii_terms_equal_brute_force(spark):
+    """All spans and the sanitised texts of a small corpus, from counts by hand."""
+    rng = random.Random(8)
+    vocabulary = ["Anna", "Ulm", "Zürich", "plan", "note", "tea", "of", "red", "blue", "Kim", "sun", "rain"]
+    people = ["ann@x.org", "bob@y.com", "+49 30 1234567", "10.1.2.3"]
+    texts = {}
+    for i in range(120):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(1, 12))]
+        if rng.random() < 0.4:
+            k = rng.randrange(4)
+            words.insert(rng.randrange(len(words) + 1), people[k])
+            words.append(["Quill", "Vex", "Mora", "Tarn"][k] if rng.random() < 0.7 else "tea")
+        texts[i] = " ".join(words)
+    texts |= {200: "Quill tea", 201: texts[3], 202: None, 203: ""}
+    rows = [(i, t, 1) for i, t in texts.items()] + [(3, texts[3], 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, term int")
+    holds, terms = {}, {}
+    for t in {t or "" for t in texts.values()}:
+        spans = [(m.start(), m.end(), k) for k, p in PII.items() for m in re.finditer(p, t) if real(k, m.group(0))]
+        blank = list(t)
+        for a, b, _ in spans:
+            blank[a:b] = " " * (b - a)
+        holds[t] = {f"{k}:{t[a:b].lower()}" for a, b, k in spans}, spans
+        terms[t] = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W\d_]{3,}", "".join(blank))]
+    n = len(holds)
+    n_e = collections.Counter(e for es, _ in holds.values() for e in es)
+    n_t = collections.Counter(w for t in terms for w in {w for *_, w in terms[t]})
+    n_te = collections.Counter((e, w) for t in terms for w in {w for *_, w in terms[t]} for e in holds[t][0])
+    got, clean, graded = by_id(pii.report(table)), by_id(pii.sanitise(table)), set()
+    for i, t in texts.items():
+        t = t or ""
+        want, tags = [], [(a, b, f"[{k.upper()}]") for a, b, k in holds[t][1]]
+        for a, b, w in terms[t]:
+            shares = [np.log2(n_te[e, w] * n / (n_t[w] * n_e[e])) / np.log2(n / n_e[e]) for e in holds[t][0]]
+            if shares and max(shares) >= pii.DISCLOSURE:
+                want.append(f"term:{a}:{b}")
+                gone = max(shares) > 1 - 1e-9
+                graded.add(gone)
+                tags.append((a, b, "" if gone else "[NAME]" if t[a].isupper() else "[WORD]"))
+        assert [x for x in got[i].spans.split(",") if x.startswith("term")] == want, i
+        for a, b, tag in sorted(tags, reverse=True):
+            t = t[:a] + tag + t[b:]
+        assert clean[i].text == (None if texts[i] is None else t), i
+    assert graded == {True, False}
+
+
 def test_line_dedup_of_short_wrapped_and_inner_passages(spark):
     words = [f"word{i}" + ("," if i % 9 == 8 else "") for i in range(60)]
     wrapped = lambda n: "\n".join(" ".join(words[i : i + n]) for i in range(0, 60, n))
