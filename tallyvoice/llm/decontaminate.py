@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty, utf8_buffer
+from .common import free_name, slices, text_or_empty, utf8_buffer
 from .hashing import Words, expand, union_length
 
 WINDOW = 10
@@ -215,6 +215,7 @@ def mark(
     window: int = WINDOW,
     shingle: int = SHINGLE,
     block_bytes: int = BLOCK_BYTES,
+    found: str = "found",
 ) -> DataFrame:
     """The carried columns and a struct ``found``: n_words, spans (start and end words in turn), items."""
     rows = docs.select(
@@ -235,7 +236,7 @@ def mark(
         )
         counts = {(r["size"], r["shingle"] % (1 << 64)): r["n"] for r in counted}
         rows = rows.mapInArrow(_joiner(items, items.prefixes(counts)), schema)
-    return rows.select("row.*", F.struct("n_words", "spans", "items").alias("found"))
+    return rows.select("row.*", F.struct("n_words", "spans", "items").alias(found))
 
 
 def n_hit(found: str = "found"):
@@ -261,5 +262,6 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **opti
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents, with all their columns, that hold no window of the benchmark."""
-    marked = mark(docs, benchmark, carry=docs.columns, **options)
-    return marked.where(F.size("found.items") == 0).drop("found")
+    found = free_name(docs, "found")
+    marked = mark(docs, benchmark, carry=docs.columns, found=found, **options)
+    return marked.where(F.size(f"{found}.items") == 0).drop(found)

@@ -20,7 +20,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, text_or_empty
+from .common import free_name, settled, text_or_empty
 
 # The contract's white space and symbol characters.
 SPACE = " \t\n\x0b\x0c\r"
@@ -147,12 +147,11 @@ def annotate(
     text_col: str = "text",
     max_lost_share: float = MAX_LOST_SHARE,
     keep_input: bool = True,
+    out: str = "quality",
 ) -> DataFrame:
     """The input's columns and a struct ``quality`` with counts, the cleaned text and the verdict."""
-    base = docs.withColumn("_q_text", text_or_empty(text_col))
-    rows = base.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("_q_text").alias("text")
-    ) if keep_input else base.select(F.col("_q_text").alias("text"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_input else []
+    rows = docs.select(*row, text_or_empty(text_col).alias("text"))
     rows = rows.withColumns(
         {
             "words": words_of(F.col("text")),
@@ -182,7 +181,7 @@ def annotate(
     found = F.struct(
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars",
         "cleaned",
-    ).alias("quality")
+    ).alias(out)
     return rows.select(*([F.col("row.*")] if keep_input else []), found)
 
 
@@ -202,5 +201,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def keep(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents, unchanged and with all their columns, that the rules keep."""
-    judged = settled(annotate(docs, text_col).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "quality"), "quality")
+    out = free_name(docs, "quality")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    judged = settled(annotate(docs, text_col, out=out).select(row, F.col(out).alias("quality")), "quality")
     return judged.where("quality.kept").select("row.*")

@@ -147,7 +147,9 @@ def test_decontamination(spark, docs, texts):
             assert r.items_sha256 == sha(",".join(sorted(found)))
     assert decontaminate.report(docs.limit(0), bench).count() == 0
     assert not decontaminate.report(docs, bench.limit(0)).where("contaminated").count()
-    assert set(decontaminate.clean(docs, bench).columns) == set(docs.columns)
+    clash = docs.withColumnRenamed("key", "found").withColumnRenamed("row", "items")
+    assert decontaminate.clean(clash, bench).columns == clash.columns
+    assert decontaminate.clean(clash, bench).count() == sum(1 for r in docs.collect() if not got[r.doc_id].contaminated)
 
 
 PII = {
@@ -444,7 +446,8 @@ def test_quality(spark, docs, texts, empty):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, d
         assert r.base_failed == (len(w) < 50 or 100 * len(cover) > 50 * len(w)) and (not r.base_failed or not r.kept)
     assert got[10].kept and quality.report(empty).count() == 0
-    assert quality.keep(docs).columns == docs.columns
+    clash = docs.withColumnRenamed("key", "quality").withColumnRenamed("row", "_q_text")
+    assert quality.keep(clash).columns == clash.columns and quality.keep(clash).where("quality <> 'k' or _q_text <> 'r'").count() == 0
 
 
 def test_quality_line_rules(spark):
