@@ -6,6 +6,7 @@ import hashlib
 import html
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -124,6 +125,36 @@ def test_html(spark):
     assert got[2].text == got[3].text == got[6].text == "" and got[4].text == html.unescape("plain &lt;text&gt; only")
 
 
+def test_html_lines_and_malformed_pages(spark):
+    text = html_text.extract
+    # linked headings, linked last lines and harmless names stay within a marked article; site parts go
+    page = "<nav><a href='/'>m</a></nav><article><h1><a href=x>T</a></h1><p>a b</p><div class='share-price'>9</div><p><a href=y>end</a></p></article>"
+    assert text(page) == "T\n\na b\n\n9\n\nend"
+    assert text("<article><p>x</p><div class='ad-slot'>no</div><ul id=comment-list><li>no</ul></article><p class=site-footer>no") == "x"
+    # quotes: only around values; one that is never closed takes the rest, one in a text or bare value is a character
+    assert text("<article><p>a</p><p title=don't>b's \"c</p></article>") == "a\n\nb's \"c"
+    assert text('<article><p>a</p><p title="b>c</p><p>d</p></article><p class="e">f</p>') == "a\n\nf"
+    assert text('<article><p>a</p><p title="b>c</p></article>') == "a"
+    assert text("a < b &lt; c <!-- x > --> d <3 </ z> e") == "a < b < c d <3 e"
+    start = time.perf_counter()
+    for bad in ("<a " * 350_000, "<div>" * 200_000 + "x", "<b>" * 300_000 + "</b>" * 300_000, "<p title='" * 100_000, "<!-" * 300_000, "</i>" * 250_000):
+        text(bad)
+    assert time.perf_counter() - start < 12
+    # without a mark the sums decide: plain menus and notices far from the text dive, its short lines stay
+    long = [f"sentence {i} " * 12 for i in range(6)]
+    menu, tail = [f"item {i}" for i in range(8)], ["legal", "imprint", "contact", "jobs"]
+    lines = [*menu, "Headline", *long[:3], "Short.", *long[3:], *tail]
+    got = text("".join(f"<p>{x}</p>" for x in lines)).split("\n\n")
+    lengths = [len(x.strip()) for x in lines]
+    sums = [sum(lengths[k : k + 3]) for k in range(len(lines))]
+    want = [x.strip() for k, x in enumerate(lines) if any(sums[j] >= html_text.SURGE * max(sums) for j in range(max(k - 2, 0), k + 1))]
+    assert got == want and "Headline" in got and "Short." in got and "item 0" not in got and "jobs" not in got
+    rows = [(1, "u", page, 5), (1, "u", page, 5), (None, None, page, 5)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, id int").withColumnRenamed("id", "n_chars")
+    assert [r.text for r in html_text.main_text(table).collect()] == [text(page)] * 3
+    assert html_text.main_text(table.limit(0)).count() == 0
+
+
 def test_decontamination(spark, docs, texts):
     rng = random.Random(1)
     w = (texts[12] or "").split()
