@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.SQL, "op7_chat": chat.SQL}
+    return {"op2_url_filter": url_filter.SQL, "op4_decontaminate": decontaminate.SQL, "op7_chat": chat.SQL}
