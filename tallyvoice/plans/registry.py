@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import detection, relations, sessions
+from . import checks, detection, relations, sessions
 
-ENTRIES = {**detection.ENTRIES, **relations.ENTRIES, **sessions.ENTRIES}
+ENTRIES = {**detection.ENTRIES, **relations.ENTRIES, **sessions.ENTRIES, **checks.ENTRIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
