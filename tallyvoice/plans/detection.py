@@ -361,7 +361,10 @@ ENTRIES = {
     "time_to_decision_curve": (time_to_decision_curve, f"""WITH {CHUNKS}, r AS (SELECT call_id, call_id % 2 AS y, row_number() OVER o AS k, round(avg(p) OVER (PARTITION BY call_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) / 500, 6) AS m
  FROM chunks WINDOW o AS (PARTITION BY call_id ORDER BY ts, seq)), g(t) AS (VALUES (2::DOUBLE), (4), (6), (8), (10)),
  s AS (SELECT call_id, y, t, max_by(m, k) AS p FROM r JOIN g ON k / 5 <= t GROUP BY call_id, y, t), {eer_sql('s', 't')} SELECT * FROM e"""),
-    "fusion_grid_full": (fusion_grid_full, None),
+    "fusion_grid_full": (fusion_grid_full, f"""WITH {SCORES}, w AS (SELECT a.x AS wa, b.x AS wb, 20 - a.x - b.x AS wc FROM range(21) a(x), range(21) b(x) WHERE a.x + b.x <= 20),
+ s AS (SELECT wa, wb, wc, y, round((a * wa + b * wb + c * wc) / 20, 6) AS p FROM scores, w), {eer_sql('s', 'wa, wb, wc')},
+ n AS (SELECT * FROM e WHERE round(eer_pct - (SELECT min(eer_pct) FROM e), 6) <= 0.05)
+ SELECT * FROM n ORDER BY greatest(wa, wb, wc) - least(wa, wb, wc), eer_pct, wa, wb, wc LIMIT 1"""),
     "repeated_split_full": (repeated_split_full, None),
     "bootstrap_full": (bootstrap_full, None),
 }
