@@ -26,9 +26,8 @@ from .common import free_name, settled, text_or_empty
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "[#*$%&|<>]"
 
-#: How the last characters of a line of prose look: an end mark, then closing quotes or brackets.
-LINE_END = r"[.!?…。！？:;,][\"'”’»)\]]*\s*$"
-TAIL_CHARS = 16
+#: How a line of prose ends: an end mark, then any number of closing quotes or brackets.
+LINE_END = r"[.!?…。！？:;,][\"'”’»)\]]*+\s*+$"
 #: A line with this many bars, arrows or bullets is navigation.
 NAVIGATION = "[|>»•·]"
 MENU_MARKS = 3
@@ -132,7 +131,7 @@ def passing(lines: str, text: str) -> Column:
     """
     lowered = F.lower(F.col(text))
     suspect = functools.reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(x)) for x in BOILERPLATE])
-    ends = lambda x: F.substring(x, -TAIL_CHARS, TAIL_CHARS).rlike(LINE_END)
+    ends = lambda x: x.rlike(LINE_END)
     menu = lambda x: F.length(x) - without(x, NAVIGATION) >= MENU_MARKS
     noisy = lambda x: F.length(x) - without(x, SYMBOLS) > F.length(x) * F.lit(MAX_SYMBOL_SHARE)
     boiler = lambda x: F.lower(x).rlike("|".join(BOILERPLATE))

@@ -490,6 +490,14 @@ def test_quality_line_rules(spark):
     assert got[1].kept and not got[2].kept and not got[3].kept and not got[2].base_failed
 
 
+def test_quality_line_ends_far_from_the_mark(spark):
+    line = lambda i, end: f"word{i} and thing{i} go on{end}\n"
+    rows = [(1, "".join(line(i, "." + '"' * 40) for i in range(15))), (2, "".join(line(i, "." + " " * 40) for i in range(15))),
+            (3, "".join(line(i, '"' * 40) for i in range(15)))]
+    got = by_id(quality.report(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got[1].kept and got[2].kept and not got[3].kept
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
