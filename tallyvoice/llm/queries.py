@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, html_text, line_dedup, minhash, pii, quality, suffix_array, url_filter
+from . import (
+    bpe, chat, decontaminate, html_text, interaction, line_dedup, minhash, pii, quality, suffix_array,
+    url_filter,
+)
 from .common import table
 
 
@@ -50,6 +53,10 @@ def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.report(table(spark, sf_dir, "documents"))
 
 
+def op13_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_array": op1_suffix_array,
@@ -62,8 +69,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_html_text": op3_html_text,
         "op9_bpe": op9_bpe,
         "op10_quality": op10_quality,
+        "op13_interaction": op13_interaction,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.SQL, "op4_decontaminate": decontaminate.SQL, "op7_chat": chat.SQL}
+    return {
+        "op2_url_filter": url_filter.SQL, "op4_decontaminate": decontaminate.SQL, "op7_chat": chat.SQL,
+        "op13_interaction": interaction.SQL,
+    }
