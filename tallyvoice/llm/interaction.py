@@ -12,7 +12,7 @@ is a few rows.
 Defined results: a null text is the empty text and equals other empty texts; a null part is the empty
 string; a null id comes before all others, so it repeats nothing and is repeated by any id; rows of
 equal id and text do not repeat each other; labels of one id in several rows count if any of them
-marks it; labels without a document and null labels mark nothing; other columns are ignored; without
+marks it; labels without an id or a document and null labels mark nothing; other columns are ignored; without
 documents there are no parts and no rows.
 """
 

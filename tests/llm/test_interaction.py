@@ -25,8 +25,8 @@ def brute(docs, labels):
                 "E": any(u == t and low(j) < low(i) for j, u, _ in docs),
             }
         )
-    good = {i for i, q, _ in labels if q == 1}
-    toxic = {i for i, _, x in labels if x == 1}
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, x in labels if x == 1 and i is not None}
     out = {}
     for part in {p for _, _, p in docs}:
         own = [(d[0], f) for d, f in zip(docs, failed, strict=True) if d[2] == part]
