@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    bpe, chat, decontaminate, html_text, interaction, line_dedup, minhash, pii, quality, suffix_array,
+    bpe, chat, collocations, decontaminate, html_text, interaction, line_dedup, minhash, mixture, pii, quality, suffix_array,
     url_filter,
 )
 from .common import table
@@ -53,6 +53,14 @@ def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.report(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.report(table(spark, sf_dir, "documents"))
+
+
+def op12_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.report(table(spark, sf_dir, "documents"))
+
+
 def op13_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -69,6 +77,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_html_text": op3_html_text,
         "op9_bpe": op9_bpe,
         "op10_quality": op10_quality,
+        "op11_collocations": op11_collocations,
+        "op12_mixture": op12_mixture,
         "op13_interaction": op13_interaction,
     }
 
@@ -76,5 +86,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filter": url_filter.SQL, "op4_decontaminate": decontaminate.SQL, "op7_chat": chat.SQL,
-        "op13_interaction": interaction.SQL,
+        "op11_collocations": collocations.SQL, "op13_interaction": interaction.SQL,
     }
