@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Scratch, materialise, text_or_empty, utf8_buffer
-from .hashing import BYTE_VALUES, LOWER, expand, ranges, sums_of
+from .hashing import BYTE_VALUES, LOWER, ranges, sums_of
 
 LONGEST, LEAST, INSIDE_PERCENT, TOP = 3, 10, 50, 2000
 #: Bytes of text of a slice, and keys of a range, at most on average.
@@ -103,13 +103,11 @@ class Slice:
         parts = [utf8_buffer(t) for t in texts]
         lengths = np.concatenate([np.diff(e) for _, e in parts])
         # a line feed behind each text ends its last piece
-        total = int(lengths.sum()) + len(lengths)
-        raw = np.full(total, 10, np.uint8)
+        raw = np.insert(LOWER[np.concatenate([r for r, _ in parts])], np.cumsum(lengths), 10)
         ends = np.cumsum(lengths + 1)
-        raw[expand(ends - 1 - lengths, lengths)] = LOWER[np.concatenate([r for r, _ in parts])]
         inside = WORD[raw]
-        edge = np.diff(inside.astype(np.int8), prepend=np.int8(0))
-        starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        edges = np.flatnonzero(np.diff(inside, prepend=False))
+        starts, stops = edges[::2], edges[1::2]
         text_of = np.searchsorted(ends, starts, side="right")
         pieces = np.cumsum(PIECE_END[raw], dtype=np.int32)[starts]
         offsets = np.zeros(len(starts) + 1, np.int32)
