@@ -66,7 +66,7 @@ def got(frame, **how):
     return sorted((r.lang, r.rank, r.phrase, r.a, r.l, r.r, r.n, r.score) for r in rows.withColumn("rank", F.row_number().over(order)).collect())
 
 
-@pytest.mark.parametrize(("longest", "slice_bytes", "entries"), [(3, 8 << 20, 2 << 20), (3, 900, 300), (4, 3000, 500), (2, 5000, 50)])
+@pytest.mark.parametrize(("longest", "slice_bytes", "entries"), [(3, 4 << 20, 1 << 20), (3, 900, 300), (4, 3000, 500), (2, 5000, 50)])
 def test_equals_brute_force(spark, longest, slice_bytes, entries):
     docs = documents()
     frame = spark.createDataFrame([(1, t, x, 1, 2, 3, "p") for t, x in docs], SCHEMA).repartition(3)
