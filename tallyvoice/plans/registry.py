@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checks, detection, relations, sessions
+from . import checks, detection, relations, sessions, streams
 
-ENTRIES = {**detection.ENTRIES, **relations.ENTRIES, **sessions.ENTRIES, **checks.ENTRIES}
+ENTRIES = {**detection.ENTRIES, **relations.ENTRIES, **sessions.ENTRIES, **checks.ENTRIES, **streams.ENTRIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
