@@ -12,46 +12,58 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
+def flat(rows: pd.Series, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all arrays end to end, and the places where each row's values end; null rows have none."""
+    rows = [np.zeros(0, kind) if r is None else np.asarray(r, kind) for r in rows]
+    return np.concatenate([np.zeros(0, kind), *rows]), np.cumsum([len(r) for r in rows], dtype=np.int64)
+
+
 @pandas_udf(T.BinaryType())
 def to_pcm16(waves: pd.Series) -> pd.Series:
     """Samples in [-1, 1] as little-endian 16-bit integers."""
-    return waves.map(lambda w: None if w is None else (np.clip(np.asarray(w, np.float32), -1, 1) * 32767).astype("<i2").tobytes())
+    values, ends = flat(waves, np.float32)
+    data = (np.clip(values, -1, 1) * np.float32(32767)).astype("<i2").tobytes()
+    starts = np.concatenate([[0], ends[:-1]])
+    return pd.Series([None if w is None else data[2 * a : 2 * b] for w, a, b in zip(waves, starts, ends, strict=True)], dtype=object)
 
 
 @pandas_udf(T.ArrayType(T.FloatType()))
 def from_pcm16(data: pd.Series) -> pd.Series:
     """Little-endian 16-bit samples as floats; an odd trailing byte is dropped."""
-    return data.map(lambda b: None if b is None else np.frombuffer(b[: len(b) // 2 * 2], "<i2").astype(np.float32) / 32768)
+    whole = [b"" if b is None else b[: len(b) // 2 * 2] for b in data]
+    values = np.frombuffer(b"".join(whole), "<i2").astype(np.float32) / 32768
+    parts = np.split(values, np.cumsum([len(b) // 2 for b in whole])[:-1]) if whole else []
+    return pd.Series([None if b is None else x for b, x in zip(data, parts, strict=True)], dtype=object)
 
 
 #: Fixed value: gain of each repetition of a packet.
 FADE = 0.6
 
 
-def conceal(wave: Column | str, lost: Column | str) -> Column:
+def conceal(wave: Column | str, lost: Column | str, packet: int) -> Column:
     """Samples with lost packets filled by the last one received, fainter by ``FADE`` each time; silence before the first.
 
-    ``lost`` holds one flag per whole packet; packets are equally long, samples behind the last whole one stay.
+    ``lost`` has a flag for each whole packet of ``packet`` samples; missing and null flags mean that it
+    arrived. Samples behind the last whole packet stay; an empty array stays empty.
     """
     wave, lost = (F.col(c) if isinstance(c, str) else c for c in (wave, lost))
-    size = F.floor(F.size(wave) / F.greatest(F.size(lost), F.lit(1))).cast("int")
-    # the packet each one is heard from, itself where it arrived
+    whole = F.floor(F.size(wave) / packet).cast("int")
+    # the packet that each one is heard from, itself where it arrived, -1 before the first
+    gone = lambda k: F.coalesce(F.get(lost, k), F.lit(False))
     heard = F.aggregate(
-        F.transform(lost, lambda gone, k: F.when(~gone, k)),
+        F.when(whole > 0, F.sequence(F.lit(0), whole - 1)).otherwise(F.array().cast("array<int>")),
         F.array().cast("array<int>"),
-        lambda acc, k: F.concat(acc, F.array(F.coalesce(k, F.get(acc, F.size(acc) - 1)))),
-    )
-    return F.transform(
-        F.sequence(F.lit(0), F.size(wave) - 1),
-        lambda i: F.when(i >= size * F.size(lost), F.get(wave, i)).otherwise(
-            F.coalesce(
-                F.get(wave, F.get(heard, (i / size).cast("int")) * size + i % size)
-                * F.pow(F.lit(FADE), (i / size).cast("int") - F.get(heard, (i / size).cast("int"))),
-                F.lit(0.0),
-            )
-        ),
+        lambda acc, k: F.concat(acc, F.array(F.when(~gone(k), k).otherwise(F.coalesce(F.get(acc, k - 1), F.lit(-1))))),
     )
 
+    def sample(x: Column, i: Column) -> Column:
+        k = F.floor(i / packet).cast("int")
+        source = F.get(heard, k)
+        faded = F.get(wave, source * packet + i % packet) * F.pow(F.lit(FADE), k - source)
+        return F.when(source.isNull() | (source == k), x).when(source < 0, F.lit(0.0)).otherwise(faded)
+
+    return F.transform(wave, sample)
+
 
 def frame_db(wave: Column, frame: int) -> Column:
     """Power of each whole frame in dB."""

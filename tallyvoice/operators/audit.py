@@ -7,11 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import quantiles
+
 
 def stats(rows: DataFrame, group: str, value: str) -> DataFrame:
     """n, mean, p5, median and p95 (linear interpolation, 3 decimals) per group."""
-    q = F.percentile(value, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return rows.groupBy(group).agg(F.count(value).alias("n"), F.round(F.avg(value), 3).alias("mean"), q.alias("q")).select(
+    means = rows.groupBy(group).agg(F.count(value).alias("n"), F.round(F.avg(value), 3).alias("mean"))
+    q = quantiles(rows, value, [0.05, 0.5, 0.95], [group]).select(F.col(group).alias("_group"), "q")
+    return means.join(q, F.col(group).eqNullSafe(F.col("_group")), "left").select(
         group, "n", "mean", *[F.round(F.col("q")[i], 3).alias(c) for i, c in enumerate(("p5", "median", "p95"))]
     )
 

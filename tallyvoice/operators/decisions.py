@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .metrics import ALL, eer_of
+from .metrics import eer_of
 
 
 def risk_level(p: Column, high: float = 0.8, medium: float = 0.5) -> Column:
@@ -57,7 +57,7 @@ def grid_eer(rows: DataFrame, steps: int) -> DataFrame:
     met = counted.crossJoin(F.broadcast(weight_grid(rows, steps))).groupBy("wa", "wb", "wc", fused.alias("score")).agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
     )
-    return eer_of(met.withColumn(ALL, F.lit(0)), ["wa", "wb", "wc"])
+    return eer_of(met, ["wa", "wb", "wc"])
 
 
 def closest_to_uniform(grid: DataFrame, band: float = 0.05) -> DataFrame:

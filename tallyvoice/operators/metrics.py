@@ -1,7 +1,7 @@
 """Detection metrics: ROC points, equal error rate, AUC, confusion counts.
 
-Rows are first counted by score within each group. Every window then runs over distinct scores, not
-rows, so one hot group costs as many rows as it has different scores.
+Rows are first counted by score within each group. Running sums then go over different scores, not
+rows, dealt to ranges of scores, so neither a hot group nor a continuous score gathers in one task.
 """
 
 from __future__ import annotations
@@ -10,16 +10,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-ALL = "_all"
+from .prefix import ALL, EVERYTHING, bounds, running
 
 
 def by_score(rows: DataFrame, groups: Sequence[str] = (), y: str = "y", score: str = "p") -> DataFrame:
     """Positives and negatives of each distinct score within each group."""
     return (
-        rows.withColumn(ALL, F.lit(0))
-        .groupBy(ALL, *groups, F.col(score).alias("score"))
+        rows.groupBy(*groups, F.col(score).alias("score"))
         .agg(F.sum(y).cast("long").alias("pos"), F.sum(1 - F.col(y)).cast("long").alias("neg"))
     )
 
@@ -34,56 +32,46 @@ def with_attack_fanout(counts: DataFrame, attack: str = "attack", genuine: str =
     )
 
 
-def roc_points(counts: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
-    """Kept ROC points: ends, and scores where the slope of hits or false alarms changes; and (0, 0)."""
-    part = [ALL, *groups]
-    down = Window.partitionBy(*part).orderBy(F.desc("score"))
-    running = down.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*part)
-    c = counts.withColumns({"tp": F.sum("pos").over(running), "fp": F.sum("neg").over(running)})
-    c = c.withColumns(
-        {
-            "np": F.max("tp").over(whole), "nn": F.max("fp").over(whole),
-            **{f"{k}{n}": f(k).over(down) for k in ("tp", "fp") for n, f in (("0", F.lag), ("2", F.lead))},
-        }
-    )
-    bend = lambda k: F.col(f"{k}2") - 2 * F.col(k) + F.col(f"{k}0") != 0
-    kept = c.where((F.col("np") > 0) & (F.col("nn") > 0)).where(
-        F.col("tp0").isNull() | F.col("tp2").isNull() | bend("tp") | bend("fp")
-    )
-    points = kept.select(*part, "score", "np", "nn", (F.col("tp") / F.col("np")).alias("tpr"), (F.col("fp") / F.col("nn")).alias("fpr"))
-    zero = points.select(*part, "np", "nn").distinct().select(
-        *part, F.lit(float("inf")).alias("score"), "np", "nn", F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr")
-    )
-    return points.unionByName(zero)
+def roc_points(counts: DataFrame, groups: Sequence[str] = (), splits: Sequence[float] = EVERYTHING) -> DataFrame:
+    """Kept ROC points: ends, and scores where the slope of hits or false alarms changes; and (0, 0).
 
-
-def eer_of(counts: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
-    """Equal error rate in percent and its threshold; groups with one class are left out."""
+    The point before a score is its sums less its own counts, the one behind it its sums and the next
+    score's counts; so a slope changes where two neighbours' counts differ.
+    """
+    part = [ALL, *groups]
+    c = running(counts, "score", ["pos", "neg"], groups, splits, descending=True)
+    first = F.col("pos_to") + F.col("neg_to") == F.col("pos") + F.col("neg")
+    bend = (F.col("pos_next") != F.col("pos")) | (F.col("neg_next") != F.col("neg"))
+    kept = c.where((F.col("pos_all") > 0) & (F.col("neg_all") > 0)).where(first | F.col("pos_next").isNull() | bend)
+    point = lambda score, tpr, fpr: F.struct(score.cast("double").alias("score"), tpr.alias("tpr"), fpr.alias("fpr"))
+    own = point(F.col("score"), F.col("pos_to") / F.col("pos_all"), F.col("neg_to") / F.col("neg_all"))
+    origin = F.when(first, point(F.lit(float("inf")), F.lit(0.0), F.lit(0.0)))
+    points = F.explode(F.filter(F.array(own, origin), lambda x: x.isNotNull())).alias("x")
+    return kept.select(*part, F.col("pos_all").alias("np"), F.col("neg_all").alias("nn"), points).select(*part, "np", "nn", "x.*")
+
+
+def eer_of(counts: DataFrame, groups: Sequence[str] = (), splits: Sequence[float] = EVERYTHING) -> DataFrame:
+    """Equal error rate in percent and its threshold; groups with one class are left out.
+
+    The point of the smallest gap, of equal ones that of the highest score, is a partial aggregate.
+    """
     gap = F.abs(1 - F.col("tpr") - F.col("fpr"))
-    best = Window.partitionBy(ALL, *groups).orderBy(gap, F.desc("score"))
-    return (
-        roc_points(counts, groups)
-        .withColumn("nth", F.row_number().over(best))
-        .where("nth = 1")
-        .select(
-            *groups,
-            F.round(100 * (F.col("fpr") + 1 - F.col("tpr")) / 2, 6).alias("eer_pct"),
-            F.round("score", 6).alias("threshold"),
-            F.col("np").alias("n_pos"), F.col("nn").alias("n_neg"),
-        )
+    best = F.min(F.struct(gap.alias("gap"), (-F.col("score")).alias("down"), "score", "tpr", "fpr", "np", "nn")).alias("best")
+    found = roc_points(counts, groups, splits).groupBy(ALL, *groups).agg(best).select(*groups, "best.*")
+    return found.select(
+        *groups, F.round(100 * (F.col("fpr") + 1 - F.col("tpr")) / 2, 6).alias("eer_pct"), F.round("score", 6).alias("threshold"),
+        F.col("np").alias("n_pos"), F.col("nn").alias("n_neg"),
     )
 
 
 def eer(rows: DataFrame, groups: Sequence[str] = (), y: str = "y", score: str = "p") -> DataFrame:
-    return eer_of(by_score(rows, groups, y, score), groups)
+    return eer_of(by_score(rows, groups, y, score), groups, bounds(rows, score))
 
 
 def auc(rows: DataFrame, groups: Sequence[str] = (), y: str = "y", score: str = "p") -> DataFrame:
     """Area under the ROC curve by mid-ranks; null where one class is missing."""
-    up = Window.partitionBy(ALL, *groups).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    c = by_score(rows, groups, y, score).withColumn("below", F.coalesce(F.sum("neg").over(up), F.lit(0).cast("long")))
-    area = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
+    c = running(by_score(rows, groups, y, score), "score", ["pos", "neg"], groups, bounds(rows, score))
+    area = F.sum(F.col("pos") * (F.col("neg_to") - F.col("neg") + F.col("neg") / 2))
     pairs = F.sum("pos") * F.sum("neg")
     return c.groupBy(ALL, *groups).agg(
         F.round(F.when(pairs > 0, area / pairs), 6).alias("auc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")

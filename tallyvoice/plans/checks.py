@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import decisions, metrics, sampling
+from ..operators import decisions, metrics, prefix, sampling
 from .detection import eer_sql
 from .relations import byte
 from .roles import CHUNKS, CLIPS, SCORES, chunks, clips, scores, table
@@ -41,8 +41,8 @@ def channel_report(spark: SparkSession, sf: str) -> DataFrame:
     channel = F.concat(F.col("grp"), F.lit("/"), (F.col("speaker") % 3).cast("string"))
     rows = scores(spark, sf).withColumn("part", channel)
     counts = metrics.by_score(rows, ["part", "attack"])
-    by_channel = counts.groupBy(metrics.ALL, "part", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    by_attack = counts.groupBy(metrics.ALL, "attack", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    by_channel = counts.groupBy("part", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    by_attack = counts.groupBy("attack", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     parts = by_channel.unionByName(metrics.with_attack_fanout(by_attack).withColumnRenamed("attack", "part"))
     at = metrics.eer(rows).select(F.col("threshold").alias("at"))
     share = lambda n: F.round(F.sum(F.when(F.col("score") >= F.col("at"), F.col(n)).otherwise(0)) / F.sum(n), 6)
@@ -60,7 +60,7 @@ def per_mille_by_time(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("l_linenumber") * 2).cast("int").alias("t"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("y"),
         (F.col("l_quantity") / 50).alias("p"),
     )
-    cuts = rows.where("y = 0").agg(F.percentile("p", F.array(F.lit(0.95), F.lit(0.99))).alias("q")).select(
+    cuts = prefix.quantiles(rows.where("y = 0"), "p", [0.95, 0.99]).select(
         F.round(F.col("q")[0], 6).alias("verify"), F.round(F.col("q")[1], 6).alias("block")
     )
     mille = lambda k, c: F.round(1000 * F.avg(F.when(F.col("y") == k, c.cast("int"))), 4)
@@ -77,7 +77,7 @@ def weight_scan_best(spark: SparkSession, sf: str) -> DataFrame:
     cells = scores(spark, sf).groupBy("a", "c").agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
     fused = F.round(F.col("weight") * F.col("a") + (1 - F.col("weight")) * F.col("c"), 6)
     counts = cells.crossJoin(weights).groupBy("weight", fused.alias("score")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    found = metrics.eer_of(counts.withColumn(metrics.ALL, F.lit(0)), ["weight"])
+    found = metrics.eer_of(counts, ["weight"])
     return found.agg(F.min(F.struct("eer_pct", "weight")).alias("best")).select("best.eer_pct", "best.weight")
 
 

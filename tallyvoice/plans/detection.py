@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..operators import decisions, metrics, sampling
+from ..operators import decisions, metrics, prefix, sampling
 from .roles import CHUNKS, SCORES, chunks, scores
 
 FPRS = {"verify": 0.05, "block": 0.01}
@@ -46,8 +49,9 @@ def eer_by_group(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def eer_by_attack(spark: SparkSession, sf: str) -> DataFrame:
-    counts = metrics.by_score(scores(spark, sf), ["attack"])
-    return metrics.eer_of(metrics.with_attack_fanout(counts), ["attack"])
+    rows = scores(spark, sf)
+    counts = metrics.with_attack_fanout(metrics.by_score(rows, ["attack"]))
+    return metrics.eer_of(counts, ["attack"], prefix.bounds(rows, "p"))
 
 
 def confusion_at_eer(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,10 +71,9 @@ def channel_breakdown(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def thresholds_of(rows: DataFrame) -> DataFrame:
-    """Named thresholds as quantiles of the genuine scores (one row)."""
-    q = F.percentile("p", F.array(*[F.lit(1 - f) for f in FPRS.values()]))
-    return rows.where("y = 0").agg(F.count(F.lit(1)).alias("n_genuine"), q.alias("q")).select(
-        "n_genuine", *[F.round(F.col("q")[i], 6).alias(name) for i, name in enumerate(FPRS)]
+    """Named thresholds as exact quantiles of the genuine scores (one row)."""
+    return prefix.quantiles(rows.where("y = 0"), "p", [1 - f for f in FPRS.values()]).select(
+        F.col("n").alias("n_genuine"), *[F.round(F.col("q")[i], 6).alias(name) for i, name in enumerate(FPRS)]
     )
 
 
@@ -92,38 +95,21 @@ def calibrate_halves(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.rates_at(met, {n: F.col(n) for n in FPRS}, ["half"]).where("half is not null")
 
 
-def repeated_split_stats(spark: SparkSession, sf: str) -> DataFrame:
-    """Spread of the calibrated verify threshold and its rate on the other half over five salted splits."""
-    rows = scores(spark, sf)
-    seeds = spark.range(5).select(F.col("id").cast("int").alias("seed"))
-    # rows are counted by speaker, label and score before they meet the seeds
-    counted = rows.groupBy("speaker", "y", "p").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(seeds))
-    half = sampling.digest_byte(F.md5(F.concat_ws(":", F.col("seed").cast("string"), F.col("speaker").cast("string"))), 0) % 2
-    counted = counted.withColumn("half", half)
-    cut = counted.where("half = 0 and y = 0").groupBy("seed").agg(
-        F.round(F.percentile("p", F.lit(0.95), F.col("n")), 6).alias("verify")
-    )
-    rate = counted.where("half = 1 and y = 0").join(F.broadcast(cut), "seed").groupBy("seed", "verify").agg(
-        (F.sum(F.when(F.col("p") >= F.col("verify"), F.col("n")).otherwise(0)) / F.sum("n")).alias("rate")
-    )
-    return rate.agg(
-        F.count(F.lit(1)).alias("splits"),
-        *[F.round(f(c), 6).alias(f"{n}_{c}") for c in ("verify", "rate") for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))],
-    )
+SPLITS = 20
 
 
-def repeated_split_full(spark: SparkSession, sf: str) -> DataFrame:
-    """Both classes' rates at both thresholds on the other half, over the reference's 20 splits."""
-    seeds = spark.range(20).select(F.col("id").cast("int").alias("seed"))
-    counted = scores(spark, sf).groupBy("speaker", "y", "p").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(seeds))
+def repeated_split_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Both classes' rates at both thresholds on the other half, over salted splits of the speakers."""
+    seeds = spark.range(SPLITS).select(F.col("id").cast("int").alias("seed"))
+    rows = scores(spark, sf).select("speaker", "y", "p").crossJoin(F.broadcast(seeds))
     half = sampling.digest_byte(F.md5(F.concat_ws(":", F.col("seed").cast("string"), F.col("speaker").cast("string"))), 0) % 2
-    counted = counted.withColumn("half", half)
-    cut = counted.where("half = 0 and y = 0").groupBy("seed").agg(
-        *[F.round(F.percentile("p", F.lit(1 - f), F.col("n")), 6).alias(n) for n, f in FPRS.items()]
+    rows = rows.withColumn("half", half)
+    cut = prefix.quantiles(rows.where("half = 0 and y = 0"), "p", [1 - f for f in FPRS.values()], ["seed"]).select(
+        "seed", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(FPRS)]
     )
-    share = lambda k, n: F.sum(F.when((F.col("y") == k) & (F.col("p") >= F.col(n)), F.col("n")).otherwise(0)) / F.sum(F.when(F.col("y") == k, F.col("n")))
+    share = lambda k, n: F.avg(F.when(F.col("y") == k, (F.col("p") >= F.col(n)).cast("int")))
     names = {f"{n}_{kind}": share(k, n) for n in FPRS for k, kind in ((0, "flagged"), (1, "caught"))}
-    rates = counted.where("half = 1").join(F.broadcast(cut), "seed").groupBy("seed").agg(*[c.alias(n) for n, c in names.items()])
+    rates = rows.where("half = 1").join(F.broadcast(cut), "seed").groupBy("seed").agg(*[c.alias(n) for n, c in names.items()])
     return rates.agg(
         F.count(F.lit(1)).alias("splits"),
         *[F.round(f(c), 6).alias(f"{n}_{c}") for c in names for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))],
@@ -134,7 +120,7 @@ def call_threshold_curve(spark: SparkSession, sf: str) -> DataFrame:
     """Thresholds for several false-alarm budgets from half A, rates on half B."""
     rows = scores(spark, sf).withColumn("in_a", sampling.half_a(F.col("speaker")))
     budgets = [0.01, 0.02, 0.05, 0.1]
-    cut = rows.where("y = 0 and in_a").agg(F.percentile("p", F.array(*[F.lit(1 - b) for b in budgets])).alias("q")).select(
+    cut = prefix.quantiles(rows.where("y = 0 and in_a"), "p", [1 - b for b in budgets]).select(
         F.posexplode("q").alias("i", "cut")
     ).select(F.get(F.array(*[F.lit(b) for b in budgets]), "i").alias("budget"), F.round("cut", 6).alias("cut"))
     counted = rows.where("not in_a").groupBy("y", "p").agg(F.count(F.lit(1)).alias("n"))
@@ -143,27 +129,47 @@ def call_threshold_curve(spark: SparkSession, sf: str) -> DataFrame:
     return counted.crossJoin(F.broadcast(cut)).groupBy("budget", "cut").agg(share(0).alias("flagged"), share(1).alias("caught"))
 
 
-REPLICATES = 20
+REPLICATES = 1000
+
+
+def poisson(mean: Column, z: Column) -> Column:
+    """The Poisson count at a standard normal ``z``, by the first terms of its Cornish-Fisher expansion.
+
+    Its chances are within 0.01 of the law's from a mean of 1 on, and closer for larger means.
+    """
+    return F.greatest(F.floor(mean + F.sqrt(mean) * z + (z * z - 1) / 6 + 0.5), F.lit(0).cast("long"))
+
+
+def normal(digest: Column) -> Column:
+    """A standard normal number from a digest (Box and Muller's form)."""
+    one = (sampling.digest_int(digest, 0, 4) + 0.5) / float(1 << 32)
+    return F.sqrt(-2 * F.log(one)) * F.cos(2 * math.pi * sampling.uniform(digest, 4, 4))
 
 
 def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    """Interval of the EER difference of branches c and a over hash-drawn replicates.
+    """Interval of the EER difference of branches c and a over replicates of the rows.
 
-    Rows are first counted by (label, a, c). A replicate weights each such cell by a hash draw of
-    0 to 3 copies, so the resampling is replayable and costs cells, not rows.
+    Rows are first counted by (label, a, c). Drawing a class's rows with replacement draws about a
+    Poisson number of each cell; the draws come from hashes, so they can be replayed, and cost cells
+    times replicates, not rows.
     """
     cells = scores(spark, sf).groupBy("y", "a", "c").agg(F.count(F.lit(1)).alias("n"))
     reps = spark.range(REPLICATES).select(F.col("id").cast("int").alias("r"))
     name = F.concat_ws("|", "r", "y", F.round(F.col("a") * 1000).cast("long"), F.round(F.col("c") * 1000).cast("long"))
-    drawn = cells.crossJoin(F.broadcast(reps)).withColumn("copies", sampling.digest_byte(F.md5(name), 0) % 4 * F.col("n"))
+    drawn = cells.crossJoin(F.broadcast(reps)).withColumn("copies", poisson(F.col("n").cast("double"), normal(F.md5(name))))
 
     def one(branch: str, out: str) -> DataFrame:
         pos, neg = (F.sum(F.when(F.col("y") == k, F.col("copies")).otherwise(0)) for k in (1, 0))
-        counts = drawn.groupBy("r", F.col(branch).alias("score")).agg(pos.alias("pos"), neg.alias("neg")).withColumn(metrics.ALL, F.lit(0))
+        counts = drawn.groupBy("r", F.col(branch).alias("score")).agg(pos.alias("pos"), neg.alias("neg"))
         return metrics.eer_of(counts, ["r"]).select("r", F.col("eer_pct").alias(out))
 
+    return interval(one("a", "first").join(one("c", "second"), "r"))
+
+
+def interval(runs: DataFrame) -> DataFrame:
+    """Mean, 2.5 and 97.5 percent quantiles of second less first, and the share of replicates above 0."""
     diff = F.col("second") - F.col("first")
-    return one("a", "first").join(one("c", "second"), "r").agg(
+    return runs.agg(
         F.count(F.lit(1)).alias("replicates"), F.round(F.avg(diff), 4).alias("mean_diff"),
         F.round(F.percentile(diff, F.lit(0.025)), 4).alias("low"), F.round(F.percentile(diff, F.lit(0.975)), 4).alias("high"),
         F.round(F.avg((diff > 0).cast("int")), 6).alias("share_above"),
@@ -191,22 +197,13 @@ def bootstrap_full(spark: SparkSession, sf: str, replicates: int = 1000) -> Data
     def one(branch: str, out: str) -> DataFrame:
         pos, neg = (F.sum(F.when(F.col("y") == k, F.col("copies")).otherwise(0)) for k in (1, 0))
         counts = drawn.groupBy("r", F.col(branch).alias("score")).agg(pos.alias("pos"), neg.alias("neg")).where("pos + neg > 0")
-        return metrics.eer_of(counts.withColumn(metrics.ALL, F.lit(0)), ["r"]).select("r", F.col("eer_pct").alias(out))
+        return metrics.eer_of(counts, ["r"]).select("r", F.col("eer_pct").alias(out))
 
-    diff = F.col("second") - F.col("first")
-    return one("a", "first").join(one("c", "second"), "r").agg(
-        F.count(F.lit(1)).alias("replicates"), F.round(F.avg(diff), 4).alias("mean_diff"),
-        F.round(F.percentile(diff, F.lit(0.025)), 4).alias("low"), F.round(F.percentile(diff, F.lit(0.975)), 4).alias("high"),
-        F.round(F.avg((diff > 0).cast("int")), 6).alias("share_above"),
-    )
+    return interval(one("a", "first").join(one("c", "second"), "r"))
 
 
 def fusion_grid_best(spark: SparkSession, sf: str) -> DataFrame:
-    return decisions.closest_to_uniform(decisions.grid_eer(scores(spark, sf), 4))
-
-
-def fusion_grid_full(spark: SparkSession, sf: str) -> DataFrame:
-    """The reference's grid: weights in steps of 0.05, 231 triples."""
+    """Weights in steps of 0.05, 231 triples."""
     return decisions.closest_to_uniform(decisions.grid_eer(scores(spark, sf), 20))
 
 
@@ -243,7 +240,7 @@ def score_report(spark: SparkSession, sf: str) -> DataFrame:
 def calibration_bins(spark: SparkSession, sf: str) -> DataFrame:
     """Ten score bins: mean score, share of fakes, and each bin's part of the calibration error."""
     binned = scores(spark, sf).withColumn("bin", F.least(F.floor(F.round(F.col("p") * 10, 6)), F.lit(9).cast("long")))
-    total = F.sum(F.count(F.lit(1))).over(metrics.Window.partitionBy())
+    total = F.sum(F.count(F.lit(1))).over(Window.partitionBy())
     return binned.groupBy("bin").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("mean_p"), F.round(F.avg("y"), 6).alias("share_fake"),
         F.round(F.abs(F.avg("p") - F.avg("y")) * F.count(F.lit(1)) / total, 6).alias("error_part"),
@@ -261,8 +258,8 @@ def flag_posterior(spark: SparkSession, sf: str) -> DataFrame:
 def weighted_draw(spark: SparkSession, sf: str) -> DataFrame:
     """A weighted sample with replacement: 200 hash draws over classes of weight 1/count, rows by hash place."""
     rows = scores(spark, sf).groupBy("attack").agg(F.count(F.lit(1)).alias("n"))
-    order = metrics.Window.partitionBy().orderBy("attack")
-    slots = rows.withColumns({"k": F.row_number().over(order) - 1, "classes": F.count(F.lit(1)).over(metrics.Window.partitionBy())})
+    order = Window.partitionBy().orderBy("attack")
+    slots = rows.withColumns({"k": F.row_number().over(order) - 1, "classes": F.count(F.lit(1)).over(Window.partitionBy())})
     draws = spark.range(200).select(F.md5(F.concat(F.lit("draw:"), F.col("id").cast("string"))).alias("d"))
     draws = draws.select(sampling.uniform(F.col("d"), 0, 2).alias("u"))
     met = draws.crossJoin(F.broadcast(slots)).where((F.col("u") * F.col("classes") >= F.col("k")) & (F.col("u") * F.col("classes") < F.col("k") + 1))
@@ -271,9 +268,9 @@ def weighted_draw(spark: SparkSession, sf: str) -> DataFrame:
 
 def time_to_decision_curve(spark: SparkSession, sf: str) -> DataFrame:
     """EER of the mean score of the chunks so far, at each time of the grid (10 chunks to the second)."""
-    order = metrics.Window.partitionBy("call_id").orderBy("ts", "seq")
+    order = Window.partitionBy("call_id").orderBy("ts", "seq")
     rows = chunks(spark, sf).withColumns({"k": F.row_number().over(order), "y": (F.col("call_id") % 2).cast("int")})
-    mean = F.avg("p").over(order.rowsBetween(metrics.Window.unboundedPreceding, 0))
+    mean = F.avg("p").over(order.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumns({"end_s": F.col("k") / 5, "mean_p": F.round(mean / 500, 6)})
     grid = spark.createDataFrame([(t,) for t in GRID], "t double")
     met = rows.join(F.broadcast(grid), F.col("end_s") <= F.col("t")).groupBy("call_id", "y", "t").agg(
@@ -285,6 +282,28 @@ def time_to_decision_curve(spark: SparkSession, sf: str) -> DataFrame:
 _Q = "quantile_cont(p, {}) FILTER (WHERE y = 0{})"
 _MD5 = "('0x' || substr(md5({}), {}, 2))::BIGINT"
 
+_RATES = [f"{n}_{k}" for n in FPRS for k in ("flagged", "caught")]
+_SPLITS = f"""WITH {SCORES}, s AS (SELECT *, {_MD5.format("seed::VARCHAR || ':' || speaker::VARCHAR", 1)} % 2 AS half FROM scores, range({SPLITS}) r(seed)),
+ c AS (SELECT seed, round(quantile_cont(p, 0.95), 6) AS verify, round(quantile_cont(p, 0.99), 6) AS block FROM s WHERE half = 0 AND y = 0 GROUP BY seed),
+ r AS (SELECT seed, {", ".join(f"avg((p >= {n})::INT) FILTER (WHERE y = {k}) AS {n}_{kind}" for n in FPRS for k, kind in ((0, "flagged"), (1, "caught")))}
+       FROM s JOIN c USING (seed) WHERE half = 1 GROUP BY seed)
+ SELECT count(*) AS splits, {", ".join(f"round({f}({c}), 6) AS {n}_{c}" for c in _RATES for n, f in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max")))} FROM r"""
+_NAME = "r::VARCHAR || '|' || y::VARCHAR || '|' || round(a * 1000)::BIGINT::VARCHAR || '|' || round(c * 1000)::BIGINT::VARCHAR"
+_WORD = lambda at: "(" + " + ".join(f"{256**k} * {_MD5.format('name', 2 * (at + k) + 1)}" for k in range(4)) + ")"
+_BOOTSTRAP = f"""WITH {SCORES}, cells AS (SELECT y, a, c, count(*) AS n FROM scores GROUP BY y, a, c),
+ m AS (SELECT r, y, a, c, n, {_NAME} AS name FROM cells, range({REPLICATES}) t(r)),
+ z AS (SELECT r, y, a, c, n, sqrt(-2 * ln(({_WORD(0)} + 0.5) / 4294967296)) * cos(2 * pi() * ({_WORD(4)} / 4294967296)) AS z FROM m),
+ d AS (SELECT r, y, a, c, greatest(floor(n + sqrt(n) * z + (z * z - 1) / 6 + 0.5), 0)::BIGINT AS w FROM z),
+ da AS (SELECT r, y * w AS y1, (1 - y) * w AS y0, a AS p FROM d), dc AS (SELECT r, y * w AS y1, (1 - y) * w AS y0, c AS p FROM d),
+ {eer_sql('da', 'r', 'y1', name='ea').replace('sum(1 - y1)', 'sum(y0)')}, {eer_sql('dc', 'r', 'y1', name='ec').replace('sum(1 - y1)', 'sum(y0)')},
+ x AS (SELECT ec.eer_pct - ea.eer_pct AS diff FROM ea JOIN ec USING (r))
+ SELECT count(*) AS replicates, round(avg(diff), 4) AS mean_diff, round(quantile_cont(diff, 0.025), 4) AS low, round(quantile_cont(diff, 0.975), 4) AS high,
+ round(avg((diff > 0)::INT), 6) AS share_above FROM x"""
+_FUSION = f"""WITH {SCORES}, w AS (SELECT a.x AS wa, b.x AS wb, 20 - a.x - b.x AS wc FROM range(21) a(x), range(21) b(x) WHERE a.x + b.x <= 20),
+ s AS (SELECT wa, wb, wc, y, round((a * wa + b * wb + c * wc) / 20, 6) AS p FROM scores, w), {eer_sql('s', 'wa, wb, wc')},
+ n AS (SELECT * FROM e WHERE round(eer_pct - (SELECT min(eer_pct) FROM e), 6) <= 0.05)
+ SELECT * FROM n ORDER BY greatest(wa, wb, wc) - least(wa, wb, wc), eer_pct, wa, wb, wc LIMIT 1"""
+
 ENTRIES = {
     "eer_overall": (eer_overall, f"WITH {SCORES}, {eer_sql('scores')} SELECT * FROM e"),
     "auc_overall": (auc_overall, f"""WITH {SCORES}, g AS (SELECT p, sum(y)::DOUBLE pos, sum(1 - y)::DOUBLE neg FROM scores GROUP BY p),
@@ -315,29 +334,15 @@ ENTRIES = {
  SELECT half, count(*) AS n, round(avg((p >= verify)::INT) FILTER (WHERE y = 0), 6) AS flagged_verify, round(avg((p >= verify)::INT) FILTER (WHERE y = 1), 6) AS caught_verify,
  round(avg((p >= block)::INT) FILTER (WHERE y = 0), 6) AS flagged_block, round(avg((p >= block)::INT) FILTER (WHERE y = 1), 6) AS caught_block
  FROM h, t GROUP BY half"""),
-    "repeated_split_stats": (repeated_split_stats, f"""WITH {SCORES}, s AS (SELECT *, {_MD5.format("seed::VARCHAR || ':' || speaker::VARCHAR", 1)} % 2 AS half FROM scores, range(5) r(seed)),
- c AS (SELECT seed, round(quantile_cont(p, 0.95), 6) AS verify FROM s WHERE half = 0 AND y = 0 GROUP BY seed),
- r AS (SELECT seed, verify, avg((p >= verify)::INT) AS rate FROM s JOIN c USING (seed) WHERE half = 1 AND y = 0 GROUP BY seed, verify)
- SELECT count(*) AS splits, round(avg(verify), 6) AS mean_verify, round(stddev_pop(verify), 6) AS std_verify, round(min(verify), 6) AS min_verify, round(max(verify), 6) AS max_verify,
- round(avg(rate), 6) AS mean_rate, round(stddev_pop(rate), 6) AS std_rate, round(min(rate), 6) AS min_rate, round(max(rate), 6) AS max_rate FROM r"""),
+    "repeated_split_stats": (repeated_split_stats, _SPLITS),
     "call_threshold_curve": (call_threshold_curve, f"""WITH {SCORES}, h AS (SELECT *, {_MD5.format("'cal:' || speaker::VARCHAR", 1)} % 2 = 0 AS in_a FROM scores),
  b(budget) AS (VALUES (0.01::DOUBLE), (0.02), (0.05), (0.1)),
  c AS (SELECT 0.01::DOUBLE AS budget, round({_Q.format(0.99, ' AND in_a')}, 6) AS cut FROM h UNION ALL SELECT 0.02, round({_Q.format(0.98, ' AND in_a')}, 6) FROM h
        UNION ALL SELECT 0.05, round({_Q.format(0.95, ' AND in_a')}, 6) FROM h UNION ALL SELECT 0.1, round({_Q.format(0.9, ' AND in_a')}, 6) FROM h)
  SELECT budget, cut, round(avg((p >= cut)::INT) FILTER (WHERE y = 0), 6) AS flagged, round(avg((p >= cut)::INT) FILTER (WHERE y = 1), 6) AS caught
  FROM h, c WHERE NOT in_a GROUP BY budget, cut"""),
-    "paired_bootstrap": (paired_bootstrap, f"""WITH {SCORES}, cells AS (SELECT y, a, c, count(*) AS n FROM scores GROUP BY y, a, c),
- d AS (SELECT r, y, a, c, {_MD5.format("r::VARCHAR || '|' || y::VARCHAR || '|' || round(a * 1000)::BIGINT::VARCHAR || '|' || round(c * 1000)::BIGINT::VARCHAR", 1)} % 4 * n AS w
-       FROM cells, range({REPLICATES}) t(r)),
- da AS (SELECT r, y * w AS y1, (1 - y) * w AS y0, a AS p FROM d), dc AS (SELECT r, y * w AS y1, (1 - y) * w AS y0, c AS p FROM d),
- {eer_sql('da', 'r', 'y1', name='ea').replace('sum(1 - y1)', 'sum(y0)')}, {eer_sql('dc', 'r', 'y1', name='ec').replace('sum(1 - y1)', 'sum(y0)')},
- x AS (SELECT ec.eer_pct - ea.eer_pct AS diff FROM ea JOIN ec USING (r))
- SELECT count(*) AS replicates, round(avg(diff), 4) AS mean_diff, round(quantile_cont(diff, 0.025), 4) AS low, round(quantile_cont(diff, 0.975), 4) AS high,
- round(avg((diff > 0)::INT), 6) AS share_above FROM x"""),
-    "fusion_grid_best": (fusion_grid_best, f"""WITH {SCORES}, w AS (SELECT a.x AS wa, b.x AS wb, 4 - a.x - b.x AS wc FROM range(5) a(x), range(5) b(x) WHERE a.x + b.x <= 4),
- s AS (SELECT wa, wb, wc, y, round((a * wa + b * wb + c * wc) / 4, 6) AS p FROM scores, w), {eer_sql('s', 'wa, wb, wc')},
- n AS (SELECT * FROM e WHERE round(eer_pct - (SELECT min(eer_pct) FROM e), 6) <= 0.05)
- SELECT * FROM n ORDER BY greatest(wa, wb, wc) - least(wa, wb, wc), eer_pct, wa, wb, wc LIMIT 1"""),
+    "paired_bootstrap": (paired_bootstrap, _BOOTSTRAP),
+    "fusion_grid_best": (fusion_grid_best, _FUSION),
     "gated_fusion": (gated_fusion, f"""WITH {SCORES}, s AS (SELECT y, grp, round((1 - (0.2::DOUBLE + (0.8::DOUBLE - 0.2::DOUBLE) * greatest(least(b, 1), 0))) * a + (0.2::DOUBLE + (0.8::DOUBLE - 0.2::DOUBLE) * greatest(least(b, 1), 0)) * c, 6) AS p FROM scores),
  {eer_sql('s', 'grp')} SELECT * FROM e"""),
     "weighted_fusion": (weighted_fusion, f"WITH {SCORES} SELECT grp, y, count(*) AS n, round(avg(round(0.25 * a + 0.25 * b + 0.5 * c, 6)), 6) AS mean_p FROM scores GROUP BY grp, y"),
@@ -361,10 +366,7 @@ ENTRIES = {
     "time_to_decision_curve": (time_to_decision_curve, f"""WITH {CHUNKS}, r AS (SELECT call_id, call_id % 2 AS y, row_number() OVER o AS k, round(avg(p) OVER (PARTITION BY call_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) / 500, 6) AS m
  FROM chunks WINDOW o AS (PARTITION BY call_id ORDER BY ts, seq)), g(t) AS (VALUES (2::DOUBLE), (4), (6), (8), (10)),
  s AS (SELECT call_id, y, t, max_by(m, k) AS p FROM r JOIN g ON k / 5 <= t GROUP BY call_id, y, t), {eer_sql('s', 't')} SELECT * FROM e"""),
-    "fusion_grid_full": (fusion_grid_full, f"""WITH {SCORES}, w AS (SELECT a.x AS wa, b.x AS wb, 20 - a.x - b.x AS wc FROM range(21) a(x), range(21) b(x) WHERE a.x + b.x <= 20),
- s AS (SELECT wa, wb, wc, y, round((a * wa + b * wb + c * wc) / 20, 6) AS p FROM scores, w), {eer_sql('s', 'wa, wb, wc')},
- n AS (SELECT * FROM e WHERE round(eer_pct - (SELECT min(eer_pct) FROM e), 6) <= 0.05)
- SELECT * FROM n ORDER BY greatest(wa, wb, wc) - least(wa, wb, wc), eer_pct, wa, wb, wc LIMIT 1"""),
-    "repeated_split_full": (repeated_split_full, None),
+    "fusion_grid_full": (fusion_grid_best, _FUSION),
+    "repeated_split_full": (repeated_split_stats, _SPLITS),
     "bootstrap_full": (bootstrap_full, None),
 }

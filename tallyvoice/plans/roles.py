@@ -11,12 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored clips: label y (1 = fake), fused score p, branches a, b, c, group, speaker, attack."""
+    """Scored clips: label y (1 = fake), a continuous score p, branches a, b, c, group, speaker, attack."""
     fake = F.col("l_returnflag") == "R"
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("clip"),
         F.when(fake, 1).otherwise(0).alias("y"),
-        (F.col("l_quantity") / 50).alias("p"),
+        (F.col("l_extendedprice") / 105000).alias("p"),
         (F.col("l_discount") * 10 + 0.0).alias("a"), (F.col("l_tax") * 12 + 0.0).alias("b"), (F.col("l_quantity") / 50).alias("c"),
         F.col("l_linestatus").alias("grp"), F.col("l_suppkey").alias("speaker"),
         F.when(fake, F.concat(F.lit("A"), (F.col("l_linenumber") % 4).cast("string"))).otherwise("-").alias("attack"),
@@ -24,7 +24,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SCORES = """scores AS (
-  SELECT l_orderkey AS clip, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_quantity / 50 AS p,
+  SELECT l_orderkey AS clip, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_extendedprice / 105000 AS p,
          l_discount * 10 + 0.0 AS a, l_tax * 12 + 0.0 AS b, l_quantity / 50 AS c, l_linestatus AS grp, l_suppkey AS speaker,
          CASE WHEN l_returnflag = 'R' THEN 'A' || (l_linenumber % 4)::VARCHAR ELSE '-' END AS attack
   FROM lineitem)"""

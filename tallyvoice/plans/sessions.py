@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from ..functions import intent
-from ..operators import arrays, audit
+from ..operators import arrays, audit, sampling
 from ..streaming import sessions
+from .relations import byte
 from .roles import CHUNKS, CLIPS, chunks, clips, table
 
 
@@ -170,21 +171,6 @@ def intent_evidence(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-DIALOGUES = [
-    (1, "caller: hello receiver: hi caller: please share the otp right now"),
-    (2, "caller: I will send you the report tomorrow receiver: thanks"),
-    (3, "you have to wire me some money immediately and don't tell anyone"),
-    (4, "Receiver: who is it? Caller: I need remote access to help"),
-]
-
-
-def intent_literals(spark: SparkSession, sf: str) -> DataFrame:
-    """The shipped rules on four written dialogues."""
-    rows = spark.createDataFrame(DIALOGUES, "id int, dialogue string")
-    said = rows.select("id", F.array_join(intent.caller_turns(F.col("dialogue")), " | ").alias("said"))
-    return intent.analyse(said, "said").select("id", "said", "score", "level", F.array_join("categories", ",").alias("categories"))
-
-
 def _waves(spark: SparkSession, sf: str) -> DataFrame:
     """Levels of a call as samples in [-1, 1], in order."""
     rows = chunks(spark, sf).groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "p"))).alias("c"))
@@ -205,22 +191,35 @@ def frame_db_bounds(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+PACKET = 4
+
+
 def packet_conceal(spark: SparkSession, sf: str) -> DataFrame:
-    """Every third packet of four samples lost and concealed."""
-    rows = _waves(spark, sf).withColumn("wave", F.slice("wave", 1, (F.size("wave") - F.size("wave") % 4)))
-    flags = F.transform(F.sequence(F.lit(1), (F.size("wave") / 4).cast("int")), lambda k: k % 3 == 0)
-    rows = rows.where("size(wave) >= 4").withColumn("y", arrays.conceal("wave", flags))
-    power = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v), 4)
+    """A third of the packets of four samples lost by a hash, in bursts too, and concealed."""
+    draw = lambda k: sampling.digest_byte(F.md5(F.concat_ws(":", F.lit("gone"), F.col("call_id").cast("string"), k.cast("string"))), 0)
+    rows = _waves(spark, sf).withColumn("lost", F.transform(F.sequence(F.lit(0), F.floor(F.size("wave") / PACKET).cast("int")), lambda k: draw(k) < 85))
+    rows = rows.withColumn("y", arrays.conceal("wave", "lost", PACKET))
+    power = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v) + 1e-7, 4)
     return rows.select("call_id", F.size("y").alias("n"), power("wave").alias("before"), power("y").alias("after"))
 
 
 _W = "PARTITION BY call_id ORDER BY ts, seq"
 _PREFIX = " UNION ALL ".join(f"SELECT doc_id, least({s}, floor(seconds))::INT AS length FROM clips" for s in (2, 4, 6, 8, 10))
 _HIST = "count(*) FILTER (WHERE p <= 10) AS le_10, count(*) FILTER (WHERE p <= 50) AS le_50, count(*) FILTER (WHERE p <= 100) AS le_100, count(*) FILTER (WHERE p <= 250) AS le_250, count(*) AS le_inf"
-_TOLD = r"""told AS (SELECT conv_id, turn, lower(text) AS text FROM conversations WHERE role = 'user'),
- ev AS (SELECT conv_id, turn, 'opening' AS category, 0.3::DOUBLE AS weight, regexp_extract(text, '(?:^the [a-z]+)|(?:^a [a-z]+)') AS phrase FROM told
- UNION ALL SELECT conv_id, turn, 'ending', 0.25, regexp_extract(text, '(?:the\.$)|(?:of\.$)') FROM told
- UNION ALL SELECT conv_id, turn, 'pair', 0.5, regexp_extract(text, '(?:the of the)|(?:of the [a-z]+ing the)') FROM told)"""
+_FIRST = lambda *patterns: "coalesce(" + ", ".join(f"nullif(regexp_extract(text, '{p}'), '')" for p in patterns) + ", '')"
+_TOLD = rf"""told AS (SELECT conv_id, turn, lower(text) AS text FROM conversations WHERE role = 'user'),
+ ev AS (SELECT conv_id, turn, 'opening' AS category, 0.3::DOUBLE AS weight, {_FIRST('^the [a-z]+', '^a [a-z]+')} AS phrase FROM told
+ UNION ALL SELECT conv_id, turn, 'ending', 0.25, {_FIRST('the\.$', 'of\.$')} FROM told
+ UNION ALL SELECT conv_id, turn, 'pair', 0.5, {_FIRST('the of the', 'of the [a-z]+ing the')} FROM told)"""
+_WAVES = f"""{CHUNKS}, w AS (SELECT call_id, (row_number() OVER ({_W}) - 1)::INT AS i, sin(p) AS v, count(*) OVER (PARTITION BY call_id) AS n FROM chunks)"""
+_CONCEALED = f"""WITH {_WAVES}, k AS (SELECT *, i // {PACKET} AS k, i // {PACKET} < n // {PACKET} AND {byte("'gone:' || call_id::VARCHAR || ':' || (i // " + str(PACKET) + ")::VARCHAR", 0)} < 85 AS lost FROM w),
+ h AS (SELECT *, max(CASE WHEN NOT lost THEN k END) OVER (PARTITION BY call_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS heard FROM k),
+ y AS (SELECT h.call_id, h.v, CASE WHEN NOT h.lost THEN h.v WHEN h.heard IS NULL THEN 0 ELSE s.v * pow(0.6, h.k - h.heard) END AS y
+       FROM h LEFT JOIN h s ON s.call_id = h.call_id AND s.i = h.heard * {PACKET} + h.i % {PACKET})
+ SELECT call_id, count(*)::INT AS n, round(sum(v * v) + 1e-7, 4) AS before, round(sum(y * y) + 1e-7, 4) AS after FROM y GROUP BY call_id"""
+_BOUNDS = f"""WITH {_WAVES}, f AS (SELECT call_id, n, i // 4 AS k, 10 * log10(sum(v * v) / 4 + 1e-12) AS db FROM w WHERE i // 4 < n // 4 GROUP BY call_id, n, i // 4),
+ b AS (SELECT call_id, count(*)::INT AS frames, round(max(db), 4) AS loudest, min(k) FILTER (WHERE db > -3) AS first, max(k) FILTER (WHERE db > -3) AS last, any_value(n) AS n FROM f GROUP BY call_id)
+ SELECT c.call_id, coalesce(frames, 0)::INT AS frames, loudest, greatest(first * 4 - 2, 0)::INT AS start, least((last + 1) * 4 + 2, b.n)::INT AS end FROM (SELECT DISTINCT call_id FROM w) c LEFT JOIN b USING (call_id)"""
 
 ENTRIES = {
     "rolling_mean_9": (rolling_mean_9, f"WITH {CHUNKS} SELECT call_id, seq, round(avg(p) OVER ({_W} ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) + 1e-7, 4) AS mean9 FROM chunks"),
@@ -246,8 +245,7 @@ ENTRIES = {
     "caller_turns": (caller_turns, "SELECT conv_id, count(*) AS turns, sum(length(text))::BIGINT AS chars FROM conversations WHERE role = 'user' GROUP BY conv_id"),
     "intent_scores": (intent_scores, f"WITH {_TOLD}, f AS (SELECT DISTINCT conv_id, category, weight FROM ev WHERE phrase <> ''), s AS (SELECT conv_id, count(*) AS n, round(1 - product(1 - weight), 4) AS score FROM f GROUP BY conv_id) SELECT c.conv_id, coalesce(n, 0)::INT AS categories, coalesce(score, 0) AS score, CASE WHEN coalesce(score, 0) >= 0.6 THEN 'high' WHEN coalesce(score, 0) >= 0.3 THEN 'caution' ELSE 'none' END AS level FROM (SELECT DISTINCT conv_id FROM told) c LEFT JOIN s USING (conv_id)"),
     "intent_evidence": (intent_evidence, f"WITH {_TOLD} SELECT conv_id, category, min(turn) AS turn, min_by(phrase, turn) AS phrase FROM ev WHERE phrase <> '' GROUP BY 1, 2"),
-    "intent_literals": (intent_literals, None),
-    "pcm_roundtrip": (pcm_roundtrip, None),
-    "frame_db_bounds": (frame_db_bounds, None),
-    "packet_conceal": (packet_conceal, None),
+    "pcm_roundtrip": (pcm_roundtrip, f"WITH {CHUNKS} SELECT call_id, count(*)::INT AS n, true AS close FROM chunks GROUP BY call_id"),
+    "frame_db_bounds": (frame_db_bounds, _BOUNDS),
+    "packet_conceal": (packet_conceal, _CONCEALED),
 }

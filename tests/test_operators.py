@@ -90,8 +90,19 @@ def test_pcm_and_concealment(spark):
     rows = spark.createDataFrame([([0.5, -0.5, 2.0],)], "w array<double>")
     back = rows.select(arrays.from_pcm16(arrays.to_pcm16("w")).alias("b")).first().b
     assert np.allclose(back, [0.5, -0.5, 32767 / 32768], atol=1e-4)
-    lost = spark.createDataFrame([([1.0, 1.0, 2.0, 2.0, 3.0, 3.0], [False, True, True])], "w array<double>, f array<boolean>")
-    assert np.allclose(lost.select(arrays.conceal("w", "f").alias("y")).first().y, [1, 1, 0.6, 0.6, 0.36, 0.36])
+    none = spark.createDataFrame([(None,), ([],)], "w array<double>").select(arrays.from_pcm16(arrays.to_pcm16("w")).alias("b")).collect()
+    assert [r.b for r in none] == [None, []]
+
+
+@pytest.mark.parametrize(("wave", "lost", "packet", "want"), [
+    ([1.0, 1.0, 2.0, 2.0, 3.0, 3.0], [False, True, True], 2, [1, 1, 0.6, 0.6, 0.36, 0.36]),
+    ([1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0], [True], 4, [0, 0, 0, 0, 5, 6, 7]),  # samples behind the last whole packet stay
+    ([1.0, 2.0, 3.0, 4.0, 5.0], [False, True], 2, [1, 2, 0.6, 1.2, 5]),
+    ([1.0, 2.0], [False, None], 1, [1, 2]), ([1.0], [], 4, [1]), ([], [], 4, []), ([], [True], 4, []),
+])
+def test_concealment(spark, wave, lost, packet, want):
+    rows = spark.createDataFrame([(wave, lost)], "w array<double>, f array<boolean>")
+    assert np.allclose(rows.select(arrays.conceal("w", "f", packet).alias("y")).first().y, want)
 
 
 def test_speech_bounds(spark):
@@ -114,6 +125,12 @@ def test_intent(spark):
     assert got[1].score == 0.0 and got[1].level == "none"
     own = spark.createDataFrame([("verify our credentials",), ("verify our credentials and read me the cvv",)], "t string")
     assert [r.score for r in intent.analyse(own, "t").collect()] == [0.0, 0.6]
+    order = spark.createDataFrame([("we will take legal action so act now",), ("you must pay the fine or send the money",)], "t string")
+    first = {e.category: e.phrase for r in intent.analyse(order, "t").collect() for e in r.evidence}
+    # the first pattern that matches decides, not the leftmost match
+    assert first["urgency_threat"] == "act now" and first["payment_redirect"] == "send the money"
+    said = "caller: hello receiver: hi caller: please share the otp right now"
+    assert spark.range(1).select(intent.caller_turns(F.lit(said)).alias("c")).first().c == ["hello", "please share the otp right now"]
     turns = rows.select(intent.caller_turns(F.col("t")).alias("c")).collect()
     assert turns[0].c == ["share the otp right now"] and turns[1].c == ["plain talk"]
 
@@ -149,9 +166,9 @@ def test_whole_fusion_grid_and_splits(spark):
     from tallyvoice.plans import registry
 
     sf = "/root/testdata/sf0.001"
-    best = registry.queries()["fusion_grid_full"](spark, sf).first()
+    best = registry.queries()["fusion_grid_best"](spark, sf).first()
     assert best.wa + best.wb + best.wc == 20 and weight_grid(spark.range(1), 20).count() == 231
-    got = registry.queries()["repeated_split_full"](spark, sf).first()
+    got = registry.queries()["repeated_split_stats"](spark, sf).first()
     assert got.splits == 20 and 0 <= got.mean_block_flagged <= got.mean_verify_flagged <= 1
     assert 0 <= got.min_block_caught <= got.max_verify_caught <= 1
 
@@ -162,17 +179,23 @@ def test_whole_order_and_drawn_rows(spark):
 
     sf = "/root/testdata/sf0.001"
     run = lambda name: registry.queries()[name](spark, sf).collect()
-    rows = [(r.o_orderpriority, -r.o_totalprice, r.o_orderkey) for r in run("lexsort_rows_all")]
+    rows = [(r.o_orderpriority, -r.o_totalprice, r.o_orderkey) for r in run("lexsort_rows")]
     assert len(rows) == spark.read.parquet(f"{sf}/orders.parquet").count() and rows == sorted(rows)
     drawn = run("quota_sample_rows")
     assert {q.attack: q.quota for q in run("quota_sample")} == {a: sum(r.attack == a for r in drawn) for a in {r.attack for r in drawn}}
 
 
-def test_whole_bootstrap(spark):
-    """1000 replicates, whose draws keep the size of each class."""
+def test_replayed_draws_agree_with_a_multinomial(spark):
+    """The interval from hashes against the one from numpy's draws, and the law of the draws themselves."""
     from tallyvoice.plans import detection, registry
 
     cells = pd.DataFrame({"r": 3, "y": 1, "a": [0.1, 0.2, 0.3], "c": 0.5, "n": [5, 1000, 7]})
     assert detection.multinomial(cells)["copies"].sum() == 1012
-    got = registry.queries()["bootstrap_full"](spark, "/root/testdata/sf0.001").first()
-    assert got.replicates == 1000 and got.low <= got.mean_diff <= got.high
+    hashed, drawn = (registry.queries()[n](spark, "/root/testdata/sf0.001").first() for n in ("paired_bootstrap", "bootstrap_full"))
+    width = drawn.high - drawn.low
+    assert hashed.replicates == drawn.replicates == 1000
+    assert abs(hashed.low - drawn.low) < 0.1 * width and abs(hashed.high - drawn.high) < 0.1 * width
+    z = detection.normal(F.md5(F.col("id").cast("string")))
+    for mean in (1.0, 30.0):
+        k = spark.range(20000).select(detection.poisson(F.lit(mean), z).alias("k")).agg(F.avg("k").alias("m"), F.variance("k").alias("v")).first()
+        assert abs(k.m / mean - 1) < 0.03 and abs(k.v / mean - 1) < 0.05
