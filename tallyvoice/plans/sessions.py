@@ -209,7 +209,7 @@ _HIST = "count(*) FILTER (WHERE p <= 10) AS le_10, count(*) FILTER (WHERE p <= 5
 _FIRST = lambda *patterns: "coalesce(" + ", ".join(f"nullif(regexp_extract(text, '{p}'), '')" for p in patterns) + ", '')"
 _TOLD = rf"""told AS (SELECT conv_id, turn, lower(text) AS text FROM conversations WHERE role = 'user'),
  ev AS (SELECT conv_id, turn, 'opening' AS category, 0.3::DOUBLE AS weight, {_FIRST('^the [a-z]+', '^a [a-z]+')} AS phrase FROM told
- UNION ALL SELECT conv_id, turn, 'ending', 0.25, {_FIRST('the\.$', 'of\.$')} FROM told
+ UNION ALL SELECT conv_id, turn, 'ending', 0.25, {_FIRST(r'the\.$', r'of\.$')} FROM told
  UNION ALL SELECT conv_id, turn, 'pair', 0.5, {_FIRST('the of the', 'of the [a-z]+ing the')} FROM told)"""
 _WAVES = f"""{CHUNKS}, w AS (SELECT call_id, (row_number() OVER ({_W}) - 1)::INT AS i, sin(p) AS v, count(*) OVER (PARTITION BY call_id) AS n FROM chunks)"""
 _CONCEALED = f"""WITH {_WAVES}, k AS (SELECT *, i // {PACKET} AS k, i // {PACKET} < n // {PACKET} AND {byte("'gone:' || call_id::VARCHAR || ':' || (i // " + str(PACKET) + ")::VARCHAR", 0)} < 85 AS lost FROM w),

@@ -1,4 +1,4 @@
-"""Folders that driver and executors share."""
+"""Folders that driver and executors share, through Spark's own file systems."""
 
 from __future__ import annotations
 
@@ -22,3 +22,30 @@ def shared_folder(spark: SparkSession) -> str:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyvoice-"))
         folder = sc.getCheckpointDir()
     return folder.rstrip("/")
+
+
+def _located(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _located(spark, path)
+    return files.exists(where)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all in it; nothing may read it any more."""
+    files, where = _located(spark, path)
+    files.delete(where, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if there is no folder."""
+    files, where = _located(spark, path)
+    return sorted(x.getPath().getName() for x in files.listStatus(where)) if files.exists(where) else []
+
+
+def whole(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end: the committer marks it."""
+    return exists(spark, f"{path}/_SUCCESS")

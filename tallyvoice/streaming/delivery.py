@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.folders import shared_folder
+from ..sources.folders import shared_folder, whole
 from .calls import stateful
 
 
@@ -28,10 +28,8 @@ def first_deliveries(stream: DataFrame, keys: list[str], time: str, delay: str)
 
 def append_once(rows: DataFrame, batch_id: int, path: str) -> bool:
     """Write a batch to ``path``, unless it stands there whole; says whether it wrote."""
-    spark = rows.sparkSession
     target = f"{path}/batch={batch_id}"
-    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
-    if mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+    if whole(rows.sparkSession, target):
         return False
     rows.write.mode("overwrite").parquet(target)
     return True
