@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,3 +69,36 @@ def closest_to_uniform(grid: DataFrame, band: float = 0.05) -> DataFrame:
     order = Window.orderBy(spread, "eer_pct", "wa", "wb", "wc")
     return best.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth", "best")
 
+
+def gate_grid(rows: DataFrame, lows: Sequence[float], highs: Sequence[float], time: str = "t", band: float = 0.05) -> DataFrame:
+    """Mean EER over the decision times of a gated fusion for each pair of weights, and which pair is chosen.
+
+    rows: scores a and b, trust q, label y and a decision time. Equal rows are counted before they meet
+    the grid. Of the pairs within ``band`` of the best, the one with the smallest weights is chosen.
+    """
+    spark = rows.sparkSession
+    grid = spark.createDataFrame([(float(x), float(z)) for x in lows for z in highs if z >= x], "low double, high double")
+    counted = rows.groupBy(time, "a", "b", "q").agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
+    w = F.col("low") + (F.col("high") - F.col("low")) * F.greatest(F.least(F.col("q"), F.lit(1.0)), F.lit(0.0))
+    fused = F.round((1 - w) * F.col("a") + w * F.col("b"), 6)
+    met = counted.crossJoin(F.broadcast(grid)).groupBy("low", "high", time, fused.alias("score")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    each = eer_of(met, ["low", "high", time]).groupBy("low", "high").agg(F.round(F.avg("eer_pct"), 6).alias("mean_eer"))
+    # a row a pair: the grid is small whatever the rows
+    best = each.agg(F.min("mean_eer").alias("best"))
+    near = F.round(F.col("mean_eer") - F.col("best"), 6) <= band
+    order = F.struct(F.round(F.col("low") + F.col("high"), 6), "low", "high")
+    chosen = each.crossJoin(best).where(near).agg(F.min_by(F.struct("low", "high"), order).alias("c"))
+    same = (F.col("low") == F.col("c.low")) & (F.col("high") == F.col("c.high"))
+    return each.crossJoin(chosen).select("low", "high", "mean_eer", same.alias("chosen"))
+
+
+def renormalised(weights: Column, kept: Sequence[str]) -> Column:
+    """A map of branch weights cut to some branches, adding up to one; equal weights where they add up to nothing.
+
+    Branches that the map lacks weigh nothing.
+    """
+    names = F.array(*[F.lit(k) for k in kept])
+    own = F.transform(names, lambda k: F.coalesce(F.element_at(weights, k), F.lit(0.0)))
+    total = F.aggregate(own, F.lit(0.0), lambda s, v: s + v)
+    shares = F.when(total > 0, F.transform(own, lambda v: v / total)).otherwise(F.transform(names, lambda k: F.lit(1 / len(kept))))
+    return F.map_from_arrays(names, shares)

@@ -69,3 +69,12 @@ def snr_bin(snr: Column, bins: list[tuple[int, int]]) -> Column:
     for low, high in bins[:-1]:
         out = F.when(snr < high, f"{low}-{high}") if out is None else out.when(snr < high, f"{low}-{high}")
     return out.otherwise(f"{bins[-1][0]}-{bins[-1][1]}")
+
+
+def selected(rows: DataFrame, key: str, stratum: str, want: Column, seed: int = 0) -> DataFrame:
+    """Exactly ``want`` rows of each stratum in hash order, all where it is 0; a stratum with fewer fails the job."""
+    have = Window.partitionBy(stratum)
+    ranked = hash_rank(rows, key, seed, [stratum], "nth").withColumns({"want": want, "have": F.count(F.lit(1)).over(have)})
+    message = F.concat(F.lit("only "), F.col("have").cast("string"), F.lit(" rows of "), F.col(stratum).cast("string"), F.lit(", wanted "), F.col("want").cast("string"))
+    nth = F.when(F.col("have") >= F.col("want"), F.col("nth")).otherwise(F.raise_error(message).cast("int"))
+    return ranked.withColumn("nth", nth).where((F.col("want") == 0) | (F.col("nth") <= F.col("want"))).drop("want", "have")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checks, detection, records, relations, sessions, streams
+from . import checks, detection, records, relations, sessions, signals, streams
 
-ENTRIES = {**detection.ENTRIES, **relations.ENTRIES, **sessions.ENTRIES, **checks.ENTRIES, **streams.ENTRIES, **records.ENTRIES}
+ENTRIES = {**detection.ENTRIES, **relations.ENTRIES, **sessions.ENTRIES, **checks.ENTRIES, **streams.ENTRIES, **records.ENTRIES, **signals.ENTRIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

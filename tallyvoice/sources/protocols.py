@@ -188,3 +188,20 @@ def chunk_stream(spark: SparkSession, servers: str, topic: str) -> DataFrame:
 def verdict_records(verdicts: DataFrame) -> DataFrame:
     """Verdicts as records for a broker sink: key call_id, value JSON."""
     return verdicts.select(F.col("call_id").cast("string").alias("key"), F.to_json(F.struct(*verdicts.columns)).alias("value"))
+
+
+#: Splits that may be trained on, and the one that tunes unless attacks are held out.
+TRAINING, TUNING = ("train", "dev"), "asv5:dev"
+
+
+def training_splits(entries: list[str], held_out: bool = False, datasets: tuple[str, ...] = ("asv5", "asv19")) -> list[tuple[str, str]]:
+    """Checked ``dataset:split`` entries; test splits and unknown sets are refused, the tuning split unless attacks are held out."""
+    found = []
+    for entry in entries:
+        dataset, _, split = entry.partition(":")
+        if dataset not in datasets or split not in TRAINING:
+            raise ValueError(f"{entry!r} is no training split; expected one of {datasets} and one of {TRAINING}")
+        if entry == TUNING and not held_out:
+            raise ValueError(f"{TUNING} is the tuning set unless attacks are held out")
+        found.append((dataset, split))
+    return found
