@@ -13,10 +13,11 @@ span of kind ``term``. ``sanitise`` removes terms that give an entity away (PMI
 text without it) and generalises the other disclosing ones to a class, ``[NAME]`` where capitalised, else
 ``[WORD]``; base spans become their kind in brackets.
 
-Scale: counts are one partial aggregate of entities, terms and pairs over distinct texts, written once;
-an entity or term in a third of the rows does not gather in a task. Pairs are those within a text:
-its different entities times its words. Marking joins them to the disclosing pairs by entity and term,
-never an entity's texts to all its terms; places of terms are running sums over the pieces of a text. Whether a join is broadcast is left to Spark's size check.
+Scale: base spans are looked for once, in texts that can hold one; texts with spans are written once, each
+different text once. Term counts are one partial aggregate over distinct texts. An entity that one text
+holds makes no pairs: its terms are decided by their own counts, in one join on the term. Pairs are made
+of entities of several texts, within a text. Places of terms are running sums over the pieces of a text.
+Whether a join is broadcast is left to Spark's size check.
 
 Defined results: null or empty texts have no spans; repeated rows give equal rows; a null id stays
 null; in ``sanitise`` other columns pass through.
@@ -24,13 +25,14 @@ null; in ``sanitise`` other columns pass through.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import held, materialise, settled, text_or_empty
+from .common import Scratch, held, materialise, settled, text_or_empty
 
 # Kinds in the contract's order, and its patterns. A run of pattern characters is only
 # tried from its start or from the end of the last match; from inside it no match could begin.
@@ -186,53 +188,89 @@ def replaced(rows: DataFrame, put: Callable[[Column, Column], Column]) -> DataFr
     return rows.withColumn("clean", F.when(F.size("every") == 0, F.col("text")).otherwise(clean)).drop("reach", "reach_scan")
 
 
-def known(rows: DataFrame) -> DataFrame:
-    """key and size of each text, its different entities, and ``clean``: base spans turned to blanks."""
-    based = with_base_spans(rows.select("text"))
-    places = [each_span(k, lambda _, s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS]
-    values = [each_span(k, lambda k, s: F.concat(F.lit(f"{k}:"), F.lower(s["value"]))) for k in KINDS]
-    based = based.select("text", F.array_distinct(F.concat(*values)).alias("entities"), F.sort_array(F.concat(*places)).alias("every"))
-    blank = lambda s, at: F.repeat(F.lit(" "), (s["end"] - at).cast("int"))
-    return replaced(based, blank).select(*_text_key(), "entities", "clean")
+def _places() -> Column:
+    """All base spans of a row, sorted: start, end."""
+    return F.sort_array(F.concat(*[each_span(k, lambda _, s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS]))
+
 
+def _blank(span: Column, at: Column) -> Column:
+    return F.repeat(F.lit(" "), (span["end"] - at).cast("int"))
 
-def counted(rows: DataFrame) -> DataFrame:
-    """Numbers of different texts with (entity, term); a null stands for any."""
+
+def term_counts(rows: DataFrame) -> DataFrame:
+    """term and n, the number of different texts with it outside base spans; a null term stands for any text."""
+    based = with_base_spans(rows.select("text").distinct()).select("text", _places().alias("every"))
     words = F.regexp_extract_all("clean", F.lit(TERM), F.lit(0))
-    texts = known(rows.select("text").distinct()).select("entities", F.array_distinct(F.transform(words, F.lower)).alias("terms"))
-    any_or = lambda c: F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col(c)))
-    pairs = texts.select(any_or("entities").alias("entity"), "terms").select("entity", any_or("terms").alias("term"))
-    return pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n"))
+    texts = replaced(based, _blank).select(F.array_distinct(F.transform(words, F.lower)).alias("terms"))
+    each = F.explode(F.concat(F.array(F.lit(None).cast("string")), "terms")).alias("term")
+    return texts.select(each).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def disclosing_terms(counts: DataFrame) -> DataFrame:
-    """Pairs (entity, term) whose PMI reaches the disclosure threshold, over the whole corpus."""
-    total = counts.where("entity is null and term is null").select("n")
-    entities = counts.where("entity is not null and term is null").select("entity", F.col("n").alias("n_e"))
-    frequency = counts.where("entity is null and term is not null").select("term", F.col("n").alias("n_t"))
-    pairs = counts.where("entity is not null and term is not null").select("entity", "term", F.col("n").alias("n_te"))
-    scored = pairs.join(entities, "entity").join(frequency, "term").crossJoin(F.broadcast(total))
-    pmi = F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e")))
-    content = F.log2(F.col("n") / F.col("n_e"))
-    grade = F.when(pmi >= content - F.lit(1e-9), REMOVED).otherwise(GENERALISED)
-    return scored.where((content > 0) & (pmi >= F.lit(DISCLOSURE) * content)).select("entity", "term", grade.alias("grade"))
+def holders(rows: DataFrame) -> DataFrame:
+    """The different texts with a base span: key, size, spans by kind, their different entities, and ``clean``, blanks for the spans."""
+    worth = functools.reduce(lambda a, b: a | b, [F.col("text").rlike(x) for x in NEEDS.values()])
+    based = with_base_spans(rows.select("text").where(worth))
+    values = [each_span(k, lambda k, s: F.concat(F.lit(f"{k}:"), F.lower(s["value"]))) for k in KINDS]
+    based = based.select("text", *KINDS, F.array_distinct(F.concat(*values)).alias("entities"))
+    based = settled(based, "entities").where(F.size("entities") > 0).withColumn("every", _places())
+    return replaced(based, _blank).select(*_text_key(), *KINDS, "entities", "clean").dropDuplicates(["key", "size"])
 
 
-def occurrences(rows: DataFrame) -> DataFrame:
-    """A row for each term occurrence and entity of a text: key, size, entity, term, start, end.
+def disclosing_terms(held: DataFrame, counts: DataFrame) -> DataFrame:
+    """key, size, term and grade of each term of a text that discloses one of the text's entities.
+
+    An entity of one text needs no pairs: n_te and n_e are 1 there, so n_t alone decides, once for each
+    term of the text. Pairs are made of entities that two texts or more hold.
+    """
+    n = counts.where("term is null").first()
+    total = F.lit(n.n if n else 0)
+    frequency = counts.where("term is not null").withColumnRenamed("n", "n_t")
+    words = F.regexp_extract_all("clean", F.lit(TERM), F.lit(0))
+    texts = held.select("key", "size", "entities", F.array_distinct(F.transform(words, F.lower)).alias("terms"))
+    entities = texts.select("key", "size", F.explode("entities").alias("entity"))
+    often = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    shared = entities.join(often.where("n_e > 1"), "entity")
+    alone = entities.join(often.where("n_e = 1").select("entity"), "entity").select("key", "size").distinct()
+
+    def graded(rows: DataFrame) -> DataFrame:
+        pmi = F.log2(F.col("n_te") * total / (F.col("n_t") * F.col("n_e")))
+        content = F.log2(total / F.col("n_e"))
+        grade = F.when(pmi >= content - F.lit(1e-9), REMOVED).otherwise(GENERALISED)
+        return rows.withColumn("grade", grade).where((content > 0) & (pmi >= F.lit(DISCLOSURE) * content))
+
+    one = F.lit(1).cast("long")
+    rare = graded(frequency.select("term", "n_t", one.alias("n_te"), one.alias("n_e"))).select("term", "grade")
+    of_alone = texts.join(alone, ["key", "size"]).select("key", "size", F.explode("terms").alias("term")).join(rare, "term")
+    pairs = shared.join(texts.select("key", "size", "terms"), ["key", "size"]).select("key", "size", "entity", "n_e", F.explode("terms").alias("term"))
+    joint = pairs.groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_te"))
+    found = graded(joint.join(frequency, "term")).select("entity", "term", "grade")
+    of_shared = pairs.join(found, ["entity", "term"])
+    columns = ["key", "size", "term", "grade"]
+    return of_alone.select(*columns).union(of_shared.select(*columns)).groupBy("key", "size", "term").agg(F.max("grade").alias("grade"))
+
+
+def occurrences(held: DataFrame) -> DataFrame:
+    """A row for each term occurrence of a text: key, size, term, start, end.
 
     The pieces of a text (runs of letters and of others) stand in rows, their ends are running sums.
     """
-    holding = settled(known(rows), "entities").where(F.size("entities") > 0).dropDuplicates(["key", "size"])
-    pieces = holding.select(
-        "key", "size", "entities", F.posexplode(F.regexp_extract_all("clean", F.lit(PIECE), F.lit(0))).alias("nth", "piece")
-    )
+    pieces = held.select("key", "size", F.posexplode(F.regexp_extract_all("clean", F.lit(PIECE), F.lit(0))).alias("nth", "piece"))
     end = F.sum(F.length("piece").cast("long")).over(Window.partitionBy("key", "size").orderBy("nth"))
     found = pieces.withColumn("end", end).where((F.length("piece") >= TERM_CHARS) & F.col("piece").rlike(r"^\p{L}"))
-    return found.select(
-        "key", "size", F.explode("entities").alias("entity"), F.lower("piece").alias("term"),
-        (F.col("end") - F.length("piece")).alias("start"), "end",
-    )
+    return found.select("key", "size", F.lower("piece").alias("term"), (F.col("end") - F.length("piece")).alias("start"), "end")
+
+
+def text_spans(rows: DataFrame) -> DataFrame:
+    """key, size, spans by kind and disclosing terms of each different text that has any; written to the shared folder."""
+    scratch = Scratch(rows.sparkSession)
+    try:
+        held, counts = scratch.keep(holders(rows), "pii-holders"), scratch.keep(term_counts(rows), "pii-terms")
+        terms = occurrences(held).join(disclosing_terms(held, counts), ["key", "size", "term"]).groupBy("key", "size").agg(
+            F.sort_array(F.collect_list(F.struct("start", "end", F.col("grade").alias("value")))).alias("term")
+        )
+        return materialise(held.select("key", "size", *KINDS).join(terms, ["key", "size"], "left"), "pii-spans")
+    finally:
+        scratch.drop()
 
 
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -240,18 +278,8 @@ def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in (carry or (id_col,))]).alias("row"), text_or_empty(text_col).alias("text")
     )
-    found = disclosing_terms(materialise(counted(rows), "pii-counts"))
-    # grouped by more than the key, so that the join below deals both sides anew and can split a text with many copies
-    spans = (
-        occurrences(rows).join(found, ["entity", "term"])
-        .groupBy("key", "size", "start", "end", "term").agg(F.max("grade").alias("value"))
-        .groupBy("key", "size", F.hash("key").alias("part"))
-        .agg(F.sort_array(F.collect_list(F.struct("start", "end", "value"))).alias("term"))
-        .drop("part")
-    )
-    based = with_base_spans(rows).select("*", *_text_key())
-    joined = based.join(spans, ["key", "size"], "left")
-    return joined.select("row", "text", *KINDS, F.coalesce("term", F.array().cast(SPAN)).alias("term"))
+    joined = rows.select("row", "text", *_text_key()).join(text_spans(rows), ["key", "size"], "left")
+    return joined.select("row", "text", *[F.coalesce(k, F.array().cast(SPAN)).alias(k) for k in (*KINDS, "term")])
 
 
 def listed(kinds: tuple[str, ...]) -> Column:
