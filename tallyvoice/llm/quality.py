@@ -148,7 +148,11 @@ def annotate(
     keep_input: bool = True,
     out: str = "quality",
 ) -> DataFrame:
-    """The input's columns and a struct ``quality`` with counts, the cleaned text and the verdict."""
+    """The input's columns and a struct ``quality`` with counts, the cleaned text and the verdict.
+
+    Where the input has a column of that name, the struct's name gets an underscore in front.
+    """
+    out = free_name(docs, out) if keep_input else out
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_input else []
     rows = docs.select(*row, text_or_empty(text_col).alias("text"))
     rows = rows.withColumns(
@@ -204,3 +208,28 @@ def keep(docs: DataFrame, text_col: str = "text") -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     judged = settled(annotate(docs, text_col, out=out).select(row, F.col(out).alias("quality")), "quality")
     return judged.where("quality.kept").select("row.*")
+
+
+#: The contract's columns in DuckDB's SQL.
+SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+c AS (SELECT r, doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+             length(text) - length(regexp_replace(text, '{SYMBOLS}', '', 'g')) AS n_symbols FROM d),
+l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+b AS (SELECT r, line, regexp_matches(line, '[.!?…。！？:;,]["''”’»)\]]*[\x20\x09-\x0D]*$')
+                  AND length(line) - length(regexp_replace(line, '{NAVIGATION}', '', 'g')) < {MENU_MARKS}
+                  AND length(line) - length(regexp_replace(line, '{SYMBOLS}', '', 'g')) <= length(line) * {MAX_SYMBOL_SHARE}::DOUBLE
+                  AND NOT regexp_matches(lower(line), '{"|".join(BOILERPLATE)}') AS prose
+      FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+k AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines, coalesce(sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) FILTER (WHERE prose), 0) AS left_chars
+      FROM b GROUP BY r),
+g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 3)),
+p AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+n AS (SELECT r, count(DISTINCT i + j) AS n_repeat_words FROM p, range(3) t(j) GROUP BY r),
+f AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+             word_chars - coalesce(left_chars, 0) AS lost_chars FROM c LEFT JOIN k USING (r) LEFT JOIN n USING (r)),
+v AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND lost_chars <= word_chars * {MAX_LOST_SHARE}::DOUBLE AS kept, lost_chars::BIGINT AS lost_chars
+FROM v
+"""

@@ -86,5 +86,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filter": url_filter.SQL, "op4_decontaminate": decontaminate.SQL, "op7_chat": chat.SQL,
-        "op11_collocations": collocations.SQL, "op13_interaction": interaction.SQL,
+        "op10_quality": quality.SQL, "op11_collocations": collocations.SQL, "op13_interaction": interaction.SQL,
     }
