@@ -8,9 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import intent
+from ..operators import arrays, sampling
 from ..sources import cache, clip_protocol, nested, protocols
 from ..sources.folders import shared_folder
-from .roles import CHUNKS, chunks, table
+from .roles import CHUNKS, CLIPS, chunks, clips, table
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -77,7 +79,7 @@ def nested_audio(spark: SparkSession, sf: str) -> DataFrame:
     """Audio written in a nested column and found again by its schema."""
     at = _folder(spark, "nested")
     nested.write_chunks(waves(spark, sf), at, 16)
-    rows = nested.read_audio(spark, at, ["call_id", "first"]).select("call_id", nested.arrays.from_pcm16("pcm").alias("x"))
+    rows = nested.read_audio(spark, at, ["call_id", "first"]).select("call_id", arrays.from_pcm16("pcm").alias("x"))
     each = rows.select("call_id", *_sums("x"))
     return each.groupBy("call_id").agg(F.sum("samples").cast("long").alias("samples"), F.sum("total").alias("total"))
 
@@ -105,6 +107,35 @@ def cached_levels(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("writes", F.lit(len(store.wrote)))
 
 
+def sampled_clips(spark: SparkSession, sf: str) -> DataFrame:
+    """25 documents in hash order (the draw is the feature)."""
+    return sampling.sample_n(clips(spark, sf), "doc_id", 25).select("doc_id", "speaker")
+
+
+def padded_waves(spark: SparkSession, sf: str) -> DataFrame:
+    """The first few samples of each call, none for some, repeated to a length of ten."""
+    first = F.slice("wave", 1, (F.col("call_id") % 7).cast("int"))
+    rows = waves(spark, sf).select("call_id", arrays.repeat_pad(first, 10).alias("x"))
+    return rows.select("call_id", F.size("x").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v) + 1e-7, 4).alias("total"))
+
+
+def json_values(spark: SparkSession, sf: str) -> DataFrame:
+    """The object inside a reply around it: its number, by kind of event."""
+    rows = table(spark, sf, "events").select("event_type", F.concat(F.lit("answer: "), "props", F.lit(" (end)")).alias("reply"))
+    k = F.from_json(intent.json_part(F.col("reply")), "k long")["k"]
+    return rows.groupBy("event_type").agg(F.count(k).alias("n"), F.sum(k).alias("total"))
+
+
+def supported_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Per source: documents with numbers, and those whose numbers all stand among ten frequent ones."""
+    rows = table(spark, sf, "documents").select("source", "text")
+    facts = F.array(*[F.lit(str(x)) for x in FACTS])
+    some = F.size(intent.numbers_in(F.col("text"))) > 0
+    return rows.groupBy("source").agg(F.count_if(some).alias("with_numbers"), F.count_if(some & intent.supported(F.col("text"), facts)).alias("supported"))
+
+
+FACTS = range(10)
+_NUMBERS = r"regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?')"
 _PCM = f"WITH {CHUNKS}, s AS (SELECT call_id, row_number() OVER (PARTITION BY call_id ORDER BY ts, seq) - 1 AS i, trunc((p / 500)::FLOAT * 32767::FLOAT)::BIGINT AS x FROM chunks)"
 _ROWS = """r AS (SELECT 's' || l_suppkey::VARCHAR AS speaker, CASE WHEN l_linestatus = 'F' THEN '-' ELSE 'alaw' END AS codec, (l_returnflag = 'R')::INT AS fake,
  CASE WHEN l_returnflag = 'R' THEN 'A' || l_linenumber::VARCHAR ELSE '-' END AS attack, l_linenumber AS line FROM lineitem)"""
@@ -117,4 +148,10 @@ ENTRIES = {
     "nested_audio": (nested_audio, f"{_PCM} SELECT call_id, count(*) AS samples, sum(x)::BIGINT AS total FROM s GROUP BY call_id"),
     "slice_reads": (slice_reads, f"{_PCM} SELECT call_id, count(*)::INT AS samples, sum(x)::BIGINT AS total FROM s WHERE i >= {SLICE[0]} AND i < {SLICE[1]} GROUP BY call_id"),
     "cached_levels": (cached_levels, f"WITH {CHUNKS} SELECT call_id, count(*) AS chunks, round(sum(p), 2) AS total, max(p) AS loudest, 4 AS writes FROM chunks GROUP BY call_id"),
+    "sampled_clips": (sampled_clips, f"WITH {CLIPS} SELECT doc_id, speaker FROM clips ORDER BY md5('0|' || doc_id::VARCHAR), doc_id LIMIT 25"),
+    "padded_waves": (padded_waves, f"""WITH {CHUNKS}, w AS (SELECT call_id, list(p / 500 ORDER BY ts, seq)[1:call_id % 7] AS x FROM chunks GROUP BY call_id)
+ SELECT call_id, 10 AS n, round(coalesce(list_sum([x[i % len(x) + 1] FOR i IN range(10) IF len(x) > 0]), 0) + 1e-7, 4) AS total FROM w"""),
+    "json_values": (json_values, "SELECT event_type, count(props->>'k') AS n, sum((props->>'k')::BIGINT)::BIGINT AS total FROM events GROUP BY 1"),
+    "supported_numbers": (supported_numbers, f"""SELECT source, count(*) FILTER (WHERE len({_NUMBERS}) > 0) AS with_numbers,
+ count(*) FILTER (WHERE len({_NUMBERS}) > 0 AND list_has_all([{", ".join(f"'{x}'" for x in FACTS)}], {_NUMBERS})) AS supported FROM documents GROUP BY source"""),
 }

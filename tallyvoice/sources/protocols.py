@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 COLUMNS = ("utt_id", "label", "attack", "speaker", "codec", "dataset", "attack_key")
 
@@ -104,11 +105,21 @@ def read_protocol(
     return rows
 
 
-def audio_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """utt_id, path and bytes of the audio files below a folder; contents are not read."""
+def audio_inventory(spark: SparkSession, path: str, names: str = "") -> DataFrame:
+    """utt_id, path and bytes of the audio files below a folder whose name matches; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{flac,wav}").load(path)
     name = F.regexp_extract("path", r"([^/]+)\.[^.]+$", 1)
-    return files.select(name.alias("utt_id"), "path", F.col("length").alias("bytes"))
+    return files.select(name.alias("utt_id"), "path", F.col("length").alias("bytes")).where(F.col("utt_id").rlike(names))
+
+
+def corpora(spark: SparkSession, root: str, required: tuple[str, ...] = ()) -> DataFrame:
+    """corpus (the folder below ``root``), files and bytes; a required corpus without files is a ValueError."""
+    inside = F.regexp_extract("path", rf"/{root.rstrip('/').rsplit('/', 1)[-1]}/([^/]+)/", 1)
+    found = audio_inventory(spark, root).groupBy(inside.alias("corpus")).agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
+    there = {r.corpus for r in found.where(F.col("corpus").isin(*required)).select("corpus").collect()} if required else set()
+    if missing := sorted(set(required) - there):
+        raise ValueError(f"no audio files of {missing} below {root}")
+    return found
 
 
 NOTES = "utterance_id string, speaker_id string, codec string, transmission string, attack_id string, phase string, trim string"
@@ -134,6 +145,14 @@ def repeated_ids(rows: DataFrame) -> DataFrame:
     return rows.groupBy("utt_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def unique_ids(rows: DataFrame) -> DataFrame:
+    """The rows; an id that stands more than once fails the job."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("utt_id"))
+    message = F.concat(F.lit("repeated id: "), F.col("utt_id"))
+    checked_id = F.when(n == 1, F.col("utt_id")).otherwise(F.raise_error(message).cast("string"))
+    return rows.withColumn("utt_id", checked_id)
+
+
 def read_scores(spark: SparkSession, path: str, column: str) -> DataFrame:
     """One score column of a wide score table: clip_index, label, attack, codec, p."""
     header = spark.read.csv(path, header=True)

@@ -80,3 +80,24 @@ def test_chunks(spark):
     rows = spark.createDataFrame([("c", [1.0, 2.0, 3.0])], "call_id string, wave array<double>")
     got = sorted((r.seq, r.chunk, r.eof) for r in protocols.chunk_calls(rows, 2).collect())
     assert got == [(0, [1.0, 2.0], False), (1, [3.0], True)]
+
+
+def test_corpora_and_repeated_ids(spark, tmp_path):
+    for name in ("musan/a/1.wav", "musan/2.wav", "demand/x.flac", "demand/y.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"12")
+    got = {r.corpus: (r.files, r.bytes) for r in protocols.corpora(spark, str(tmp_path), ("musan", "demand")).collect()}
+    assert got == {"musan": (2, 4), "demand": (1, 2)}
+    with pytest.raises(ValueError, match="esc50"):
+        protocols.corpora(spark, str(tmp_path), ("musan", "esc50"))
+    assert [r.utt_id for r in protocols.audio_inventory(spark, str(tmp_path), "^[xy]").collect()] == ["x"]
+    ids = lambda *u: spark.createDataFrame([(x,) for x in u], "utt_id string")
+    assert protocols.unique_ids(ids("a", "b")).count() == 2
+    with pytest.raises(Exception, match="repeated id: a"):
+        protocols.unique_ids(ids("a", "b", "a")).collect()
+
+
+def test_verdict_records(spark):
+    rows = spark.createDataFrame([("c/1", 2, 0.5, True)], "call_id string, seq long, p double, final boolean")
+    (record,) = protocols.verdict_records(rows).collect()
+    assert record.key == "c/1" and json.loads(record.value) == {"call_id": "c/1", "seq": 2, "p": 0.5, "final": True}
