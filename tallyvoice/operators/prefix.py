@@ -90,6 +90,8 @@ def quantiles(rows: DataFrame, value: Column | str, shares: Sequence[float], gro
         F.max("n_all").alias("n"), *[F.max(f"r{i}").alias(f"r{i}") for i in range(len(shares))],
         *[at(f(f"r{i}")).alias(f"{c}{i}") for i in range(len(shares)) for c, f in (("lo", F.floor), ("hi", F.ceil))],
     )
-    each = [F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (F.col(f"r{i}") - F.floor(f"r{i}")) for i in range(len(shares))]
+    # as Spark's percentile weighs the two values, so that results are equal to the last bit
+    between = lambda i, r: (F.ceil(r) - F.col(r)) * F.col(f"lo{i}") + (F.col(r) - F.floor(r)) * F.col(f"hi{i}")
+    each = [F.when(F.col(f"lo{i}") == F.col(f"hi{i}"), F.col(f"lo{i}")).otherwise(between(i, f"r{i}")) for i in range(len(shares))]
     return one.select(*groups, "n", F.array(*each).alias("q"))
 
