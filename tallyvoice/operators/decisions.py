@@ -70,6 +70,25 @@ def closest_to_uniform(grid: DataFrame, band: float = 0.05) -> DataFrame:
     return best.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth", "best")
 
 
+def fusion_over_times(rows: DataFrame, steps: int = 20, time: str = "t", band: float = 0.05) -> DataFrame:
+    """Mean EER over the decision times of every weight triple, and which is chosen.
+
+    Of the triples within ``band`` of the best, the one of the least squared distance to equal weights
+    is chosen, then the first one. Weights are in steps, so the distance is a whole number.
+    """
+    counted = rows.groupBy(time, "a", "b", "c").agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
+    fused = F.round((F.col("a") * F.col("wa") + F.col("b") * F.col("wb") + F.col("c") * F.col("wc")) / steps, 6)
+    met = counted.crossJoin(F.broadcast(weight_grid(rows, steps))).groupBy("wa", "wb", "wc", time, fused.alias("score")).agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
+    )
+    each = eer_of(met, ["wa", "wb", "wc", time]).groupBy("wa", "wb", "wc").agg(F.round(F.avg("eer_pct"), 6).alias("mean_eer"))
+    away = sum(((3 * F.col(w) - steps) * (3 * F.col(w) - steps) for w in ("wb", "wc")), (3 * F.col("wa") - steps) * (3 * F.col("wa") - steps))
+    near = each.crossJoin(each.agg(F.min("mean_eer").alias("best"))).where(F.round(F.col("mean_eer") - F.col("best"), 6) <= band)
+    chosen = near.agg(F.min(F.struct(away.alias("away"), "wa", "wb", "wc")).alias("c"))
+    same = (F.col("wa") == F.col("c.wa")) & (F.col("wb") == F.col("c.wb")) & (F.col("wc") == F.col("c.wc"))
+    return each.crossJoin(chosen).select("wa", "wb", "wc", "mean_eer", same.alias("chosen"))
+
+
 def gate_grid(rows: DataFrame, lows: Sequence[float], highs: Sequence[float], time: str = "t", band: float = 0.05) -> DataFrame:
     """Mean EER over the decision times of a gated fusion for each pair of weights, and which pair is chosen.
 

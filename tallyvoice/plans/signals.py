@@ -62,6 +62,11 @@ def gate_weights(spark: SparkSession, sf: str) -> DataFrame:
     return decisions.gate_grid(rows, LOWS, HIGHS)
 
 
+def fusion_over_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Every triple of branch weights with its mean EER over three decision times, and the chosen one."""
+    return decisions.fusion_over_times(scores(spark, sf).select("y", "a", "b", "c", (F.col("clip") % 3).alias("t")))
+
+
 def branch_weights(spark: SparkSession, sf: str) -> DataFrame:
     """Mean scores of the branches as weights per speaker, cut to two branches and to two others."""
     means = scores(spark, sf).groupBy("speaker").agg(*[F.avg(F.when(F.col("y") == 1, F.col(x))).alias(x) for x in "abc"])
@@ -182,6 +187,13 @@ ENTRIES = {
  {eer_sql('s', 'low, high, t', 'y1').replace('sum(1 - y1)', 'sum(y0)')}, m AS (SELECT low, high, round(avg(eer_pct), 6) AS mean_eer FROM e GROUP BY low, high),
  k AS (SELECT low, high FROM m WHERE round(mean_eer - (SELECT min(mean_eer) FROM m), 6) <= 0.05 ORDER BY round(low + high, 6), low, high LIMIT 1)
  SELECT m.low, m.high, mean_eer, m.low = k.low AND m.high = k.high AS chosen FROM m, k"""),
+    "fusion_over_times": (fusion_over_times, f"""WITH {SCORES}, w AS (SELECT a.x AS wa, b.x AS wb, 20 - a.x - b.x AS wc FROM range(21) a(x), range(21) b(x) WHERE a.x + b.x <= 20),
+ n AS (SELECT clip % 3 AS t, a, b, c, y, count(*) AS n FROM scores GROUP BY ALL),
+ s AS (SELECT wa, wb, wc, t, y * n AS y1, (1 - y) * n AS y0, round((a * wa + b * wb + c * wc) / 20, 6) AS p FROM n, w),
+ {eer_sql('s', 'wa, wb, wc, t', 'y1').replace('sum(1 - y1)', 'sum(y0)')}, m AS (SELECT wa, wb, wc, round(avg(eer_pct), 6) AS mean_eer FROM e GROUP BY wa, wb, wc),
+ k AS (SELECT wa, wb, wc FROM m WHERE round(mean_eer - (SELECT min(mean_eer) FROM m), 6) <= 0.05
+       ORDER BY (3 * wa - 20) * (3 * wa - 20) + (3 * wb - 20) * (3 * wb - 20) + (3 * wc - 20) * (3 * wc - 20), wa, wb, wc LIMIT 1)
+ SELECT m.wa, m.wb, m.wc, mean_eer, m.wa = k.wa AND m.wb = k.wb AND m.wc = k.wc AS chosen FROM m, k"""),
     "branch_weights": (branch_weights, f"""WITH {SCORES}, m AS (SELECT speaker, coalesce(avg(a) FILTER (WHERE y = 1), 0) AS a, coalesce(avg(b) FILTER (WHERE y = 1), 0) AS b, coalesce(avg(c) FILTER (WHERE y = 1), 0) AS c FROM scores GROUP BY speaker)
  SELECT speaker, round(CASE WHEN a + c > 0 THEN a / (a + c) ELSE 0.5 END, 6) AS a, round(CASE WHEN a + c > 0 THEN c / (a + c) ELSE 0.5 END, 6) AS c, round(CASE WHEN b > 0 THEN 1 ELSE 0.5 END, 6) AS b FROM m"""),
     "intent_evaluation": (intent_evaluation, f"""WITH t AS (SELECT lang, quality AS y, lower(text) AS text FROM documents JOIN labels USING (doc_id)), k AS (SELECT lang, y, {_PROSE} FROM t),

@@ -110,6 +110,14 @@ def test_a_gate_of_the_smallest_weights_among_the_best(spark):
     assert [(r.low, r.high) for r in got if r.chosen] == [(0.0, 0.05)] and all(r.mean_eer == 0 for r in got)
 
 
+def test_fusion_weights_nearest_to_equal_ones(spark):
+    rows = spark.createDataFrame([(y, float(y), float(y), float(1 - y), t) for y in (0, 1) for t in (1, 2) for _ in range(3)], "y int, a double, b double, c double, t int")
+    got = decisions.fusion_over_times(rows, steps=6).collect()
+    assert len(got) == 28 and [r.mean_eer for r in got if r.wc == 6] == [100.0]
+    # a and b tell the classes apart as long as they outweigh c; of those, the triple nearest to equal weights
+    assert [(r.wa, r.wb, r.wc, r.mean_eer) for r in got if r.chosen] == [(2, 2, 2, 0.0)]
+
+
 def test_weights_of_some_branches_add_up_to_one(spark):
     one = lambda weights, kept: spark.createDataFrame([(weights,)], "w map<string,double>").select(decisions.renormalised(F.col("w"), kept).alias("w")).first().w
     assert one({"a": 0.2, "b": 0.6, "c": 0.2}, ["a", "b"]) == pytest.approx({"a": 0.25, "b": 0.75})
