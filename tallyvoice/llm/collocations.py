@@ -113,7 +113,8 @@ class Slice:
         offsets = np.zeros(len(starts) + 1, np.int32)
         np.cumsum(stops - starts, out=offsets[1:])
         words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])]).dictionary_encode()
-        kinds, lang_of = np.unique(np.array(langs, object).astype(str), return_inverse=True)
+        named = pa.array(langs, pa.string()).dictionary_encode()
+        kinds, lang_of = named.dictionary.to_pylist(), named.indices.to_numpy()
         # a word of two languages has two numbers
         pair = words.indices.to_numpy().astype(np.uint64) * np.uint64(max(1, len(kinds))) + lang_of[text_of].astype(np.uint64)
         keys, inverse, counts = np.unique(pair, return_inverse=True, return_counts=True)

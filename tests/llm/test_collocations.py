@@ -46,7 +46,7 @@ def brute(docs, longest=3, least=10, inside=50, top=2000):
 
 def documents():
     rng = random.Random(11)
-    docs = [(None, "en"), ("", None), (" \t ", "en"), (".,;:!?\n\x0b\x0c\r", "de"), ("alone", "fr"), ("a b", None)]
+    docs = [(None, "en"), ("", None), (" \t ", "en"), (".,;:!?\n\x0b\x0c\r", "de"), ("alone", "fr"), ("a b", None), ("a b. " * 12, "en\x00"), ("a b. " * 9, "")]
     vocabulary = ["the", "The", "of", "é", "日本", "x\x00y", "a-b", "ÀB"] + [f"w{i}" for i in range(40)]
     for i in range(300):
         words = [rng.choice(vocabulary[: rng.choice([4, 8, 48])]) for _ in range(rng.choice([1, 5, 40]))]
