@@ -38,7 +38,7 @@ from .hashing import BYTE_VALUES, LOWER, ranges, sums_of
 
 LONGEST, LEAST, INSIDE_PERCENT, TOP = 3, 10, 50, 2000
 #: Bytes of text of a slice, and keys of a range, at most on average.
-SLICE_BYTES, ENTRIES = 4 << 20, 1 << 20
+SLICE_BYTES, ENTRIES = 2 << 20, 1 << 19
 #: A place where no frequent phrase starts.
 NONE = np.uint32(0xFFFFFFFF)
 # The contract's bytes that end a piece, and those that part words.
