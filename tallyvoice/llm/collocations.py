@@ -38,7 +38,9 @@ from .hashing import BYTE_VALUES, LOWER, ranges, sums_of
 
 LONGEST, LEAST, INSIDE_PERCENT, TOP = 3, 10, 50, 2000
 #: Bytes of text of a slice, and keys of a range, at most on average.
-SLICE_BYTES, ENTRIES = 2 << 20, 1 << 19
+SLICE_BYTES, ENTRIES = 4 << 20, 1 << 20
+#: Places of a row at most: a slice's places are several rows, so that none is a large object of the JVM.
+ROW_PLACES = 100_000
 #: A place where no frequent phrase starts.
 NONE = np.uint32(0xFFFFFFFF)
 # The contract's bytes that end a piece, and those that part words.
@@ -47,7 +49,7 @@ PIECE_END[list(b".,;:!?\n\x0b\x0c\r")] = True
 WORD = ~PIECE_END
 WORD[list(b" \t")] = False
 
-#: A slice's places (its texts as local numbers), or the words of one language in it.
+#: A slice's places (its texts as local numbers) by rows of which n is the number, or the n words of one language in it.
 TEXTS = "slice long, places binary, lang string, words array<binary>, counts binary, codes binary, n long"
 #: A block of keys on its way to a range.
 WORD_BLOCK = "part long, slice long, lang string, words array<binary>, counts binary, codes binary"
@@ -96,6 +98,12 @@ def run_heads(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def place_rows(places: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """The places by rows: number of the row, and its bytes."""
+    for at in range(0, len(places), ROW_PLACES):
+        yield at // ROW_PLACES, places[at : at + ROW_PLACES].tobytes()
+
+
 class Slice:
     """The words of some texts: a local number for each, with NONE between pieces."""
 
@@ -127,7 +135,8 @@ class Slice:
         self.dictionary = words.dictionary
 
     def rows(self, number: int) -> Iterator[pa.RecordBatch]:
-        yield text_rows([number], [self.places.tobytes()], [None], [None], [None], [None], [None])
+        for i, some in place_rows(self.places):
+            yield text_rows([number], [some], [None], [None], [None], [None], [i])
         for i, lang in enumerate(self.kinds):
             codes = np.flatnonzero(self.lang == i)
             if len(codes):
@@ -305,13 +314,13 @@ class Numbers:
 
 def next_pairs(table: pa.Table, numbers: Numbers, parts: int) -> pa.Table:
     """One slice, its places and the answers to it: the next longer phrases, as places and blocks."""
-    empty = pa.schema([("slice", pa.int64()), ("places", pa.binary()), ("part", pa.int64()), *[(c, pa.binary()) for c in ("codes", "first", "second", "counts")]])
+    empty = pa.schema([("slice", pa.int64()), ("places", pa.binary()), ("row", pa.int64()), ("part", pa.int64()), *[(c, pa.binary()) for c in ("codes", "first", "second", "counts")]])
     kind = table.column("places").is_null().to_numpy()
-    places = [x for x in table.column("places").to_pylist() if x is not None]
+    places = sorted(zip(*(table.filter(pa.array(~kind)).column(c).to_pylist() for c in ("row", "places")), strict=True))
     replies = table.filter(pa.array(kind)).to_pylist()
     if not places or not replies:
         return empty.empty_table()
-    places = np.frombuffer(places[0], np.uint32)
+    places = np.frombuffer(b"".join(x for _, x in places), np.uint32)
     size = max(int(unpack(r["codes"]).max()) for r in replies) + 1
     number, before, freq = np.full(size + 1, -1, np.int64), np.zeros(size + 1), np.zeros(size + 1)
     for r in replies:
@@ -345,7 +354,7 @@ def next_pairs(table: pa.Table, numbers: Numbers, parts: int) -> pa.Table:
     first, second, part = first[at], second[at], part[at]
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)]
     number_of = table.column("slice")[0].as_py()
-    rows = [{"slice": number_of, "places": spots.tobytes()}]
+    rows = [{"slice": number_of, "places": some, "row": i} for i, some in place_rows(spots)]
     for x, y in zip(cuts, cuts[1:], strict=False):
         rows.append(
             {
@@ -356,7 +365,7 @@ def next_pairs(table: pa.Table, numbers: Numbers, parts: int) -> pa.Table:
     return pa.Table.from_pylist(rows, empty)
 
 
-PAIRS = "slice long, places binary, part long, codes binary, first binary, second binary, counts binary"
+PAIRS = "slice long, places binary, row long, part long, codes binary, first binary, second binary, counts binary"
 
 
 def phrases(
@@ -385,12 +394,13 @@ def phrases(
             (F.col("start") + F.col("i")).alias("id"), "lang", F.col("x.words").cast("string").alias("text"), F.col("x.freq").alias("f")
         )
         singles, levels = scratch.keep(singles, "phrases-1"), []
+        state = state.withColumnRenamed("n", "row")
         for length in range(2, longest + 1):
             parts, last = max(1, math.ceil(numbers.total / entries)), length == longest
             reply = ["part", "codes", "numbers", "befores", "freqs"]
-            replies = found.where("slice is not null").select("slice", F.lit(None).cast("binary").alias("places"), *reply)
+            replies = found.where("slice is not null").select("slice", F.lit(None).cast("binary").alias("places"), F.lit(None).cast("long").alias("row"), *reply)
             places = state.where("places is not null").select(
-                "slice", "places", *[F.lit(None).cast("long" if c == "part" else "binary").alias(c) for c in reply]
+                "slice", "places", "row", *[F.lit(None).cast("long" if c == "part" else "binary").alias(c) for c in reply]
             )
             new = Scratch(spark)
             try:
