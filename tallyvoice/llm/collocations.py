@@ -104,6 +104,22 @@ def place_rows(places: np.ndarray) -> Iterator[tuple[int, bytes]]:
         yield at // ROW_PLACES, places[at : at + ROW_PLACES].tobytes()
 
 
+class small_batches:  # noqa: N801
+    """Within it, Arrow batches between Spark and Python hold few rows, whose texts and blocks are long."""
+
+    KEY, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 256
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> None:
+        self.before = self.spark.conf.get(self.KEY)
+        self.spark.conf.set(self.KEY, self.ROWS)
+
+    def __exit__(self, *error) -> None:
+        self.spark.conf.set(self.KEY, self.before)
+
+
 class Slice:
     """The words of some texts: a local number for each, with NONE between pieces."""
 
@@ -440,7 +456,8 @@ def collocations(
     """lang, phrase, words, a, l, r, score of every candidate that no longer one stands for, and n of its language."""
     scratch = Scratch(docs.sparkSession)
     try:
-        singles, levels, n = phrases(docs, scratch, text_col, lang_col, longest, least, slice_bytes, entries)
+        with small_batches(docs.sparkSession):
+            singles, levels, n = phrases(docs, scratch, text_col, lang_col, longest, least, slice_bytes, entries)
         none = F.array().cast("array<long>")
         known = singles.select("id", "lang", "text", F.col("text").alias("last"), "f", none.alias("heads"), none.alias("tails"))
         out = []
