@@ -12,8 +12,9 @@ stay silent for ``IDLE_MS`` of processing time are dropped without a verdict.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,11 @@ def with_level(rows: DataFrame) -> DataFrame:
     return rows.withColumn("level", F.when(p >= HIGH, "high").when(p >= MEDIUM, "medium").otherwise("low"))
 
 
+def running_mean(values: Sequence[float]) -> float:
+    """The mean as Spark's and SQL's avg take it, term by term, so that a level at a bound is the same to the last bit."""
+    return float(np.cumsum(values)[-1]) / len(values)
+
+
 def verdicts(chunks: DataFrame) -> DataFrame:
     """call_id, k (chunks since onset), p, final, level: one row per completed window."""
     order = Window.partitionBy("call_id").orderBy("ts", "seq")
@@ -64,7 +70,7 @@ def folded(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
         k += 1
         if k > 1:
             recent = [*recent, (level + last) / 2 / SCALE][-RECENT:]
-            out.append((key[0], k, sum(recent) / len(recent), k >= FINAL_AT))
+            out.append((key[0], k, running_mean(recent), k >= FINAL_AT))
         last = float(level)
     state.update((k, last, recent))
     if out:
