@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tallyvoice.streaming import calls, sessions
+from tallyvoice.streaming import calls, monitor, sessions
 
 PUSH = "call_id string, seq long, wave array<double>, eof boolean"
 
@@ -39,3 +39,16 @@ def test_a_session_has_the_scores_of_the_batch_form(spark):
     (got,) = sessions.folded((1,), iter([rows]), State())
     want = sessions.verdicts(spark.createDataFrame(rows)).orderBy("k").collect()
     assert list(got["p"]) == [r.p for r in want]
+
+
+def test_a_listener_counts_the_levels_of_the_batch_form(spark):
+    rows = spark.createDataFrame([("c", 0, [80.0] * 2, False), ("c", 1, [80.0] * 3, False)], PUSH)
+    totals = monitor.Totals()
+    spark.streams.addListener(totals)
+    try:
+        _, query, _ = calls.replay(spark, rows, files=2, shape=monitor.observed)
+        sums = totals.wait(str(query.id))
+    finally:
+        spark.streams.removeListener(totals)
+    (want,) = calls.verdicts(rows).collect()
+    assert sums["rows"] == 1 and sums[want.level] == 1
