@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.folders import shared_folder, whole
@@ -45,6 +46,14 @@ def once_into(path: str, wrote: list[int] | None = None) -> Callable[[DataFrame,
     return write
 
 
+def slots(rows: DataFrame, time: str, n: int) -> list[DataFrame]:
+    """Rows by ``n`` equal spans of time; those without a time are in the last."""
+    first, last = rows.agg(F.min(F.unix_micros(time)), F.max(F.unix_micros(time))).first()
+    span = max(1, ((last or 0) - (first or 0)) // n + 1)
+    at = F.coalesce(F.floor((F.unix_micros(time) - (first or 0)) / span), F.lit(n - 1))
+    return [rows.where(at == k) for k in range(n)]
+
+
 def replayed(
     spark: SparkSession, slots: Iterable[DataFrame], transform: Callable[[DataFrame], DataFrame], at: str | None = None
 ) -> tuple[DataFrame, list[StreamingQuery]]:

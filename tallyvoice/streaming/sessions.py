@@ -4,25 +4,23 @@ The rules, in chunks: a call starts at its first chunk above ``GATE`` (earlier o
 chunk from the second on completes a window of two chunks, whose score is their mean level; a verdict
 is the mean of the last ``RECENT`` windows; from ``FINAL_AT`` chunks on verdicts are final.
 
-``verdicts`` is the batch form. ``run_stream`` is the same as a keyed stateful stream: chunks are put
-in order inside the state function, state is bounded (one level and the recent scores), calls that
-stay silent for ``IDLE_MS`` of processing time are dropped without a verdict.
+``verdicts`` is the batch form. ``stream_verdicts`` is the same as a keyed stateful stream: the chunks of a
+micro-batch are put in order inside the state function, later ones have to come in later micro-batches;
+state is bounded (one level and the recent scores), calls that stay silent for ``IDLE_MS`` of processing
+time are dropped without a verdict.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
-from ..sources.folders import shared_folder
-
 GATE, SCALE, RECENT, FINAL_AT = 5.0, 100.0, 9, 10
 HIGH, MEDIUM = 0.8, 0.5
 IDLE_MS = 30_000
@@ -86,22 +84,6 @@ def stream_verdicts(chunks: DataFrame, live: bool = True) -> DataFrame:
     return with_level(found)
 
 
-def run_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Stream a folder or file of events to its end; the verdicts are read back from the sink."""
-    schema = spark.read.parquet(path).schema
-    # as a pattern the path may be one file or a folder
-    chunks = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path[:-1]}[{path[-1]}]").select(
-        F.col("user_id").alias("call_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("p")
-    )
-    at = f"{shared_folder(spark)}/verdicts-{uuid.uuid4().hex}"
-    query = (
-        stream_verdicts(chunks, live=False).writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint")
-        .trigger(availableNow=True).start(f"{at}/out")
-    )
-    query.awaitTermination()
-    return spark.read.parquet(f"{at}/out")
-
-
 #: The verdicts in SQL, over the view of chunks.
 SQL = f"""chunks AS (SELECT user_id AS call_id, event_id AS seq, ts, value AS p FROM events),
  o AS (SELECT *, max((p > {GATE})::INT) OVER (PARTITION BY call_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS live FROM chunks),

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tallyvoice.plans import sessions as session_plans
 from tallyvoice.streaming import calls, monitor, sessions
 
 PUSH = "call_id string, seq long, wave array<double>, eof boolean"
@@ -52,3 +53,14 @@ def test_a_listener_counts_the_levels_of_the_batch_form(spark):
         spark.streams.removeListener(totals)
     (want,) = calls.verdicts(rows).collect()
     assert sums["rows"] == 1 and sums[want.level] == 1
+
+
+def test_a_session_over_files_in_no_order(spark, tmp_path):
+    rows = pd.DataFrame(
+        {"event_id": range(60), "user_id": [k % 3 for k in range(60)], "event_type": "view", "value": [float(7 * k % 90 + 6) for k in range(60)]}
+    )
+    rows["ts"] = pd.Timestamp("2024-01-01") + pd.to_timedelta(rows["event_id"], unit="min")
+    for part in (rows[40:], rows[20:40], rows[:20]):  # the latest chunks are in the first file
+        spark.createDataFrame(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    got, want = (q(spark, str(tmp_path)).collect() for q in (session_plans.session_verdicts_stream, session_plans.session_verdicts_batch))
+    assert len(want) == 57 and sorted(map(tuple, got)) == sorted(map(tuple, want))
