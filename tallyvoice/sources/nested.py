@@ -42,14 +42,18 @@ def read_audio(spark: SparkSession, path: str, keep: list[str]) -> DataFrame:
 
 
 def write_chunks(waves: DataFrame, path: str, size: int, rows_a_group: int | None = None) -> None:
-    """Waves (call_id, wave) as 16-bit chunks of ``size`` samples: call_id, first, last, audio.bytes."""
+    """Waves (call_id, wave) as chunks of ``size`` samples in 16-bit steps: call_id, first, last, audio.bytes.
+
+    A chunk with a sample beyond full scale is written wider, so none is cut off.
+    """
     starts = F.sequence(F.lit(0), F.greatest(F.size("wave") - 1, F.lit(0)), F.lit(size))
     rows = waves.where("size(wave) > 0").select("call_id", "wave", F.explode(starts).alias("first"))
     samples = F.slice("wave", F.col("first") + 1, F.lit(size))
     rows = rows.select(
-        "call_id", "first", (F.col("first") + F.size(samples) - 1).alias("last"),
-        F.struct(arrays.to_pcm16(samples).alias("bytes"), F.lit("pcm16").alias("kind")).alias("audio"),
+        "call_id", "first", (F.col("first") + F.size(samples) - 1).alias("last"), arrays.to_pcm(samples).alias("bytes")
     )
+    wide = F.octet_length("bytes") > 2 * (F.col("last") - F.col("first") + 1)
+    rows = rows.select("call_id", "first", "last", F.struct("bytes", F.when(wide, "pcm64").otherwise("pcm16").alias("kind")).alias("audio"))
     writer = rows.repartitionByRange("call_id", "first").sortWithinPartitions("call_id", "first").write.mode("overwrite")
     (writer.option("parquet.block.row.count.limit", rows_a_group) if rows_a_group else writer).parquet(path)
 
@@ -62,6 +66,7 @@ def slices(spark: SparkSession, path: str, start: int, end: int, calls: Column |
     rows = spark.read.parquet(path).where((F.col("first") < end) & (F.col("last") >= start))
     rows = rows.where(calls) if calls is not None else rows
     begin = F.greatest(F.lit(start) - F.col("first"), F.lit(0))
-    part = F.slice(arrays.from_pcm16("audio.bytes"), begin + 1, F.least(F.lit(end) - 1, F.col("last")) - F.col("first") - begin + 1)
+    samples = arrays.from_pcm("audio.bytes", F.col("last") - F.col("first") + 1)
+    part = F.slice(samples, begin + 1, F.least(F.lit(end) - 1, F.col("last")) - F.col("first") - begin + 1)
     parts = F.array_sort(F.collect_list(F.struct("first", part.alias("x"))))
     return rows.groupBy("call_id").agg(F.flatten(F.transform(parts, lambda p: p["x"])).alias("wave"))
