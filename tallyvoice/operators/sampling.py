@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,15 +36,30 @@ def member(key: Column, seed: int, share: float) -> Column:
     return uniform(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 0, 4) < share
 
 
-def hash_rank(rows: DataFrame, key: str, seed: int, strata: list[str], out: str) -> DataFrame:
-    """Rank of each row within its stratum by the hash of seed and key."""
-    order = Window.partitionBy(*strata).orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), F.col(key))
-    return rows.withColumn(out, F.row_number().over(order))
+def first_in_hash_order(rows: DataFrame, key: str, seed: int, stratum: str, want: Column, then: Sequence[str]) -> DataFrame:
+    """The first rows of each stratum by the hash of seed and key, then by columns; all where ``want`` is null.
+
+    Adds nth, the rank in the stratum, and have, its number of rows. Rows are counted by stratum and slot
+    (the first digits of the hash): the slots before a row's are its offset, rows of slots behind the
+    wanted ones stay where they are, and no task ranks more than a slot. ``want`` is a column of the strata.
+    """
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
+    rows = rows.withColumn("_hash", digest).withColumn("_slot", F.coalesce(F.substring("_hash", 1, 3), F.lit("none")))
+    own = Window.partitionBy(stratum)
+    before = F.sum("_n").over(own.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))
+    slots = rows.groupBy(stratum, "_slot").agg(F.count(F.lit(1)).alias("_n")).select(
+        F.col(stratum).alias("_stratum"), F.col("_slot").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(own).alias("have"), want.alias("_want")
+    )
+    slots = slots.where("_want IS NULL OR _before < _want")
+    met = rows.join(F.broadcast(slots), F.col(stratum).eqNullSafe(F.col("_stratum")) & (F.col("_slot") == F.col("_of")))
+    order = Window.partitionBy(stratum, "_slot").orderBy(*[F.asc_nulls_last(c) for c in ("_hash", *then)])
+    ranked = met.withColumn("nth", (F.col("_before") + F.row_number().over(order)).cast("int"))
+    return ranked.where("_want IS NULL OR nth <= _want").drop("_hash", "_slot", "_stratum", "_of", "_before", "_want")
 
 
 def stratified(rows: DataFrame, key: str, stratum: str, n: int, seed: int = 0) -> DataFrame:
     """At most ``n`` rows of each stratum, in hash order."""
-    return hash_rank(rows, key, seed, [stratum], "nth").where(F.col("nth") <= n)
+    return first_in_hash_order(rows, key, seed, stratum, F.lit(n), [key]).drop("have")
 
 
 def sample_n(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
@@ -73,8 +90,7 @@ def snr_bin(snr: Column, bins: list[tuple[int, int]]) -> Column:
 
 def selected(rows: DataFrame, key: str, stratum: str, want: Column, seed: int = 0) -> DataFrame:
     """Exactly ``want`` rows of each stratum in hash order, all where it is 0; a stratum with fewer fails the job."""
-    have = Window.partitionBy(stratum)
-    ranked = hash_rank(rows, key, seed, [stratum], "nth").withColumns({"want": want, "have": F.count(F.lit(1)).over(have)})
+    ranked = first_in_hash_order(rows, key, seed, stratum, F.when(want != 0, want), [key]).withColumn("want", want)
     message = F.concat(F.lit("only "), F.col("have").cast("string"), F.lit(" rows of "), F.col(stratum).cast("string"), F.lit(", wanted "), F.col("want").cast("string"))
     nth = F.when(F.col("have") >= F.col("want"), F.col("nth")).otherwise(F.raise_error(message).cast("int"))
-    return ranked.withColumn("nth", nth).where((F.col("want") == 0) | (F.col("nth") <= F.col("want"))).drop("want", "have")
+    return ranked.withColumn("nth", nth).drop("want", "have")
