@@ -24,9 +24,9 @@ RANGE_VALUES, MOST_RANGES = 1 << 20, 4096
 EVERYTHING = (-math.inf, math.inf)
 
 
-def bounds(rows: DataFrame, value: str) -> tuple[float, ...]:
-    """Bounds of ranges of about equal numbers of rows, as many as the session has shuffle partitions at least."""
-    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def bounds(rows: DataFrame, value: str, least: int | None = None) -> tuple[float, ...]:
+    """Bounds of ranges of about equal numbers of rows, ``least`` or as many as the session has shuffle partitions at least."""
+    least = least or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shares = [i / MOST_RANGES for i in range(1, MOST_RANGES)]
     got = rows.agg(
         F.percentile_approx(F.col(value).cast("double"), shares, 4 * MOST_RANGES).alias("q"), F.approx_count_distinct(value).alias("n")
@@ -36,6 +36,17 @@ def bounds(rows: DataFrame, value: str) -> tuple[float, ...]:
     return (-math.inf, *[c for c in cuts if math.isfinite(c)], math.inf)
 
 
+def dealt_to_ranges(rows: DataFrame, value: str, splits: Sequence[float]) -> DataFrame:
+    """Rows with the number of the range that their value lies in; null and NaN are a range of their own, the last one."""
+    ranged = Bucketizer(splits=list(splits), inputCol="_value", outputCol=RANGE, handleInvalid="keep")
+    return ranged.transform(rows.withColumn("_value", F.col(value).cast("double"))).drop("_value")
+
+
+def between(rank: Column, low: Column, high: Column) -> Column:
+    """The value at a rank between two whole ones, weighed as Spark's percentile does, so that results are equal to the last bit."""
+    return F.when(low == high, low).otherwise((F.ceil(rank) - rank) * low + (rank - F.floor(rank)) * high)
+
+
 def running(
     counts: DataFrame, value: str, sums: Sequence[str], groups: Sequence[str] = (), splits: Sequence[float] = EVERYTHING, descending: bool = False
 ) -> DataFrame:
@@ -51,9 +62,7 @@ def running(
             *[F.sum(x).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(f"{x}_to") for x in sums],
             *[F.lead(x).over(order).alias(f"{x}_next") for x in sums],
         )
-    dealt = Bucketizer(splits=list(splits), inputCol="_value", outputCol=RANGE, handleInvalid="keep").transform(
-        counts.withColumn("_value", F.col(value).cast("double"))
-    ).drop("_value")
+    dealt = dealt_to_ranges(counts, value, splits)
     part = [ALL, *groups]
     # a column, not a constant: a key that Spark can see through would gather the ranges' rows as one table
     dealt = dealt.withColumn(ALL, F.least(F.col(RANGE), F.lit(0.0)))
@@ -90,8 +99,6 @@ def quantiles(rows: DataFrame, value: Column | str, shares: Sequence[float], gro
         F.max("n_all").alias("n"), *[F.max(f"r{i}").alias(f"r{i}") for i in range(len(shares))],
         *[at(f(f"r{i}")).alias(f"{c}{i}") for i in range(len(shares)) for c, f in (("lo", F.floor), ("hi", F.ceil))],
     )
-    # as Spark's percentile weighs the two values, so that results are equal to the last bit
-    between = lambda i, r: (F.ceil(r) - F.col(r)) * F.col(f"lo{i}") + (F.col(r) - F.floor(r)) * F.col(f"hi{i}")
-    each = [F.when(F.col(f"lo{i}") == F.col(f"hi{i}"), F.col(f"lo{i}")).otherwise(between(i, f"r{i}")) for i in range(len(shares))]
+    each = [between(F.col(f"r{i}"), F.col(f"lo{i}"), F.col(f"hi{i}")) for i in range(len(shares))]
     return one.select(*groups, "n", F.array(*each).alias("q"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import decisions, metrics, prefix, sampling
+from ..operators import decisions, metrics, prefix, sampling, splits
 from .roles import CHUNKS, SCORES, chunks, scores
 
 FPRS = {"verify": 0.05, "block": 0.01}
@@ -100,16 +100,14 @@ SPLITS = 20
 
 def repeated_split_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Both classes' rates at both thresholds on the other half, over salted splits of the speakers."""
-    seeds = spark.range(SPLITS).select(F.col("id").cast("int").alias("seed"))
-    rows = scores(spark, sf).select("speaker", "y", "p").crossJoin(F.broadcast(seeds))
-    half = sampling.digest_byte(F.md5(F.concat_ws(":", F.col("seed").cast("string"), F.col("speaker").cast("string"))), 0) % 2
-    rows = rows.withColumn("half", half)
-    cut = prefix.quantiles(rows.where("half = 0 and y = 0"), "p", [1 - f for f in FPRS.values()], ["seed"]).select(
-        "seed", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(FPRS)]
-    )
-    share = lambda k, n: F.avg(F.when(F.col("y") == k, (F.col("p") >= F.col(n)).cast("int")))
-    names = {f"{n}_{kind}": share(k, n) for n in FPRS for k, kind in ((0, "flagged"), (1, "caught"))}
-    rates = rows.where("half = 1").join(F.broadcast(cut), "seed").groupBy("seed").agg(*[c.alias(n) for n, c in names.items()])
+    rows = scores(spark, sf).select("speaker", "y", "p")
+    half = lambda k: sampling.digest_byte(F.md5(F.concat(F.lit(f"{k}:"), F.col("speaker").cast("string"))), 0) % 2
+    mask = sum((half(k) * (1 << k) for k in range(1, SPLITS)), half(0))
+    # the count keeps filters on the mask, and so its digests, from moving to the rows
+    masks = rows.groupBy("speaker").agg(F.count(F.lit(1)).alias("n")).select("speaker", F.when(F.col("n") > 0, mask).alias("mask"))
+    found = splits.rates_over_splits(rows, masks, SPLITS, [1 - f for f in FPRS.values()])
+    names = {f"{n}_{kind}": F.max(F.when(F.col("i") == i, F.col(kind))) for i, n in enumerate(FPRS) for kind in ("flagged", "caught")}
+    rates = found.groupBy("seed").agg(*[c.alias(n) for n, c in names.items()])
     return rates.agg(
         F.count(F.lit(1)).alias("splits"),
         *[F.round(f(c), 6).alias(f"{n}_{c}") for c in names for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))],
