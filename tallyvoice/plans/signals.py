@@ -49,7 +49,10 @@ def checked_thresholds(rows: DataFrame) -> DataFrame:
 def source_selection(spark: SparkSession, sf: str) -> DataFrame:
     """1000 genuine clips and 200 of each attack; a shortage fails the job."""
     want = F.when(F.col("attack") == "-", 1000).otherwise(200)
-    rows = scores(spark, sf).select("clip", "attack").distinct()
+    rows = scores(spark, sf).select("clip", "attack")
+    # parts of about a million rows, however many there are
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // 1_000_000 + 1)
+    rows = rows.repartition(parts, "clip", "attack").distinct()
     return sampling.selected(rows, "clip", "attack", want).select("clip", "attack", "nth")
 
 
