@@ -3,8 +3,9 @@
 Options: ``path`` (a file or a folder, of any file system that pyarrow opens), ``dataset`` (a layout of
 ``protocols.LAYOUTS``), ``mode`` (FAILFAST, the default; PERMISSIVE, which keeps a line that does not
 fit in the column ``error``; DROPMALFORMED), ``split_bytes``. Files are cut into ranges of bytes, a task
-each; a line belongs to the range that it begins in. A stream's offset is the length that has been read
-of each file, so files may grow by whole lines and new files may come.
+each; a line belongs to the range that it begins in. A compressed file has no such ranges and is one
+task, which reads it block by block. A stream's offset is the length that has been read of each file,
+so files may grow by whole lines and new files may come; a compressed file may not grow.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from .protocols import FAKE, GENUINE, LAYOUTS
 
 SCHEMA = "utt_id string, label int, attack string, speaker string, codec string, dataset string, attack_key string, error string"
 MODES = ("FAILFAST", "PERMISSIVE", "DROPMALFORMED")
+COMPRESSED = (".gz", ".bz2", ".zst")
+#: The end of a range that goes on to the end of its file.
+ENDLESS = 1 << 62
 
 
 class Range(InputPartition):
@@ -44,14 +48,20 @@ def lengths(path: str) -> dict[str, int]:
 
 
 def cut(path: str, start: int, end: int, size: int) -> list[Range]:
+    if path.endswith(COMPRESSED):
+        if 0 < start < end:
+            raise ValueError(f"a compressed file has grown: {path}")
+        return [Range(path, 0, ENDLESS)] if start < end else []
     return [Range(path, a, min(a + size, end)) for a in range(start, end, size)]
 
 
 def lines_of(system: fs.FileSystem, part: Range, block: int = 1 << 20) -> Iterator[list[str]]:
     """The lines that begin in a range, block by block. The one that its start is inside of belongs to the range before."""
-    with system.open_input_file(part.path) as file:
+    # a stream decompresses what the file's name calls compressed; it cannot seek, and has no need to
+    with (system.open_input_stream if part.end == ENDLESS else system.open_input_file)(part.path) as file:
         at = max(0, part.start - 1)
-        file.seek(at)
+        if at:
+            file.seek(at)
         rest, first = b"", part.start > 0
         while True:
             data = file.read(block)

@@ -1,11 +1,15 @@
 """The protocol data source, tables computed once, nested audio and slices."""
 
+import gzip
+import os
+
 import pytest
 from pyarrow import parquet as pq
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallyvoice.operators import arrays
+from tallyvoice.plans import records
 from tallyvoice.sources import cache, clip_protocol, nested
 from tallyvoice.sources.folders import children
 
@@ -117,3 +121,26 @@ def test_slices_read_their_chunks_only(spark, tmp_path):
     assert "irst,52)" in pushed and "GreaterThanOrEqual(la" in pushed and "audio:struct<bytes:binary>>" in schema
     groups = sum(pq.ParquetFile(f).num_row_groups for f in tmp_path.glob("w/*.parquet"))
     assert groups >= 4
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 20])
+def test_a_compressed_file_is_one_range(tmp_path, block):
+    path = str(tmp_path / "p.gz")
+    with gzip.open(path, "wt") as file:
+        file.write("\n".join(LINES) + "\n")
+    size, (system, _) = os.path.getsize(path), clip_protocol.opened(path)
+    (part,) = clip_protocol.cut(path, 0, size, 5)
+    got = [x for some in clip_protocol.lines_of(system, part, block) for x in some]
+    assert got == LINES and clip_protocol.cut(path, size, size, 5) == []
+    with pytest.raises(ValueError, match="has grown"):
+        clip_protocol.cut(path, size - 1, size, 5)
+
+
+def test_round_trip_writes_less_than_half_of_its_text(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "_folder", lambda _, name: str(tmp_path / name))
+    sf = "/root/testdata/sf0.001"
+    found = records.protocol_round_trip(spark, sf).collect()
+    rows = records.protocol_rows(spark, sf)
+    text = sum(rows.select(F.sum(F.octet_length(records._line(x)) + 1)).first()[0] for x in records.protocols.LAYOUTS.values())
+    written = sum(p.stat().st_size for p in (tmp_path / "protocols").rglob("part-*"))
+    assert sum(r.n for r in found) == 4 * rows.count() and 0 < written < text / 2
