@@ -11,13 +11,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .prefix import ALL, EVERYTHING, bounds, running
+from .prefix import ALL, EVERYTHING, RANGE, bounds, gathered, running
 
 
-def by_score(rows: DataFrame, groups: Sequence[str] = (), y: str = "y", score: str = "p") -> DataFrame:
-    """Positives and negatives of each distinct score within each group."""
+def by_score(
+    rows: DataFrame, groups: Sequence[str] = (), y: str = "y", score: str = "p", splits: Sequence[float] = EVERYTHING
+) -> DataFrame:
+    """Positives and negatives of each distinct score within each group; with many ranges in ``splits`` also the score's range."""
+    dealt = gathered(rows.select(*groups, F.col(score).alias("score"), y), "score", splits)
     return (
-        rows.groupBy(*groups, F.col(score).alias("score"))
+        dealt.groupBy(*groups, *[c for c in dealt.columns if c == RANGE], "score")
         .agg(F.sum(y).cast("long").alias("pos"), F.sum(1 - F.col(y)).cast("long").alias("neg"))
     )
 
@@ -25,11 +28,17 @@ def by_score(rows: DataFrame, groups: Sequence[str] = (), y: str = "y", score: s
 def with_attack_fanout(counts: DataFrame, attack: str = "attack", genuine: str = "-") -> DataFrame:
     """Counts per attack where each attack meets all genuine rows; the fan-out is over distinct scores."""
     attacks = counts.where(F.col(attack) != genuine).select(attack).distinct()
-    real = counts.where(F.col(attack) == genuine).drop(attack)
-    both = counts.where(F.col(attack) != genuine).unionByName(real.crossJoin(attacks))
-    return both.groupBy(*[c for c in counts.columns if c not in ("pos", "neg")]).agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
-    )
+    return fanned(counts, attack, attacks, genuine)
+
+
+def fanned(
+    counts: DataFrame, attack: str, attacks: DataFrame, genuine: str = "-", beside: Sequence[str] = (), sums: Sequence[str] = ("pos", "neg")
+) -> DataFrame:
+    """Counts per name in ``attack``: each of ``attacks`` with all genuine rows, and each name in the columns ``beside``."""
+    names = attacks.agg(F.collect_set(attack).alias("_names"))
+    of_row = F.when(F.col(attack) == genuine, F.col("_names")).when(F.col(attack).isNotNull(), F.array(attack)).otherwise(F.array())
+    met = counts.crossJoin(F.broadcast(names)).withColumn(attack, F.explode(F.concat(of_row, *[F.array(c) for c in beside])))
+    return met.groupBy(*[c for c in counts.columns if c not in (*sums, *beside)]).agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def roc_points(counts: DataFrame, groups: Sequence[str] = (), splits: Sequence[float] = EVERYTHING) -> DataFrame:
@@ -65,12 +74,14 @@ def eer_of(counts: DataFrame, groups: Sequence[str] = (), splits: Sequence[float
 
 
 def eer(rows: DataFrame, groups: Sequence[str] = (), y: str = "y", score: str = "p") -> DataFrame:
-    return eer_of(by_score(rows, groups, y, score), groups, bounds(rows, score))
+    splits = bounds(rows, score)
+    return eer_of(by_score(rows, groups, y, score, splits), groups, splits)
 
 
 def auc(rows: DataFrame, groups: Sequence[str] = (), y: str = "y", score: str = "p") -> DataFrame:
     """Area under the ROC curve by mid-ranks; null where one class is missing."""
-    c = running(by_score(rows, groups, y, score), "score", ["pos", "neg"], groups, bounds(rows, score))
+    splits = bounds(rows, score)
+    c = running(by_score(rows, groups, y, score, splits), "score", ["pos", "neg"], groups, splits)
     area = F.sum(F.col("pos") * (F.col("neg_to") - F.col("neg") + F.col("neg") / 2))
     pairs = F.sum("pos") * F.sum("neg")
     return c.groupBy(ALL, *groups).agg(

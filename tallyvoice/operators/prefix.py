@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 ALL = "_all"
 RANGE = "_range"
 #: Values of a range on average, and ranges at most; their bounds are held by the driver.
-RANGE_VALUES, MOST_RANGES = 1 << 20, 4096
+RANGE_VALUES, MOST_RANGES = 1 << 17, 4096
 EVERYTHING = (-math.inf, math.inf)
 
 
@@ -42,6 +42,18 @@ def dealt_to_ranges(rows: DataFrame, value: str, splits: Sequence[float]) -> Dat
     return ranged.transform(rows.withColumn("_value", F.col(value).cast("double"))).drop("_value")
 
 
+def gathered(rows: DataFrame, value: str, splits: Sequence[float]) -> DataFrame:
+    """Rows dealt to ranges, each range in one task, where there are more ranges than the session has tasks; else as they are.
+
+    The tasks then grow in number with the values, not in size. ``running`` finds the ranges and moves no row again.
+    """
+    ranges = len(splits) - 1
+    if ranges <= int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return rows
+    # whole numbers: Spark normalises a float that it groups by, and then no longer knows that its rows are together
+    return dealt_to_ranges(rows, value, splits).withColumn(RANGE, F.col(RANGE).cast("int")).repartition(ranges, RANGE)
+
+
 def between(rank: Column, low: Column, high: Column) -> Column:
     """The value at a rank between two whole ones, weighed as Spark's percentile does, so that results are equal to the last bit."""
     return F.when(low == high, low).otherwise((F.ceil(rank) - rank) * low + (rank - F.floor(rank)) * high)
@@ -53,6 +65,7 @@ def running(
     """Add, for each column x of ``sums``: x_to, its sum up to the row's value; x_all, its sum; x_next, that of the next value.
 
     ``counts`` has one row per value within its groups. Null and NaN values are a range of their own, the last one upwards.
+    Rows that ``gathered`` has dealt stay in their tasks: the ranges' sums go to them, a row per range and group.
     """
     turn = F.desc if descending else F.asc
     if len(splits) == 2:  # few values: a group is one range
@@ -62,25 +75,27 @@ def running(
             *[F.sum(x).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(f"{x}_to") for x in sums],
             *[F.lead(x).over(order).alias(f"{x}_next") for x in sums],
         )
-    dealt = dealt_to_ranges(counts, value, splits)
+    ready = RANGE in counts.columns
+    dealt = counts if ready else dealt_to_ranges(counts, value, splits)
     part = [ALL, *groups]
     # a column, not a constant: a key that Spark can see through would gather the ranges' rows as one table
     dealt = dealt.withColumn(ALL, F.least(F.col(RANGE), F.lit(0.0)))
     inside = Window.partitionBy(*groups, RANGE).orderBy(turn(value))
     up_to = {x: F.sum(x).over(inside.rowsBetween(Window.unboundedPreceding, 0)) for x in sums}
     edge = F.max_by if descending else F.min_by
-    of_range = dealt.groupBy(*part, RANGE).agg(*[F.sum(x).alias(x) for x in sums], edge(F.struct(*sums), F.col(value)).alias("head"))
+    # a column each: sums of fixed width are hashed, a struct would have all rows sorted
+    of_range = dealt.groupBy(*part, RANGE).agg(*[F.sum(x).alias(x) for x in sums], *[edge(x, value).alias(f"_{x}_head") for x in sums])
     order = Window.partitionBy(*part).orderBy(turn(RANGE))
     before = lambda x: F.sum(x).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col(x)
     offsets = of_range.select(
-        *groups, RANGE, F.lead("head").over(order).alias("_head"), *[before(x).alias(f"_{x}_before") for x in sums],
+        *groups, RANGE, *[F.lead(f"_{x}_head").over(order).alias(f"_{x}_head") for x in sums], *[before(x).alias(f"_{x}_before") for x in sums],
         *[F.sum(x).over(Window.partitionBy(*part)).alias(f"{x}_all") for x in sums],
     )
-    met = dealt.alias("d").join(offsets.alias("o"), [F.col(f"d.{c}").eqNullSafe(F.col(f"o.{c}")) for c in (*groups, RANGE)])
+    met = dealt.alias("d").join((F.broadcast(offsets) if ready else offsets).alias("o"), [F.col(f"d.{c}").eqNullSafe(F.col(f"o.{c}")) for c in (*groups, RANGE)])
     met = met.select("d.*", *[F.col(f"o.{c}") for c in offsets.columns if c not in (*groups, RANGE)])
     return met.select(
         *[c for c in dealt.columns if c != RANGE], *[f"{x}_all" for x in sums], *[(F.col(f"_{x}_before") + up_to[x]).alias(f"{x}_to") for x in sums],
-        *[F.coalesce(F.lead(x).over(inside), F.col(f"_head.{x}")).alias(f"{x}_next") for x in sums],
+        *[F.coalesce(F.lead(x).over(inside), F.col(f"_{x}_head")).alias(f"{x}_next") for x in sums],
     )
 
 

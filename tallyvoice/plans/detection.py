@@ -50,8 +50,9 @@ def eer_by_group(spark: SparkSession, sf: str) -> DataFrame:
 
 def eer_by_attack(spark: SparkSession, sf: str) -> DataFrame:
     rows = scores(spark, sf)
-    counts = metrics.with_attack_fanout(metrics.by_score(rows, ["attack"]))
-    return metrics.eer_of(counts, ["attack"], prefix.bounds(rows, "p"))
+    splits, attacks = prefix.bounds(rows, "p"), rows.where("attack <> '-'").select("attack").distinct()
+    counts = metrics.fanned(metrics.by_score(rows, ["attack"], splits=splits), "attack", attacks)
+    return metrics.eer_of(counts, ["attack"], splits)
 
 
 def confusion_at_eer(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyvoice.operators import metrics, prefix
+from tallyvoice.plans import detection
 
 SPLITS = (-math.inf, -1.0, 0.0, 0.25, 0.5, 3.0, math.inf)
 
@@ -59,3 +61,31 @@ def test_rates_of_a_continuous_score_in_many_ranges(spark):
     for plan in (found, metrics.auc(rows), prefix.quantiles(rows, "p", [0.5])):
         text = plan._jdf.queryExecution().executedPlan().toString()
         assert "SinglePartition" not in text and "percentile(" not in text
+
+
+def test_tasks_grow_in_number_with_different_scores(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "RANGE_VALUES", 100)
+    rng = np.random.default_rng(2)
+    data = [(int(a), ["-", "A1", "A2", None][a * int(b)], float(p)) for a, b, p in zip(rng.integers(0, 2, 4000), rng.integers(1, 4, 4000), rng.normal(0, 1, 4000), strict=True)]
+    rows = spark.createDataFrame([*data, (1, "A1", None), (0, "-", float("nan"))], "y int, attack string, p double")
+    splits = prefix.bounds(rows, "p")
+    counts = metrics.by_score(rows, ["attack"], splits=splits)
+    assert len(splits) > 30 and counts.rdd.getNumPartitions() == len(splits) - 1
+    fan = metrics.with_attack_fanout
+    found = metrics.eer_of(fan(counts), ["attack"], splits)
+    want = metrics.eer_of(fan(metrics.by_score(rows, ["attack"])), ["attack"])
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() == 2
+
+
+@pytest.mark.parametrize("values", [100, prefix.RANGE_VALUES])
+@pytest.mark.parametrize("name, entries", [("eer_by_attack", detection.ENTRIES)])
+def test_parts_are_ordered_by_ranges(spark, monkeypatch, name, entries, values):
+    monkeypatch.setattr(prefix, "RANGE_VALUES", values)
+    sf = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{sf}/lineitem.parquet'")
+    query, sql = entries[name]
+    got = query(spark, sf)
+    ordered = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Window [" in x and "score" in x]
+    assert ordered and all(prefix.RANGE in x for x in ordered)
+    assert sorted(map(tuple, got.collect())) == sorted(db.sql(sql).fetchall())
