@@ -40,18 +40,21 @@ def channel_report(spark: SparkSession, sf: str) -> DataFrame:
     """
     channel = F.concat(F.col("grp"), F.lit("/"), (F.col("speaker") % 3).cast("string"))
     rows = scores(spark, sf).withColumn("part", channel)
-    counts = metrics.by_score(rows, ["part", "attack"])
-    by_channel = counts.groupBy("part", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    by_attack = counts.groupBy("attack", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    parts = by_channel.unionByName(metrics.with_attack_fanout(by_attack).withColumnRenamed("attack", "part"))
-    at = metrics.eer(rows).select(F.col("threshold").alias("at"))
-    share = lambda n: F.round(F.sum(F.when(F.col("score") >= F.col("at"), F.col(n)).otherwise(0)) / F.sum(n), 6)
-    rates = (
-        parts.crossJoin(at).groupBy("part").agg(
-            share("neg").alias("flagged"), share("pos").alias("caught"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
-        ).where("pos >= 20 and neg >= 20").drop("pos", "neg")
+    splits, attacks = prefix.bounds(rows, "p"), rows.where("attack <> '-'").select("attack").distinct()
+    parts = metrics.fanned(metrics.by_score(rows, ["part", "attack"], splits=splits), "attack", attacks, beside=["part"])
+    found = metrics.eer_of(parts.withColumnRenamed("attack", "part"), ["part"], splits)
+    at = metrics.eer_of(metrics.by_score(rows, splits=splits), (), splits).select(F.col("threshold").alias("at"))
+    # shares from the rows themselves: a row per channel and attack is left before the fan-out
+    hit = lambda c: F.sum(F.when(F.col("p") >= F.col("at"), c).otherwise(0)).alias
+    y, z = F.col("y"), 1 - F.col("y")
+    counts = rows.crossJoin(F.broadcast(at)).groupBy("part", "attack").agg(
+        hit(y)("hit_pos"), hit(z)("hit_neg"), F.sum(y).alias("pos"), F.sum(z).alias("neg")
     )
-    return rates.join(metrics.eer_of(parts, ["part"]), "part")
+    sums = metrics.fanned(counts, "attack", attacks, beside=["part"], sums=["hit_pos", "hit_neg", "pos", "neg"])
+    rates = sums.where("pos >= 20 and neg >= 20").select(
+        F.col("attack").alias("part"), F.round(F.col("hit_neg") / F.col("neg"), 6).alias("flagged"), F.round(F.col("hit_pos") / F.col("pos"), 6).alias("caught")
+    )
+    return rates.join(found, "part")
 
 
 def per_mille_by_time(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyvoice.operators import metrics, prefix
-from tallyvoice.plans import detection
+from tallyvoice.plans import checks, detection
 
 SPLITS = (-math.inf, -1.0, 0.0, 0.25, 0.5, 3.0, math.inf)
 
@@ -78,7 +78,7 @@ def test_tasks_grow_in_number_with_different_scores(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("values", [100, prefix.RANGE_VALUES])
-@pytest.mark.parametrize("name, entries", [("eer_by_attack", detection.ENTRIES)])
+@pytest.mark.parametrize("name, entries", [("channel_report", checks.ENTRIES), ("eer_by_attack", detection.ENTRIES)])
 def test_parts_are_ordered_by_ranges(spark, monkeypatch, name, entries, values):
     monkeypatch.setattr(prefix, "RANGE_VALUES", values)
     sf = "/root/testdata/sf0.001"
