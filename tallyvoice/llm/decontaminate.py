@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import Scratch, free_name, materialise, slices, text_or_empty, utf8_buffer
+from .common import Scratch, free_name, grown, materialise, slices, text_or_empty, utf8_buffer
 from .hashing import Words, union_length
 
 WINDOW = 10
@@ -194,7 +194,7 @@ def _scan(
     )
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "offset"))
     prefixes = scratch.keep(
-        shingles.join(counts, ["by", "key"], "left")
+        shingles.join(grown(counts), ["by", "key"], "left")
         .groupBy("words", "size", "by").agg(rarest.alias("rarest"))
         .select("words", "size", "by", "rarest.key", "rarest.offset"),
         "prefixes",

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, free_name, materialise, rank_id, slices, text_or_empty, utf8_buffer
+from .common import Scratch, free_name, grown, materialise, rank_id, slices, text_or_empty, utf8_buffer
 from .hashing import Words, mix
 
 SHINGLE = 5
@@ -263,7 +263,7 @@ def _undecided(open_: DataFrame, sets: DataFrame, similarity: float, rare: int,
     ``open_`` holds h, band, id, weight and component c; ``sets`` the packed sets by id.
     """
     classes_ = open_.select("id", "weight", "c").distinct()
-    spread = sets.join(open_.select("id").distinct(), "id", "left_semi").mapInArrow(_occurrences(rare), "e long, id long, n long")
+    spread = sets.join(grown(open_.select("id").distinct()), "id", "left_semi").mapInArrow(_occurrences(rare), "e long, id long, n long")
     counted = spread.withColumn("df", F.sum("n").over(Window.partitionBy("e"))).where("df <= %d and id is not null" % rare)
     own = counted.groupBy("id").agg(
         F.count(F.lit(1)).alias("n_rare"), F.count(F.when(F.col("df") == 1, 1)).alias("n_alone"),
@@ -271,7 +271,7 @@ def _undecided(open_: DataFrame, sets: DataFrame, similarity: float, rare: int,
     )
     # of a class's elements in order of rarity, at least one of the first weight - similarity * weight + 1 is in any similar one
     behind = F.col("weight") - F.ceil(F.col("weight") * F.lit(similarity) - F.lit(1e-9)) + 1 - F.coalesce("n_alone", F.lit(0))
-    looked = classes_.join(own, "id", "left").select(
+    looked = classes_.join(grown(own), "id", "left").select(
         "id", "weight", "c", (F.col("weight") - F.coalesce("n_rare", F.lit(0))).alias("m"),
         F.transform(
             F.slice(F.coalesce("shared", F.array()), F.lit(1), F.greatest(behind, F.lit(0)).cast("int")), lambda x: x["e"]
@@ -281,7 +281,7 @@ def _undecided(open_: DataFrame, sets: DataFrame, similarity: float, rare: int,
     apart = (F.col("c") != F.col("c2")) & (F.least("weight", "w2") >= F.lit(similarity) * F.greatest("weight", "w2"))
     one = looked.select("id", "weight", "c", F.explode("prefix").alias("e"))
     two = one.toDF("b", "w2", "c2", "e")
-    by_element = one.join(two, "e").where((F.col("id") < F.col("b")) & apart).select(F.col("id").alias("a"), "b")
+    by_element = one.join(grown(two), "e").where((F.col("id") < F.col("b")) & apart).select(F.col("id").alias("a"), "b")
     # without a rare element in common: the heavier looks for lighter ones in its bands
     possible = lambda w, m, other: m >= F.lit(similarity) * (w + other - m)
     members = open_.select("h", "band", "id").join(looked.select("id", "weight", "c", "m"), "id")
@@ -328,24 +328,23 @@ def classes(
     # a class is known by a number: the hash of its head
     name = lambda r, k: F.xxhash64(r, k)
     reps = some.join(
-        members.select(F.col("hr").alias("rank"), F.col("hk").alias("key")).distinct(), ["rank", "key"], "left_semi"
+        grown(members.select(F.col("hr").alias("rank"), F.col("hk").alias("key")).distinct()), ["rank", "key"], "left_semi"
     ).dropDuplicates(["rank", "key"]).select(name("rank", "key").alias("id"), "bands", "weight")
     banded = scratch.keep(reps, "classes").select("id", "weight", F.posexplode("bands").alias("band", "h"))
     sizes = banded.groupBy("h", "band", F.hash("h").alias("_part")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = scratch.keep(banded.join(sizes.select("h", "band", "n"), ["h", "band"]), "bands")
+    met = scratch.keep(banded.join(grown(sizes.select("h", "band", "n")), ["h", "band"]), "bands")
     degree = met.groupBy("id").agg(F.sum("n").alias("deg"))
-    groups = scratch.keep(met.select("id", "weight", "h", "band").join(degree, "id"), "groups")
-    # texts are shuffled once, to pack the sets of those that meet any other; a merge join at every size,
-    # as the ids grow with the documents and have no bound for a broadcast
-    meeting = groups.select("id").distinct().hint("merge")
+    groups = scratch.keep(met.select("id", "weight", "h", "band").join(grown(degree), "id"), "groups")
+    # texts are shuffled once, to pack the sets of those that meet any other
+    meeting = grown(groups.select("id").distinct())
     texts = base.select(name("rank", "key").alias("id"), "text").join(meeting, "id", "left_semi")
     sets = scratch.keep(texts.dropDuplicates(["id"]).mapInArrow(_sets(shingle, weighted), "id long, set binary"), "sets")
 
     def similar(pairs: DataFrame, label: str) -> DataFrame:
         """The pairs whose sets reach the similarity."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        joined = pairs.join(sets.withColumnsRenamed({"id": "a", "set": "set_a"}), "a").join(
-            sets.withColumnsRenamed({"id": "b", "set": "set_b"}), "b"
+        joined = pairs.join(grown(sets.withColumnsRenamed({"id": "a", "set": "set_a"})), "a").join(
+            grown(sets.withColumnsRenamed({"id": "b", "set": "set_b"})), "b"
         )
         checked = joined.select("a", "b", "set_a", "set_b").mapInArrow(_verify(similarity), "a long, b long, similar boolean")
         return scratch.keep(checked.where("similar").select("a", "b"), label)
@@ -353,7 +352,7 @@ def classes(
     # each class meets the foremost of its bands' foremost members, the one that shares bands with
     # the most others: of near copies that is the text they were made from, to which most are similar
     leader = groups.groupBy("h", "band", F.hash("h").alias("_part")).agg(F.max(F.struct("deg", "id", "weight")).alias("top"))
-    led = groups.join(leader.select("h", "band", "top"), ["h", "band"]).where("id <> top.id")
+    led = groups.join(grown(leader.select("h", "band", "top")), ["h", "band"]).where("id <> top.id")
     led = led.where(F.least("weight", "top.weight") >= F.lit(similarity) * F.greatest("weight", "top.weight"))
     star = led.groupBy("id").agg(F.max("top").alias("top")).select(F.col("top.id").alias("a"), F.col("id").alias("b"))
     links = similar(star, "stars")

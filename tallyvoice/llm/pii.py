@@ -17,7 +17,7 @@ Scale: base spans are looked for once, in texts that can hold one; texts with sp
 different text once. Term counts are one partial aggregate over distinct texts. An entity that one text
 holds makes no pairs: its terms are decided by their own counts, in one join on the term. Pairs are made
 of entities of several texts, within a text. Places of terms are running sums over the pieces of a text.
-Whether a join is broadcast is left to Spark's size check.
+Joins of sides that both grow are merges at every size.
 
 Defined results: null or empty texts have no spans; repeated rows give equal rows; a null id stays
 null; in ``sanitise`` other columns pass through.
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, held, materialise, settled, text_or_empty
+from .common import Scratch, grown, held, materialise, settled, text_or_empty
 
 # Kinds in the contract's order, and its patterns. A run of pattern characters is only
 # tried from its start or from the end of the last match; from inside it no match could begin.
@@ -229,8 +229,8 @@ def disclosing_terms(held: DataFrame, counts: DataFrame) -> DataFrame:
     texts = held.select("key", "size", "entities", F.array_distinct(F.transform(words, F.lower)).alias("terms"))
     entities = texts.select("key", "size", F.explode("entities").alias("entity"))
     often = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    shared = entities.join(often.where("n_e > 1"), "entity")
-    alone = entities.join(often.where("n_e = 1").select("entity"), "entity").select("key", "size").distinct()
+    shared = entities.join(grown(often.where("n_e > 1")), "entity")
+    alone = entities.join(grown(often.where("n_e = 1").select("entity")), "entity").select("key", "size").distinct()
 
     def graded(rows: DataFrame) -> DataFrame:
         pmi = F.log2(F.col("n_te") * total / (F.col("n_t") * F.col("n_e")))
@@ -240,11 +240,12 @@ def disclosing_terms(held: DataFrame, counts: DataFrame) -> DataFrame:
 
     one = F.lit(1).cast("long")
     rare = graded(frequency.select("term", "n_t", one.alias("n_te"), one.alias("n_e"))).select("term", "grade")
-    of_alone = texts.join(alone, ["key", "size"]).select("key", "size", F.explode("terms").alias("term")).join(rare, "term")
-    pairs = shared.join(texts.select("key", "size", "terms"), ["key", "size"]).select("key", "size", "entity", "n_e", F.explode("terms").alias("term"))
+    of_alone = texts.join(grown(alone), ["key", "size"]).select("key", "size", F.explode("terms").alias("term")).join(grown(rare), "term")
+    held_by = shared.join(grown(texts.select("key", "size", "terms")), ["key", "size"])
+    pairs = held_by.select("key", "size", "entity", "n_e", F.explode("terms").alias("term"))
     joint = pairs.groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_te"))
-    found = graded(joint.join(frequency, "term")).select("entity", "term", "grade")
-    of_shared = pairs.join(found, ["entity", "term"])
+    found = graded(joint.join(grown(frequency), "term")).select("entity", "term", "grade")
+    of_shared = pairs.join(grown(found), ["entity", "term"])
     columns = ["key", "size", "term", "grade"]
     return of_alone.select(*columns).union(of_shared.select(*columns)).groupBy("key", "size", "term").agg(F.max("grade").alias("grade"))
 
@@ -265,10 +266,10 @@ def text_spans(rows: DataFrame) -> DataFrame:
     scratch = Scratch(rows.sparkSession)
     try:
         held, counts = scratch.keep(holders(rows), "pii-holders"), scratch.keep(term_counts(rows), "pii-terms")
-        terms = occurrences(held).join(disclosing_terms(held, counts), ["key", "size", "term"]).groupBy("key", "size").agg(
+        terms = occurrences(held).join(grown(disclosing_terms(held, counts)), ["key", "size", "term"]).groupBy("key", "size").agg(
             F.sort_array(F.collect_list(F.struct("start", "end", F.col("grade").alias("value")))).alias("term")
         )
-        return materialise(held.select("key", "size", *KINDS).join(terms, ["key", "size"], "left"), "pii-spans")
+        return materialise(held.select("key", "size", *KINDS).join(grown(terms), ["key", "size"], "left"), "pii-spans")
     finally:
         scratch.drop()
 
@@ -278,7 +279,7 @@ def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in (carry or (id_col,))]).alias("row"), text_or_empty(text_col).alias("text")
     )
-    joined = rows.select("row", "text", *_text_key()).join(text_spans(rows), ["key", "size"], "left")
+    joined = rows.select("row", "text", *_text_key()).join(grown(text_spans(rows)), ["key", "size"], "left")
     return joined.select("row", "text", *[F.coalesce(k, F.array().cast(SPAN)).alias(k) for k in (*KINDS, "term")])
 
 
