@@ -170,3 +170,16 @@ def test_totals_where_all_calls_have_ended_in_silence(spark, tmp_path):
     db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     want = db.sql(streams.ENTRIES["stream_totals"][1]).fetchall()
     assert ("open", 0) in want and sorted(map(tuple, streams.stream_totals(spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_totals_of_open_calls_that_share_slots(spark, tmp_path, monkeypatch):
+    """Each open call is a row of its slot's state, also one without speech or with pushes that wait."""
+    monkeypatch.setattr(calls, "SLOTS", 2)
+    rows = pd.DataFrame({"event_id": range(240), "user_id": [k % 30 for k in range(240)], "value": [float(7 * k % 90 + 6) if k % 30 else 1.0 for k in range(240)]})
+    rows["event_type"] = ["error" if k % 11 == 0 else "view" for k in range(240)]
+    rows["ts"] = pd.Timestamp("2024-01-01") + pd.to_timedelta(rows["event_id"], unit="min")
+    spark.createDataFrame(rows).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = db.sql(streams.ENTRIES["stream_totals"][1]).fetchall()
+    assert dict(want)["open"] > 20 and sorted(map(tuple, streams.stream_totals(spark, str(tmp_path)).collect())) == sorted(want)
